@@ -126,37 +126,42 @@ def policy_name(idx: str) -> str:
     return f"(CASE {idx} {whens} END)"
 
 
-def decide(mode: str, has_context: str, cplx: str, pscore: str, churn: str,
-           bias: list, params: Params = DEFAULT_PARAMS,
-           learned_probs: list[str] | None = None) -> dict[str, Column]:
-    """One routing decision per row.
+def with_decision(df, mode: str, has_context: str, cplx: str, pscore: str, churn: str,
+                  bias: list, params: Params = DEFAULT_PARAMS, learned_probs: list[str] | None = None,
+                  keep_tmp: bool = False):
+    """One routing decision per row, as staged projections (raw scores,
+    distribution, biased softmax, then the decision), so each stage refers
+    to the previous columns by name and expressions stay small.
 
     Manual mode -> that policy (confidence 1). Auto without context (and the
     flag set) -> rule_engine. Otherwise learned or heuristic scores, bias,
     arg-max; very low pscore forces rule_engine; else a learned router below
     the confidence floor falls back to rule_engine (confidence kept).
-    Returns Columns: policy, mode, confidence, reasons (array), scores (list).
+    Adds: mode, policy, confidence, reasons (array), cand0..cand4.
     """
-    m = normalize_router_policy(mode)
+    n = len(POLICY_ORDER)
     learned = learned_probs is not None
-    raw = V.to_distribution(learned_probs) if learned else heuristic_router_scores(
-        has_context, cplx, pscore, churn, params)
-    cand = apply_bias(raw, bias, params.temperature)
-    conf_auto = V.vmax(cand)
-    auto_policy = policy_name(V.argmax(cand))
+    raw = learned_probs if learned else heuristic_router_scores(has_context, cplx, pscore, churn, params)
+    df = V.with_vec(df, "_raw", raw)
+    df = V.with_vec(df, "_dst", V.to_distribution(V.cols("_raw", n)))
+    t = max(0.1, float(params.temperature))
+    b = [x if isinstance(x, str) else lit(x) for x in bias]
+    df = V.with_vec(df, "_lg", [f"((ln(greatest(_dst{i}, {lit(EPS)})) + {b[i]}) / {lit(t)})" for i in range(n)])
+    lg = V.cols("_lg", n)
+    df = df.withColumn("_mx", F.expr(V.vmax(lg)))
+    df = V.with_vec(df, "_ex", [f"exp({x} - _mx)" for x in lg])
+    ex = V.cols("_ex", n)
+    df = df.withColumn("_den", F.expr(f"greatest({V.vsum(ex)}, {lit(EPS)})"))
+    df = V.with_vec(df, "_cand", [f"({e} / _den)" for e in ex])
+    cand = V.cols("_cand", n)
+    df = df.withColumn("mode", F.expr(normalize_router_policy(mode)))
+    df = df.withColumns({"_conf": F.expr(V.vmax(cand)), "_best": F.expr(policy_name(V.argmax(cand)))})
     force_rule = f"({pscore} < {lit(params.force_rule_pscore)})"
-    low_conf = f"({conf_auto} < {lit(params.min_confidence)})" if learned else "false"
-    auto_final = (f"(CASE WHEN {force_rule} THEN 'rule_engine' WHEN {low_conf} THEN 'rule_engine' "
-                  f"ELSE {auto_policy} END)")
+    low_conf = f"(_conf < {lit(params.min_confidence)})" if learned else "false"
     missing = f"((NOT {has_context}) AND {str(bool(params.force_rule_on_missing_context)).lower()})"
-    manual = f"({m} <> 'auto')"
-    policy = f"(CASE WHEN {manual} THEN {m} WHEN {missing} THEN 'rule_engine' ELSE {auto_final} END)"
-    confidence = V.clip(f"(CASE WHEN {manual} OR {missing} THEN 1.0D ELSE {conf_auto} END)", 0.0, 1.0)
-    scores = [f"(CASE WHEN {manual} THEN (CASE WHEN {m} = '{p}' THEN 1.0D ELSE 0.0D END) "
-              f"WHEN {missing} THEN {'1.0D' if p == 'rule_engine' else '0.0D'} ELSE {c} END)"
-              for p, c in zip(POLICY_ORDER, cand)]
-    auto_tag = "auto_learned_router" if learned else "auto_heuristic_router"
+    manual = "(mode <> 'auto')"
     auto = f"(NOT {manual} AND NOT {missing})"
+    auto_tag = "auto_learned_router" if learned else "auto_heuristic_router"
     reasons = (
         "filter(array("
         f"CASE WHEN {manual} THEN 'manual_override' END, "
@@ -169,10 +174,17 @@ def decide(mode: str, has_context: str, cplx: str, pscore: str, churn: str,
         f"CASE WHEN {churn} >= {lit(0.7)} THEN 'high_churn_risk' END"
         "), x -> x IS NOT NULL)"
     )
-    return {
-        "policy": F.expr(policy),
-        "mode": F.expr(m),
-        "confidence": F.expr(confidence),
+    df = df.withColumns({
+        "policy": F.expr(f"(CASE WHEN {manual} THEN mode WHEN {missing} THEN 'rule_engine' "
+                         f"WHEN {force_rule} THEN 'rule_engine' WHEN {low_conf} THEN 'rule_engine' ELSE _best END)"),
+        "confidence": F.expr(V.clip(f"(CASE WHEN {manual} OR {missing} THEN 1.0D ELSE _conf END)", 0.0, 1.0)),
         "reasons": F.expr(reasons),
-        "scores": [F.expr(s) for s in scores],
-    }
+        **{f"cand{i}": F.expr(
+            f"(CASE WHEN {manual} THEN (CASE WHEN mode = '{p}' THEN 1.0D ELSE 0.0D END) "
+            f"WHEN {missing} THEN {'1.0D' if p == 'rule_engine' else '0.0D'} ELSE _cand{i} END)")
+           for i, p in enumerate(POLICY_ORDER)},
+    })
+    if keep_tmp:
+        return df
+    return df.drop(*[c for c in df.columns if c.startswith(("_raw", "_dst", "_lg", "_ex", "_cand"))
+                     or c in ("_mx", "_den", "_conf", "_best")])
