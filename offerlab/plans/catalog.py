@@ -89,4 +89,4 @@ def sql_ts(col: str) -> str:
 
 
 # Registration modules append to QUERIES / ORACLES on import.
-from offerlab.plans import q_customers, q_bandit, q_router, q_offers  # noqa: E402,F401
+from offerlab.plans import q_customers, q_bandit, q_router, q_offers, q_text_models  # noqa: E402,F401
