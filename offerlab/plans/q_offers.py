@@ -197,3 +197,34 @@ def q_feedback_fold(spark, sf_dir):
 @query("bias_snapshot")
 def q_bias_snapshot(spark, sf_dir):
     return present(FF.bias_snapshot(FF.fold_feedback(feedback_events(spark, sf_dir))))
+
+
+# J1-J5 -------------------------------------------------------------------------
+@query("decision_report")
+def q_decision_report(spark, sf_dir):
+    from offerlab.plans.decision import decision_report
+
+    return present(decision_report(spark, sf_dir))
+
+
+# The streaming fold driven to completion over the feedback log -------------
+@query("feedback_stream")
+def q_feedback_stream(spark, sf_dir):
+    import os
+    import tempfile
+    import uuid
+
+    from offerlab.session import ensure_checkpoint_dir
+    from offerlab.streaming.feedback_stream import run_feedback_stream
+
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    run = os.path.join(base, f"feedback-stream-{uuid.uuid4().hex[:8]}")
+    src = os.path.join(run, "events")
+    ev = feedback_events(spark, sf_dir).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    # the log lands as time-ordered files (one per event-time day), the
+    # stream reads one file per micro-batch
+    (ev.withColumn("day", F.to_date("event_time")).repartition("day").sortWithinPartitions("event_time", "event_id")
+       .write.mode("overwrite").partitionBy("day").parquet(src))
+    name = f"feedback_{uuid.uuid4().hex[:8]}"
+    out = run_feedback_stream(spark, src, os.path.join(run, "checkpoint"), name, P, max_files=10)
+    return present(out.drop("reason"))

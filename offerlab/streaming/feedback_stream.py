@@ -23,7 +23,7 @@ STATE_SCHEMA = ", ".join(
     [f"b{i} double" for i in range(N)] + [f"n{i} long" for i in range(N)]
     + [f"m{i} double" for i in range(N)] + [f"a{i} double" for i in range(N)])
 
-EVENT_SCHEMA = ("router_key string, event_time timestamp_ntz, event_id long, policy string, "
+EVENT_SCHEMA = ("router_key string, event_time timestamp, event_id long, policy string, "
                 "metric_value double, baseline double")
 
 
@@ -45,7 +45,12 @@ def _fold_group(params: Params):
 
 def feedback_stream(events: DataFrame, params: Params = DEFAULT_PARAMS,
                     watermark: str = "1 hour") -> DataFrame:
-    """Streaming DataFrame of folded feedback (append mode)."""
+    """Streaming DataFrame of folded feedback (append mode). Watermarks need
+    a zoned TIMESTAMP, so a TIMESTAMP_NTZ event time is read as session-zone
+    time."""
+    from pyspark.sql import functions as F
+
+    events = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
     return (
         events.withWatermark("event_time", watermark)
         .groupBy("router_key")
