@@ -34,8 +34,13 @@ def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 1000,
             vals = sorted(r["v"] for r in sub.collect())
             return float(vals[k - base])
         probs = [i / buckets for i in range(1, buckets)]
+        import math
+
         cuts = sorted(set(sub.approxQuantile("v", probs, 1.0 / (4 * buckets))))
-        splits = [float("-inf")] + [c for c in cuts if lo < c <= hi] + [float("inf")]
+        # the first cut isolates the smallest value, so every pass makes
+        # progress even when one value fills most quantiles
+        first = math.nextafter(lo, math.inf)
+        splits = [float("-inf"), first] + [c for c in cuts if first < c <= hi] + [float("inf")]
         bz = Bucketizer(splits=splits, inputCol="v", outputCol="b")
         hist = sorted((int(r["b"]), r["c"]) for r in
                       bz.transform(sub).groupBy("b").agg(F.count(F.lit(1)).alias("c")).collect())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -83,7 +84,9 @@ def l2_normalize(v: F.Column) -> F.Column:
     """H4: v / ||v||; a zero vector stays zero."""
     dv = F.transform(v, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(dv, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(dv, lambda x: x / norm)).otherwise(dv)
+    # bind the norm once per row (a one-element array), not once per element
+    return F.aggregate(F.array(norm), dv, lambda _, n: F.when(n > 0, F.transform(dv, lambda x: x / n))
+                       .otherwise(dv))
 
 
 def attach_vectors(items: DataFrame, vectors: DataFrame, dim: int, key: str = "vec_id",
@@ -118,21 +121,38 @@ def label_centroid_queries(vectors: DataFrame, dim: int, label: str = "label",
 
 def exact_topk(vectors: DataFrame, queries: list[tuple], k: int, key: str = "vec_id",
                vec_col: str = "embedding") -> DataFrame:
-    """H5 + H7: inner-product top-k per query. The query matrix (a bounded
-    list) is a literal; each vector row gets all query scores in one
-    projection, is exploded per query, and ranked with a window whose
-    map-side group limit keeps only k rows per query per task."""
-    qlit = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for _, v in queries])
-    qids = F.array(*[F.lit(q) for q, _ in queries])
-    v = l2_normalize(F.col(vec_col))
-    scores = F.transform(qlit, lambda q: F.aggregate(F.zip_with(q, F.col("_v"), lambda a, b: a * b),
-                                                     F.lit(0.0), lambda s, x: s + x))
-    scored = (vectors.select(key, v.alias("_v"))
-              .select(key, F.arrays_zip(qids.alias("query_id"), scores.alias("score")).alias("_s"))
-              .select(key, F.explode("_s").alias("s"))
-              .select(key, F.col("s.query_id").alias("query_id"), F.col("s.score").alias("score")))
+    """H4 + H5: inner-product top-k per query over L2-normalised vectors.
+
+    The query matrix (a bounded list, checked by the caller) is shipped with
+    the task closure. Each Arrow batch of vectors is scored against all
+    queries with one numpy matrix product and only its k best rows per
+    query (score desc, id asc) leave the task; a window then ranks the
+    partial winners. The shuffle carries at most k rows per query per
+    batch, never all pairs."""
+    qids = np.array([q for q, _ in queries], dtype=np.int64)
+    qmat = np.array([v for _, v in queries], dtype=np.float64)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            nrm = np.sqrt((m * m).sum(axis=1))
+            m = np.where(nrm[:, None] > 0, m / np.where(nrm > 0, nrm, 1.0)[:, None], m)
+            scores = m @ qmat.T
+            ids = pdf[key].to_numpy()
+            rows_id, rows_q, rows_s = [], [], []
+            for j, q in enumerate(qids):
+                order = np.lexsort((ids, -scores[:, j]))[:k]
+                rows_id.append(ids[order])
+                rows_q.append(np.full(len(order), q))
+                rows_s.append(scores[order, j])
+            yield pd.DataFrame({key: np.concatenate(rows_id), "query_id": np.concatenate(rows_q),
+                                "score": np.concatenate(rows_s)})
+
+    part = vectors.select(key, vec_col).mapInPandas(run, f"{key} long, query_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def retrieve(vectors: DataFrame, queries: list[tuple], top_k: int = 3, key: str = "vec_id") -> DataFrame:
