@@ -43,13 +43,14 @@ _cat_rows = []
 _tpl_rows = []
 _chan_rows = []
 for b, name, ch, cc, aud, cap, dc, tpls in G.CATALOG:
-    _cat_rows.append(f"({b}, {_q(name)}, {_q(' + '.join(ch))}, {_q('、'.join(aud))}, {dc}, {len(tpls)})")
+    _cat_rows.append(f"({b}, {_q(name)}, {_q(' + '.join(ch))}, {_q('、'.join(aud))}, {dc}, {len(tpls)}, "
+                     f"{cap[0]}, {cap[1]})")
     for i, (tid, grp, text, tdc) in enumerate(tpls):
         _tpl_rows.append(f"({b}, {i}, {_q(tid)}, {_q(grp)}, {_q(text)}, {tdc})")
     for c in ch:
         _chan_rows.append(f"({b}, {_q(c)}, {cc.get(c, 0.0)})")
 
-cte("cat_c", [], f"SELECT * FROM (VALUES {', '.join(_cat_rows)}) AS t(action_bucket, name, channels, audience, discount_cost, n_tpl)")
+cte("cat_c", [], f"SELECT * FROM (VALUES {', '.join(_cat_rows)}) AS t(action_bucket, name, channels, audience, discount_cost, n_tpl, window_days, max_touch)")
 cte("tpl_c", [], f"SELECT * FROM (VALUES {', '.join(_tpl_rows)}) AS t(action_bucket, idx, template_id, ab_group, text, discount_cost)")
 cte("chan_c", [], f"SELECT * FROM (VALUES {', '.join(_chan_rows)}) AS t(action_bucket, channel, cost)")
 
@@ -59,7 +60,7 @@ SELECT e.round_id, e.customer_unique_id, e.action AS action_id, 'logged' AS rout
 FROM eventlog_c e LEFT JOIN seg_c s USING (customer_unique_id)""")
 
 cte("offers_c", ["offreq_c", "cat_c", "tpl_c", "chan_c"], f"""
-SELECT r.*, r.action_id % 5 AS action_bucket, c.channels, c.audience,
+SELECT r.*, r.action_id % 5 AS action_bucket, c.channels, c.audience, c.window_days, c.max_touch,
        (('0x' || substr(md5(concat_ws('|', CAST(r.action_id AS VARCHAR), CAST(r.round_id AS VARCHAR),
               CAST(r.customer_unique_id AS VARCHAR), r.routed_tool, r.user_segment)), 1, 8))::BIGINT) % c.n_tpl AS idx,
        (SELECT sum(cost) FROM chan_c h WHERE h.action_bucket = r.action_id % 5) AS channel_cost
@@ -87,7 +88,20 @@ def q_offer_resolution(spark, sf_dir):
 
 
 # G6-G9 ------------------------------------------------------------------------
-@query("strategy_overlay")
+_strat_rows = ", ".join("(" + ", ".join(_q(x) for x in (k, *v)) + ")" for k, v in G.DEFAULT_STRATEGIES.items())
+cte("strat_c", [], f"SELECT * FROM (VALUES {_strat_rows}) AS t(segment, offer, channel, send_time, tone, goal)")
+
+
+@query("strategy_overlay", with_ctes(["offers2_c", "strat_c"], """
+SELECT o.round_id,
+       CASE WHEN o.offer_text IS NOT NULL AND trim(o.offer_text) <> '' THEN o.offer_text END AS final_offer,
+       o.routed_tool || ' (action=' || CAST(o.action_id AS VARCHAR) || ')' AS strategy_source,
+       CASE WHEN o.channels <> '' THEN o.channels END AS final_channel, o.audience,
+       COALESCE(s.send_time, r.send_time) AS strategy_send_time, COALESCE(s.tone, r.tone) AS strategy_tone,
+       COALESCE(s.goal, r.goal) AS strategy_goal, CAST(o.window_days AS BIGINT) AS cap_window_days,
+       CAST(o.max_touch AS BIGINT) AS cap_max_touch, o.offer_id, o.template_id
+FROM offers2_c o LEFT JOIN strat_c s ON s.segment = o.user_segment
+CROSS JOIN (SELECT * FROM strat_c WHERE segment = 'regular') r"""))
 def q_strategy_overlay(spark, sf_dir):
     off = G.resolve_offers(offer_requests(spark, sf_dir), G.catalog_df(spark))
     st = G.with_default_strategy(off, G.default_strategies(spark))
@@ -183,13 +197,64 @@ def feedback_events(spark, sf_dir):
     segment, in event-time order."""
     df, _ = routed_rounds(spark, sf_dir)
     d = decisions(df)
-    rep = E.ope_report(df, K).select("policy", F.round("dr", 6).alias("metric_value"),
-                                     F.round("behavior_mean", 6).alias("baseline"))
+    def r6(c):
+        # reports carry 6 decimals (scaled binary rounding, engine-independent)
+        return F.round(F.col(c) * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
+
+    rep = E.ope_report(df, K).select("policy", r6("dr").alias("metric_value"),
+                                     r6("behavior_mean").alias("baseline"))
     return d.select(F.col("user_segment").alias("router_key"), F.col("ts").alias("event_time"),
                     F.col("round_id").alias("event_id"), "policy").join(F.broadcast(rep), "policy", "left")
 
 
-@query("feedback_fold")
+def _fold_sql():
+    from offerlab.plans.oracle_bandit import ope_sql, lit
+
+    n = len(POLICY_ORDER)
+    pidx = "CASE e.policy " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(POLICY_ORDER)) + " END"
+    init = ", ".join([f"CAST(0.0 AS DOUBLE) AS b{j}" for j in range(n)] + [f"CAST(0 AS BIGINT) AS n{j}" for j in range(n)]
+                     + [f"CAST(0.0 AS DOUBLE) AS em{j}" for j in range(n)] + [f"CAST(0.0 AS DOUBLE) AS ea{j}" for j in range(n)])
+    dec = lit(1.0 - min(max(P.feedback_decay, 0.0), 0.99))
+    ca = f"least(greatest(e.metric_value - e.baseline, {lit(-P.feedback_clip)}), {lit(P.feedback_clip)})"
+    ebias = [f"((s.b{j} * {dec}) + (CASE WHEN {pidx} = {j} THEN {lit(P.feedback_lr)} * {ca} ELSE 0.0 END))"
+             for j in range(n)]
+    mean = "((" + " + ".join(ebias) + f") / {lit(n)})"
+    nb = [f"least(greatest({b} - {mean}, {lit(-1.5)}), {lit(1.5)})" for b in ebias]
+    beta = P.feedback_ema
+    step = ", ".join(
+        [f"{nb[j]} AS b{j}" for j in range(n)]
+        + [f"s.n{j} + (CASE WHEN {pidx} = {j} THEN 1 ELSE 0 END) AS n{j}" for j in range(n)]
+        + [f"CASE WHEN {pidx} = {j} THEN {lit(1 - beta)} * s.em{j} + {lit(beta)} * e.metric_value ELSE s.em{j} END AS em{j}" for j in range(n)]
+        + [f"CASE WHEN {pidx} = {j} THEN {lit(1 - beta)} * s.ea{j} + {lit(beta)} * (e.metric_value - e.baseline) ELSE s.ea{j} END AS ea{j}" for j in range(n)])
+    old = "CASE " + " ".join(f"WHEN {pidx} = {j} THEN s.b{j} * {dec}" for j in range(n)) + " END"
+    body = f"""
+, rep AS ({ope_sql(POLICY_ORDER)}),
+fe AS (SELECT d.user_segment AS router_key, d.round_id AS event_id, d.policy,
+              (round(r.dr * 1000000.0) / 1000000.0 + 0.0) AS metric_value,
+              (round(r.behavior_mean * 1000000.0) / 1000000.0 + 0.0) AS baseline,
+              row_number() OVER (PARTITION BY d.user_segment ORDER BY d.ts, d.round_id) AS rn
+       FROM decide_c d JOIN rep r ON r.policy = d.policy),
+st AS (SELECT router_key, CAST(0 AS BIGINT) AS rn, NULL::BIGINT AS event_id, NULL::VARCHAR AS policy,
+              NULL::DOUBLE AS metric_value, NULL::DOUBLE AS baseline, NULL::DOUBLE AS old_bias, {init}
+       FROM (SELECT DISTINCT router_key FROM fe)
+       UNION ALL
+       SELECT s.router_key, s.rn + 1, e.event_id, e.policy, e.metric_value, e.baseline, {old}, {step}
+       FROM st s JOIN fe e ON e.router_key = s.router_key AND e.rn = s.rn + 1)
+SELECT router_key, event_id, policy, CAST(1 AS BIGINT) AS enabled, round(metric_value, 6) AS metric_value,
+       round(baseline, 6) AS baseline, round(metric_value - baseline, 6) AS advantage,
+       round(least(greatest(metric_value - baseline, {lit(-P.feedback_clip)}), {lit(P.feedback_clip)}), 6) AS clipped_advantage,
+       round(old_bias, 6) AS old_bias,
+       round(CASE {" ".join(f"WHEN policy = '{p}' THEN b{j}" for j, p in enumerate(POLICY_ORDER))} END, 6) AS new_bias,
+       {", ".join(f"round(b{j}, 6) AS bias_{p}" for j, p in enumerate(POLICY_ORDER))},
+       CASE {" ".join(f"WHEN policy = '{p}' THEN n{j}" for j, p in enumerate(POLICY_ORDER))} END AS feedback_count,
+       round(CASE {" ".join(f"WHEN policy = '{p}' THEN em{j}" for j, p in enumerate(POLICY_ORDER))} END, 6) AS ema_metric,
+       round(CASE {" ".join(f"WHEN policy = '{p}' THEN ea{j}" for j, p in enumerate(POLICY_ORDER))} END, 6) AS ema_advantage
+FROM st WHERE rn > 0"""
+    sql = with_ctes(["decide_c", "acts_c"], body, extra=True)
+    return "WITH RECURSIVE " + sql[len("WITH "):]
+
+
+@query("feedback_fold", _fold_sql())
 def q_feedback_fold(spark, sf_dir):
     return present(FF.fold_feedback(feedback_events(spark, sf_dir)).drop("reason"))
 
