@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlab.llm import bpe, chat, packing, quality, rules, simhash, token_counts
+from offerlab.llm import bpe, chat, embedding_dedup, packing, quality, rules, simhash, token_counts
 from offerlab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash.simhash_groups(docs, shingle=4, bits=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup_embeddings(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
