@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlab.llm import bpe, chat, embedding_dedup, packing, quality, rules, simhash, token_counts
+from offerlab.llm import bpe, chat, embedding_dedup, lm_scores, packing, quality, rules, simhash, token_counts
 from offerlab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup_embeddings(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores.lm_scores(read_table(spark, sf_dir, "documents"), vocabulary=65_535, backoff=0.4)
+    return out.select("doc_id", "n_words", (F.round(F.col("logprob") * 100) / 100 + 0.0).alias("logprob"),
+                      (F.round(F.col("logprob") / F.nullif("n_words", F.lit(0)) * 10000) / 10000 + 0.0).alias("mean_logprob"))
+
+
+ORACLES["op10_lm_scores"] = lm_scores.ORACLE.format(vocabulary=65_535, backoff=0.4)
