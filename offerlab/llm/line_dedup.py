@@ -388,12 +388,12 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits:
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     lost = (lines.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(salts)).cast("int")).join(written(marked, "marked"), ["line", "salt"])
             .where(F.col("kept").isNull() | (F.col("place") != F.col("kept"))).select("place").distinct())
-    by_doc = (lost.select(F.shiftright("place", LINE_BITS).alias("_doc"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("number"))
-              .groupBy("_doc").agg(F.collect_list("number").alias("_lost")))
-    lost_lines = F.coalesce("_lost", F.expr("cast(array() as array<int>)"))
+    by_doc = (lost.select(F.shiftright("place", LINE_BITS).alias("__doc"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("number"))
+              .groupBy("__doc").agg(F.collect_list("number").alias("__lost")))
+    lost_lines = F.coalesce("__lost", F.expr("cast(array() as array<int>)"))
     split = F.split(F.col(text), F.lit("\n"), F.lit(-1))
     solid = F.filter(split, lambda x: ~x.rlike(f"\\A[{WHITE}]*\\z"))
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(lost_lines, i)), "\n")
-    return (docs.withColumn("_doc", F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 42)))).join(by_doc, "_doc", "left")
+    return (docs.withColumn("__doc", F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 42)))).join(by_doc, "__doc", "left")
             .withColumn("n_lines", F.coalesce(F.size(solid), F.lit(0)).cast("long")).withColumn("n_dropped", F.size(lost_lines).cast("long"))
-            .withColumn(text, kept).drop("_doc", "_lost"))
+            .withColumn(text, kept).drop("__doc", "__lost"))

@@ -112,15 +112,15 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int =
     """
     need(docs, text)
     closed = F.lit(closing.to_bytes(4, "little"))
-    ids = encode_texts(docs, vocabulary, text, "_ids").withColumn("_ids", F.concat(F.col("_ids"), closed))
-    total = (F.octet_length("_ids") / 4).cast("int")
+    ids = encode_texts(docs, vocabulary, text, "__ids").withColumn("__ids", F.concat(F.col("__ids"), closed))
+    total = (F.octet_length("__ids") / 4).cast("int")
     each = F.transform(F.sequence(F.lit(0), (F.ceil(total / capacity) - 1).cast("int")),
                        lambda i: F.struct(i.alias("piece"), (i * capacity).cast("long").alias("start"),
                                           F.least(F.lit(capacity), total - i * capacity).cast("long").alias("length")))
     rest = [c for c in docs.columns if c not in ("piece", "start", "length", "ids")]
-    return (ids.select("*", F.explode(each).alias("_p"))
-            .select(*rest, F.col("_p.piece").alias("piece"), F.col("_p.start").alias("start"), F.col("_p.length").alias("length"),
-                    F.expr("substring(_ids, int(_p.start * 4 + 1), int(_p.length * 4))").alias("ids")))
+    return (ids.select("*", F.explode(each).alias("__p"))
+            .select(*rest, F.col("__p.piece").alias("piece"), F.col("__p.start").alias("start"), F.col("__p.length").alias("length"),
+                    F.expr("substring(__ids, int(__p.start * 4 + 1), int(__p.length * 4))").alias("ids")))
 
 
 def pack(table: DataFrame, key: list[str], length: str = "length", capacity: int = CAPACITY,
@@ -132,12 +132,12 @@ def pack(table: DataFrame, key: list[str], length: str = "length", capacity: int
     out = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(shard: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_shard")
+        rows = rows.drop(columns="__shard")
         in_bin, at = best_two_fit(rows[length].fillna(0).to_numpy(), capacity)
         return rows.assign(sequence_id=(int(shard[0]) << 32) + in_bin, offset=at)
 
-    return (table.withColumn("_shard", F.pmod(F.xxhash64(*key), F.lit(shards)))
-            .groupBy("_shard").applyInPandas(run, out))
+    return (table.withColumn("__shard", F.pmod(F.xxhash64(*key), F.lit(shards)))
+            .groupBy("__shard").applyInPandas(run, out))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

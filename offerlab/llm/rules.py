@@ -68,8 +68,8 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([base_counts(x) for x in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
-    return (df.withColumn("_counts", run(text_or_empty(text))).withColumns({c: F.col(f"_counts.{c}") for c in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}).drop("_counts"))
+    return (df.withColumn("__counts", run(text_or_empty(text))).withColumns({c: F.col(f"__counts.{c}") for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}).drop("__counts"))
 
 
 def chi2_share(x: float, k: float) -> float:
