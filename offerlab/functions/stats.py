@@ -2,93 +2,86 @@
 
 ``percentile``/``median`` keep a value->count map of the whole column in
 one final aggregation buffer, which does not scale for continuous values.
-Here the k-th smallest value is found by histogram refinement: approximate
-quantiles give up to ``buckets`` split points (a bounded list), one grouped
-pass counts rows per bucket (a bounded table), the bucket holding rank k is
-kept and refined again. Each pass divides the candidate set by about
-``buckets``; once it holds at most ``collect_limit`` rows (or one distinct
-value) the few remaining values are sorted on the driver. A value shared by
-a third of all rows ends in a single-valued bucket and resolves at once.
+Here the k-th smallest value is found digit by digit: a double maps to a
+64-bit integer of the same order, and four passes each count its next 16
+bits among the rows that share the digits found so far. A pass returns at
+most 65,536 counts per wanted rank, whatever the table's size, and ties,
+hot values and any distribution take the same four passes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+DIGITS, BITS = 4, 16
+SIGN = np.uint64(1 << 63)
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; both zeros are one value."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & SIGN, ~bits, bits | SIGN)
+
+
+def from_ordered(bits: int) -> float:
+    b = bits ^ (1 << 63) if bits >> 63 else ~bits & ((1 << 64) - 1)
+    return float(np.array([b], dtype=np.uint64).view(np.float64)[0])
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, Iterable[int]]) -> dict[tuple[str, int], float]:
+    """{(column, rank): value} of 0-based ranks among a column's values (NULL
+    and NaN ignored); a rank beyond the values is left out."""
+    columns = list(ranks)
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    open_ranks = {(i, k): (0, int(k)) for i, c in enumerate(columns) for k in set(ranks[c])}  # found digits, rank among those left
+    for digit in range(DIGITS):
+        shift = np.uint64(64 - BITS * (digit + 1))
+        wanted = sorted({(i, found) for (i, _), (found, _) in open_ranks.items()})
 
-def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 1000,
-                 collect_limit: int = 100_000, max_rounds: int = 12) -> float | None:
+        def count(batches, wanted=wanted, shift=shift, first=digit == 0):
+            sums = [np.zeros(1 << BITS, dtype=np.int64) for _ in wanted]
+            for batch in batches:
+                for total, (i, found) in zip(sums, wanted):
+                    x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    bits = ordered_bits(x[~np.isnan(x)]) >> shift
+                    if not first:
+                        bits = bits[bits >> np.uint64(BITS) == np.uint64(found)]
+                    total += np.bincount((bits & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+            for at, total in enumerate(sums):
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at)), pa.array(some), pa.array(total[some])], ["at", "digit", "n"])
+
+        counts = values.mapInArrow(count, "at long, digit long, n long").groupBy("at", "digit").agg(F.sum("n").alias("n")).toPandas()
+        tables = {wanted[at]: g.sort_values("digit") for at, g in counts.groupby("at")}
+        for key, (found, left) in list(open_ranks.items()):
+            table = tables.get((key[0], found))
+            ends = table["n"].cumsum().to_numpy() if table is not None else np.zeros(0)
+            at = int(np.searchsorted(ends, left, side="right"))
+            if at == len(ends):
+                del open_ranks[key]
+                continue
+            open_ranks[key] = (found << BITS | int(table["digit"].iloc[at]), left - int(ends[at - 1] if at else 0))
+    return {(columns[i], k): from_ordered(found) for (i, k), (found, _) in open_ranks.items()}
+
+
+def kth_smallest(df: DataFrame, col: str, k: int) -> float | None:
     """0-based k-th smallest non-null value of ``col``."""
-    from pyspark.ml.feature import Bucketizer
-
-    sub = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    base = 0
-    for _ in range(max_rounds):
-        stats = sub.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-        if n == 0 or k - base >= n:
-            return None
-        if lo == hi:
-            return float(lo)
-        if n <= collect_limit:
-            vals = sorted(r["v"] for r in sub.collect())
-            return float(vals[k - base])
-        probs = [i / buckets for i in range(1, buckets)]
-        import math
-
-        cuts = sorted(set(sub.approxQuantile("v", probs, 1.0 / (4 * buckets))))
-        # the first cut isolates the smallest value, so every pass makes
-        # progress even when one value fills most quantiles
-        first = math.nextafter(lo, math.inf)
-        splits = [float("-inf"), first] + [c for c in cuts if first < c <= hi] + [float("inf")]
-        bz = Bucketizer(splits=splits, inputCol="v", outputCol="b")
-        hist = sorted((int(r["b"]), r["c"]) for r in
-                      bz.transform(sub).groupBy("b").agg(F.count(F.lit(1)).alias("c")).collect())
-        acc = base
-        chosen = None
-        for b, c in hist:
-            if k < acc + c:
-                chosen = b
-                break
-            acc += c
-        sub = bz.transform(sub).where(F.col("b") == chosen).select("v")
-        base = acc
-    raise RuntimeError("kth_smallest did not converge")
-
-
-def exact_medians(df: DataFrame, cols: list[str], collect_limit: int = 100_000) -> dict:
-    """Medians of several columns. One aggregate counts the non-null values;
-    when the table is at most ``collect_limit`` rows the columns are pulled
-    once (a bounded transfer) and sorted on the driver, else each column
-    goes through the distributed refinement."""
-    import numpy as np
+    return order_statistics(df, {col: [k]}).get((col, k))
 
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict:
+    """Medians of several columns as pandas defines them: the middle value,
+    or the mean of the two middle values for an even count."""
     valid = [F.col(c).cast("double") for c in cols]
-    row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(F.when(~F.isnan(v), v)).alias(f"n{i}") for i, v in enumerate(valid)]).first()
-    if row["_rows"] <= collect_limit:
-        pdf = df.select(*[v.alias(c) for v, c in zip(valid, cols)]).toPandas()
-        out = {}
-        for c in cols:
-            arr = np.sort(pdf[c].dropna().to_numpy(dtype=float))
-            if arr.size == 0:
-                out[c] = None
-            elif arr.size % 2:
-                out[c] = float(arr[arr.size // 2])
-            else:
-                out[c] = (float(arr[arr.size // 2 - 1]) + float(arr[arr.size // 2])) / 2.0
-        return out
-    return {c: exact_median(df, c, collect_limit=collect_limit) for c in cols}
-
-
-def exact_median(df: DataFrame, col: str, **kw) -> float | None:
-    """Median as pandas defines it: the middle value, or the mean of the
-    two middle values for an even count. NULL/NaN ignored."""
-    n = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
-    if n == 0:
-        return None
-    if n % 2 == 1:
-        return kth_smallest(df, col, n // 2, **kw)
-    a = kth_smallest(df, col, n // 2 - 1, **kw)
-    b = kth_smallest(df, col, n // 2, **kw)
-    return (a + b) / 2.0
+    sizes = df.agg(*[F.count(F.when(~F.isnan(v), v)).alias(f"n{i}") for i, v in enumerate(valid)]).first()
+    middle = {c: ((n - 1) // 2, n // 2) for c, n in zip(cols, sizes) if n}
+    found = order_statistics(df, middle)
+    return {c: (found[c, middle[c][0]] + found[c, middle[c][1]]) / 2.0 if c in middle else None for c in cols}
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    return exact_medians(df, [col])[col]

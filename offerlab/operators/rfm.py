@@ -25,8 +25,7 @@ def whole_days(start: Column, end: Column) -> Column:
 def rfm_features(completed: DataFrame) -> DataFrame:
     """B2 + B3: one row per customer_unique_id; NULL customers dropped.
 
-    Orders are one row per order_id (the key of the orders table), so the
-    distinct-order count is a plain count and needs no extra shuffle.
+    An order counts once however often its row is repeated.
     """
     ref = reference_date(completed)
     per = (
@@ -35,7 +34,7 @@ def rfm_features(completed: DataFrame) -> DataFrame:
         .agg(
             F.max("order_purchase_timestamp").alias("last_purchase"),
             F.min("order_purchase_timestamp").alias("first_purchase"),
-            F.count("order_id").alias("frequency"),
+            F.countDistinct("order_id").alias("frequency"),
             F.sum(F.col("order_total").cast(MONEY)).alias("_m"),
             F.count("order_total").alias("_n_total"),
             F.coalesce(F.sum("item_count"), F.lit(0)).alias("total_items"),
@@ -113,8 +112,10 @@ def kmeans_segments(rfm: DataFrame, params: Params = DEFAULT_PARAMS, restarts: i
 
     z = standardize(rfm)
     zcols = [f"{c}_z" for c in RFM_FEATURES]
-    complete = z.dropna(subset=zcols)
-    vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(complete).cache()
+    incomplete = F.expr(" OR ".join(f"{c} IS NULL" for c in zcols))
+    complete = z.where(~incomplete)
+    complete_vectors = VectorAssembler(inputCols=zcols, outputCol="features").transform
+    vec = complete_vectors(complete).persist()
     n_restarts = params.kmeans_restarts if restarts is None else restarts
     best, best_cost, costs = None, None, []
     for i in range(max(1, n_restarts)):
@@ -124,7 +125,7 @@ def kmeans_segments(rfm: DataFrame, params: Params = DEFAULT_PARAMS, restarts: i
         costs.append(cost)
         if best_cost is None or cost < best_cost:
             best, best_cost = model, cost
-    clustered = best.transform(vec).drop("features")
+    clustered = best.transform(complete_vectors(complete)).drop("features")
     vec.unpersist()
     # Cluster means (k rows), B7: name each cluster from its means.
     means = clustered.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in RFM_FEATURES])
@@ -134,7 +135,7 @@ def kmeans_segments(rfm: DataFrame, params: Params = DEFAULT_PARAMS, restarts: i
         .alias("cluster_segment"))
     # K-row table, broadcast by construction (k = n_clusters).
     out = clustered.join(F.broadcast(names), "cluster", "left")
-    dropped = z.join(complete.select("customer_unique_id"), "customer_unique_id", "left_anti")
+    dropped = z.where(incomplete)
     dropped = dropped.withColumn("cluster", F.lit(None).cast("int")).withColumn(
         "cluster_segment",
         segment_ladder(F.col("recency"), F.col("frequency"), F.col("monetary"), params.thresholds))

@@ -55,19 +55,25 @@ def q_empirical_propensity(spark, sf_dir):
 
 
 # Linear behaviour propensities ----------------------------------
-_W, _B = D.behavior_weights(P)
-_logits = [f"({OB.vsum([f'x{j} * {OB.lit(_W[j][a])}' for j in range(D.DIM)])} + {OB.lit(_B[a])})"
-           for a in range(K)]
-_probs = OB.floor_prop(OB.softmax(_logits))
-
-
-@query("propensity_softmax", with_ctes(["ctx_c"], f"""
+# weights of the log itself (a table of k rows) as columns w<feature>_<action>, b<action>
+_WCOLS = ", ".join([f"coalesce(max(x{j}) FILTER (WHERE action = {a}), 0.0) AS w{j}_{a}" for j in range(D.DIM) for a in range(K)]
+                   + [f"coalesce(max(b) FILTER (WHERE action = {a}), -20.0) AS b_{a}" for a in range(K)])
+_WEIGHTS = f"""
+, wa AS (SELECT action, {", ".join(f"avg(x{j}) AS x{j}" for j in range(D.DIM))},
+                ln(count(*) / CAST((SELECT count(*) FROM ctx_c WHERE action IS NOT NULL) AS DOUBLE)) AS b
+         FROM ctx_c WHERE action IS NOT NULL GROUP BY action),
+wt AS (SELECT {_WCOLS} FROM wa),
+lg AS (SELECT c.*, {", ".join(f"({OB.vsum([f'x{j} * w{j}_{a}' for j in range(D.DIM)])} + b_{a}) AS lg{a}" for a in range(K))} FROM ctx_c c, wt)"""
+_probs = OB.floor_prop(OB.softmax([f"lg{a}" for a in range(K)]))
+
+
+@query("propensity_softmax", with_ctes(["ctx_c"], f"""{_WEIGHTS}
 SELECT round_id, {", ".join(f"round(p{a}, 6) AS p{a}" for a in range(K))},
        round(greatest({OB.pick([f"p{a}" for a in range(K)], "action")}, {OB.lit(1e-6)}), 6) AS pscore_model
-FROM (SELECT round_id, action, {", ".join(f"{p} AS p{a}" for a, p in enumerate(_probs))} FROM ctx_c)"""))
+FROM (SELECT round_id, action, {", ".join(f"{p} AS p{a}" for a, p in enumerate(_probs))} FROM lg)""", extra=True))
 def q_propensity_softmax(spark, sf_dir):
     r = rounds_table(spark, sf_dir)
-    df = D.with_linear_propensity(r, _W, _B, P.min_pscore)
+    df = D.with_linear_propensity(r, *D.logged_weights(r), P.min_pscore)
     df = df.withColumn("pscore_model", F.expr(D.logged_pscore(V.cols("p", K))))
     return present(df.select("round_id", *[f"p{a}" for a in range(K)], "pscore_model"))
 
@@ -80,14 +86,15 @@ def _assign_sql():
         acc = f"p{a}" if acc is None else f"({acc} + p{a})"
         cum.append(acc)
     case = " ".join(f"WHEN {cum[i]} > u THEN {i}" for i in range(K - 1))
-    return with_ctes(["ctx_c"], f"""
+    return with_ctes(["ctx_c"], f"""{_WEIGHTS}
 SELECT round_id, (CASE {case} ELSE {K - 1} END)::BIGINT AS assigned_action, round(u, 6) AS u
-FROM (SELECT round_id, {", ".join(f"{p} AS p{a}" for a, p in enumerate(_probs))}, {u} AS u FROM ctx_c)""")
+FROM (SELECT round_id, {", ".join(f"{p} AS p{a}" for a, p in enumerate(_probs))}, {u} AS u FROM lg)""", extra=True)
 
 
 @query("hash_assignment", _assign_sql())
 def q_hash_assignment(spark, sf_dir):
-    r = D.with_linear_propensity(rounds_table(spark, sf_dir), _W, _B, P.min_pscore)
+    rounds = rounds_table(spark, sf_dir)
+    r = D.with_linear_propensity(rounds, *D.logged_weights(rounds), P.min_pscore)
     act, u = D.hash_assignment(V.cols("p", K), pipe_key(F.lit(str(P.seed)), F.col("round_id")))
     return present(r.select("round_id", act.alias("assigned_action"), u.alias("u")))
 
