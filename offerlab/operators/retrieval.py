@@ -14,70 +14,67 @@ from offerlab.functions.text import ustrip
 
 def load_knowledge(spark: SparkSession, dir_path: str) -> DataFrame:
     """A2: .txt / .md files (any case) as whole texts, stripped, empty
-    dropped, file name kept as source. A missing folder gives no rows."""
-    import os
-
-    schema = "source string, text string"
-    if not os.path.isdir(dir_path):
-        return spark.createDataFrame([], schema)
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", False)
+    dropped, file name kept as source. Any path Spark can read; a missing
+    folder gives no rows, files that cannot be read are skipped."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(dir_path)
+    if not path.getFileSystem(hadoop).exists(path):
+        return spark.createDataFrame([], "source string, text string")
+    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", False).option("ignoreCorruptFiles", True)
           .option("pathGlobFilter", "*.[tTmM][xXdD]*").text(dir_path))
     df = df.select(F.col("_metadata.file_name").alias("source"), ustrip(F.col("value")).alias("text"))
     keep = F.lower(F.col("source")).endswith(".txt") | F.lower(F.col("source")).endswith(".md")
     return df.where(keep & (F.length("text") > 0))
 
 
-def split_text(text: str, chunk_size: int = 512, chunk_overlap: int = 100) -> list[str]:
-    """H1 per document: split once on the first separator present; strip;
-    drop empties; pack greedily while the length sum stays within
-    chunk_size; a new chunk starts with the tail pieces totalling at most
-    chunk_overlap; an over-long piece stays whole."""
-    sep = CHUNK_SEPARATORS[-1]
-    pieces = [text]
-    for s in CHUNK_SEPARATORS:
-        if s in text:
-            sep, pieces = s, text.split(s)
-            break
-    chunks, cur, cur_len = [], [], 0
-    for raw in pieces:
-        p = raw.strip()
-        if not p:
-            continue
-        if cur_len + len(p) > chunk_size and cur:
-            chunks.append(sep.join(cur))
-            keep, keep_len = [], 0
-            for q in reversed(cur):
-                if keep_len + len(q) > chunk_overlap:
-                    break
-                keep.insert(0, q)
-                keep_len += len(q)
-            cur, cur_len = keep, keep_len
-        cur.append(p)
-        cur_len += len(p)
-    if cur:
-        chunks.append(sep.join(cur))
-    return [c for c in chunks if c.strip()]
+def chunk_spans(sizes: F.Column, chunk_size: int, chunk_overlap: int) -> F.Column:
+    """H1: (first, after) piece numbers of each chunk, from the pieces' sizes.
+
+    One pass over the sizes holds the open chunk's first piece, its pieces'
+    sizes and their sum. A piece that does not fit closes the chunk; the next
+    one reaches back over the longest tail of at most ``chunk_overlap``.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("total"),
+                     F.expr("cast(array() as array<int>)").alias("held"),
+                     F.expr("cast(array() as array<struct<first:int,after:int>>)").alias("spans"))
+
+    def tail(held):
+        """Pieces and characters of the longest tail that may be repeated."""
+        return F.aggregate(F.reverse(held), F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(True).alias("on")), lambda t, x: F.when(
+            t["on"] & (t["sum"] + x <= chunk_overlap), F.struct((t["n"] + 1).alias("n"), (t["sum"] + x).alias("sum"), F.lit(True).alias("on"))
+        ).otherwise(F.struct(t["n"].alias("n"), t["sum"].alias("sum"), F.lit(False).alias("on"))))
+
+    def state(at, first, total, held, spans):
+        return F.struct(at.alias("at"), first.cast("int").alias("first"), total.cast("int").alias("total"), held.alias("held"), spans.alias("spans"))
+
+    def step(s, size):
+        grown = state(s["at"] + 1, s["first"], s["total"] + size, F.concat(s["held"], F.array(size)), s["spans"])
+        closed = F.concat(s["spans"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("after"))))
+        # a one-element array binds the tail once
+        opened = F.transform(F.array(tail(s["held"])), lambda t: state(
+            s["at"] + 1, s["at"] - t["n"], t["sum"] + size,
+            F.concat(F.slice(s["held"], F.size(s["held"]) - t["n"] + 1, t["n"]), F.array(size)), closed))[0]
+        return F.when((s["total"] + size > chunk_size) & (F.size(s["held"]) > 0), opened).otherwise(grown)
+
+    return F.aggregate(sizes, start, step, lambda s: F.when(F.size(s["held"]) > 0, F.concat(
+        s["spans"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("after"))))).otherwise(s["spans"]))
 
 
 def chunk_corpus(docs: DataFrame, params: Params = DEFAULT_PARAMS, id_col: str = "doc_id",
                  text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """H1 + H2: one row per chunk (doc_id, source, chunk_no, text). Spark
-    partitions the documents; each whole document is split by the small
-    helper above inside an Arrow batch (mapInPandas), never truncated."""
-    size, overlap = params.chunk_size, params.chunk_overlap
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for did, src, txt in zip(pdf[id_col], pdf[source_col], pdf[text_col]):
-                if txt is None:
-                    continue
-                for i, c in enumerate(split_text(txt, size, overlap)):
-                    rows.append((did, src, i, c))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "chunk_no", "text"])
-
-    src = docs.select(F.col(id_col), F.col(source_col), F.col(text_col))
-    return src.mapInPandas(run, "doc_id long, source string, chunk_no int, text string")
+    """H1 + H2: one row per chunk (doc_id, source, chunk_no, text).
+
+    A text is cut at the first of the separators that it holds; its pieces
+    are stripped, blank ones dropped, and packed by ``chunk_spans``; a piece
+    longer than a chunk stays whole. Built-in functions only."""
+    text = F.col(text_col)
+    separator = F.coalesce(*[F.when(F.contains(text, F.lit(x)), F.lit(x)) for x in CHUNK_SEPARATORS], F.lit(CHUNK_SEPARATORS[-1]))
+    cut = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("_t"), separator.alias("_sep"))
+    pieces = F.filter(F.transform(F.split("_t", F.concat(F.lit(r"\Q"), F.col("_sep"), F.lit(r"\E")), F.lit(-1)), ustrip), lambda x: F.length(x) > 0)
+    packed = cut.withColumn("_pieces", pieces).withColumn("_spans", chunk_spans(
+        F.transform("_pieces", lambda x: F.length(x)), params.chunk_size, params.chunk_overlap))
+    return packed.select("doc_id", "source", "_pieces", "_sep", F.posexplode("_spans").alias("chunk_no", "_span")).select(
+        "doc_id", "source", "chunk_no", F.expr("array_join(slice(_pieces, _span.first + 1, _span.after - _span.first), _sep)").alias("text"))
 
 
 def l2_normalize(v: F.Column) -> F.Column:

@@ -201,7 +201,7 @@ def feedback_events(spark, sf_dir):
         # reports carry 6 decimals (scaled binary rounding, engine-independent)
         return F.round(F.col(c) * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
 
-    rep = E.ope_report(df, K).select("policy", r6("dr").alias("metric_value"),
+    rep = E.ope_report(df, K).select("policy", r6(FF.metric_column(P)).alias("metric_value"),
                                      r6("behavior_mean").alias("baseline"))
     return d.select(F.col("user_segment").alias("router_key"), F.col("ts").alias("event_time"),
                     F.col("round_id").alias("event_id"), "policy").join(F.broadcast(rep), "policy", "left")
@@ -254,12 +254,21 @@ FROM st WHERE rn > 0"""
     return "WITH RECURSIVE " + sql[len("WITH "):]
 
 
+def _snapshot_sql():
+    """T20 over the same recursion: the state at each key's last event."""
+    sql = _fold_sql()
+    i = sql.rindex("SELECT router_key, event_id, policy")
+    names = ", ".join(f"round(b{j}, 6) AS bias_{p}" for j, p in enumerate(POLICY_ORDER))
+    return sql[:i] + f"""SELECT router_key, rn AS events, {names} FROM st
+WHERE rn > 0 AND (router_key, rn) IN (SELECT (router_key, max(rn)) FROM st GROUP BY router_key)"""
+
+
 @query("feedback_fold", _fold_sql())
 def q_feedback_fold(spark, sf_dir):
-    return present(FF.fold_feedback(feedback_events(spark, sf_dir)).drop("reason"))
+    return present(FF.fold_feedback(feedback_events(spark, sf_dir)).drop("reason", "event_time"))
 
 
-@query("bias_snapshot")
+@query("bias_snapshot", _snapshot_sql())
 def q_bias_snapshot(spark, sf_dir):
     return present(FF.bias_snapshot(FF.fold_feedback(feedback_events(spark, sf_dir))))
 
@@ -273,23 +282,27 @@ def q_decision_report(spark, sf_dir):
 
 
 # The streaming fold driven to completion over the feedback log -------------
-@query("feedback_stream")
+@query("feedback_stream", _fold_sql())
 def q_feedback_stream(spark, sf_dir):
-    import os
-    import tempfile
     import uuid
 
     from offerlab.session import ensure_checkpoint_dir
     from offerlab.streaming.feedback_stream import run_feedback_stream
 
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
-    run = os.path.join(base, f"feedback-stream-{uuid.uuid4().hex[:8]}")
-    src = os.path.join(run, "events")
+    run = f"{ensure_checkpoint_dir(spark)}/feedback-stream-{uuid.uuid4().hex[:8]}"
     ev = feedback_events(spark, sf_dir).withColumn("event_time", F.col("event_time").cast("timestamp"))
-    # the log lands as time-ordered files (one per event-time day), the
-    # stream reads one file per micro-batch
-    (ev.withColumn("day", F.to_date("event_time")).repartition("day").sortWithinPartitions("event_time", "event_id")
-       .write.mode("overwrite").partitionBy("day").parquet(src))
-    name = f"feedback_{uuid.uuid4().hex[:8]}"
-    out = run_feedback_stream(spark, src, os.path.join(run, "checkpoint"), name, P, max_files=10)
-    return present(out.drop("reason"))
+    # the log lands in files by hash of the event, so every file mixes all days; a watermark longer than the log's
+    # span lets none be late, and a closing event per key moves it past the last one
+    ev.write.parquet(f"{run}/events")
+    span = ev.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
+    if span["hi"] is None:
+        return present(FF.fold_feedback(ev).drop("reason", "event_time"))
+    days = (span["hi"] - span["lo"]).days + 1
+    sink = f"{run}/folded"
+    run_feedback_stream(spark, f"{run}/events", f"{run}/checkpoint", sink, P, max_files=4, watermark=f"{days} days")
+    closing = ev.select("router_key").distinct().select("router_key", F.lit(span["hi"]).alias("event_time").cast("timestamp"), F.lit(-1).cast("long").alias("event_id"),
+                                                        F.lit("auto").alias("policy"), F.lit(0.0).alias("metric_value"), F.lit(0.0).alias("baseline"))
+    closing = closing.withColumn("event_time", F.expr(f"event_time + INTERVAL {2 * days + 1} DAYS"))
+    closing.coalesce(1).write.mode("append").parquet(f"{run}/events")
+    out = run_feedback_stream(spark, f"{run}/events", f"{run}/checkpoint", sink, P, max_files=4, watermark=f"{days} days")
+    return present(out.where("enabled").drop("reason", "event_time"))
