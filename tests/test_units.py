@@ -14,7 +14,7 @@ from offerlab.functions.hashing import stable_index
 from offerlab.functions.stats import exact_median, kth_smallest
 from offerlab.operators import feedback_fold as FF
 from offerlab.operators import offers as G
-from offerlab.operators.retrieval import split_text
+from offerlab.operators import retrieval as H
 
 
 def test_whole_days_floor(spark):
@@ -57,19 +57,73 @@ def test_kth_smallest_refinement_path(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     srt = np.sort(vals)
     for k in (0, 1234, 2600, 4999):
-        assert kth_smallest(df, "x", k, buckets=16, collect_limit=200) == srt[k]
+        assert kth_smallest(df, "x", k) == srt[k]
 
 
-def test_split_text_separators_and_overlap():
-    assert split_text("a.b.c") == ["a.b.c"]
-    assert split_text("  \n  ") == []
-    text = "\n".join(["x" * 300, "y" * 150, "z" * 90, "w" * 200])
-    chunks = split_text(text)
-    # 300+150 fits; +90 exceeds 512 -> new chunk starting with the <=100 tail (none fits: 150 > 100)
-    assert chunks[0] == "x" * 300 + "\n" + "y" * 150
-    assert chunks[1].startswith("z" * 90)
-    long = "q" * 600
-    assert split_text(long + " tail") == [long, "tail"] or split_text(long + " tail")[0] == long
+def model_chunks(text, size=512, overlap=100):
+    """Chunks by exhaustive search over piece ranges, written apart from the fold."""
+    sep = next((x for x in ["\n\n", "\n", "。", "！", "？", "；", ".", " "] if x in text), " ")
+    pieces = [p for p in (x.strip() for x in text.split(sep)) if p]
+    total = lambda a, b: sum(map(len, pieces[a:b]))
+    out, first, n = [], 0, len(pieces)
+    while n:
+        end = next((e for e in range(first + 1, n + 1) if e == n or total(first, e + 1) > size and e >= done(out, first)), n)
+        out.append((first, end))
+        if end == n:
+            break
+        first = next(t for t in range(first, end + 1) if total(t, end) <= overlap)
+    return [sep.join(pieces[a:b]) for a, b in out]
+
+
+def done(out, first):
+    """A chunk that begins with repeated pieces holds at least the first new one."""
+    return out[-1][1] + 1 if out and out[-1][1] > first else first + 1
+
+
+def test_chunks_against_a_separate_model(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdé")) for _ in range(int(rng.integers(1, 160))))
+    texts = ["a.b.c", "  \n  ", "", "x" * 600, "q" * 600 + " tail", "\n".join(["x" * 300, "y" * 150, "z" * 90, "w" * 200]), "　wide\n　space　", None]
+    texts += [sep.join(word() for _ in range(int(rng.integers(1, 25)))) for sep in ("\n\n", "\n", "。", "！", "？", "；", ".", " ") for _ in range(6)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {}
+    for r in H.chunk_corpus(df).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {i: c for i, t in enumerate(texts) if t is not None for c in [model_chunks(t)] if c}
+
+
+def test_knowledge_is_read_from_any_path(spark, tmp_path):
+    (tmp_path / "a.TXT").write_text("  one\n")
+    (tmp_path / "b.md").write_text("two")
+    (tmp_path / "c.csv").write_text("three")
+    (tmp_path / "d.txt").write_text(" \n ")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        assert sorted(map(tuple, H.load_knowledge(spark, path).collect())) == [("a.TXT", "one"), ("b.md", "two")]
+    assert H.load_knowledge(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_model_output_parsing(spark):
+    rows = [('{"offer": "x", "tone": "y"}', ("x", "y")), ("{}", None), ("", None), (None, None), ('```json\n{"offer": "x"}\n```', None), ("{broken", None), ('{"other": 1}', (None, None))]
+    df = spark.createDataFrame([(r,) for r, _ in rows], "raw string").select("raw", G.parse_strategy(F.col("raw")).alias("p"))
+    assert [None if r.p is None else (r.p.offer, r.p.tone) for r in df.collect()] == [w for _, w in rows]
+
+
+def test_fallback_offer(spark):
+    req = spark.createDataFrame([(None, 1, "c", "uplift", "new"), (7, 2, "c", None, None)],
+                                "action_id int, round_id long, customer_unique_id string, routed_tool string, user_segment string")
+    a, b = G.resolve_offers(req, G.catalog_df(spark)).orderBy("round_id").collect()
+    assert (a.offer_id, a.template_id, a.offer_text, a.total_cost) == ("fallback_action_0", "fallback", G.FALLBACK_TEXTS[0], 0.0)
+    assert b.offer_id.startswith("action_2_tpl_")
+    empty = G.resolve_offers(req, G.catalog_df(spark, [])).orderBy("round_id").collect()
+    assert [r.offer_id for r in empty] == ["fallback_action_0", "fallback_action_7"]
+
+
+def test_dense_index(spark):
+    from offerlab.operators.feedback import with_dense_index
+
+    ids = [int(x) for x in np.random.default_rng(3).permutation(500) * 7]
+    got = {r.round_id: r.round_idx for r in with_dense_index(spark.createDataFrame([(i,) for i in ids], "round_id long")).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(ids))}
 
 
 def test_discount_amount(spark):
@@ -94,33 +148,79 @@ def _events(n=300, keys=4, seed=3):
     })
 
 
-def test_feedback_fold_matches_sequential(spark):
-    pdf = _events()
-    want = FF.fold_python(pdf).sort_values(["router_key", "event_id"]).reset_index(drop=True)
-    sdf = spark.createDataFrame(pdf, "router_key string, event_time timestamp_ntz, event_id long, policy string, "
-                                     "metric_value double, baseline double")
-    got = FF.fold_feedback(sdf, partitions=3).toPandas().sort_values(["router_key", "event_id"]).reset_index(drop=True)
-    for p in POLICY_ORDER:
-        np.testing.assert_allclose(got[f"bias_{p}"], want[f"bias_{p}"], atol=1e-12)
-    assert (got["enabled"] == want["enabled"]).all()
-    # auto is rejected, unknown routes to rule_engine
-    assert not got.loc[pdf.set_index("event_id").loc[got["event_id"], "policy"].values == "auto", "enabled"].any()
+FEEDBACK = "router_key string, event_time timestamp, event_id long, policy string, metric_value double, baseline double"
+
+
+def plain_fold(pdf, p=P):
+    """One event after the other, with the bound and the mean written out."""
+    state, out = {}, {}
+    names = {"bandit": "contextual_bandit", "unknown": "rule_engine"}
+    for r in pdf.sort_values(["event_time", "event_id"]).itertuples(index=False):
+        bias, count, em = state.setdefault(r.router_key, ([0.0] * 5, [0] * 5, [0.0] * 5))
+        name = names.get(r.policy.lower(), r.policy)
+        ok = name in POLICY_ORDER
+        if ok:
+            i = POLICY_ORDER.index(name)
+            metric = 0.0 if r.metric_value is None or np.isnan(r.metric_value) else r.metric_value
+            push = p.feedback_lr * min(max(metric - r.baseline, -p.feedback_clip), p.feedback_clip)
+            moved = [b * (1 - p.feedback_decay) + (push if j == i else 0) for j, b in enumerate(bias)]
+            bias[:] = [min(max(b - sum(moved) / 5, -1.5), 1.5) for b in moved]
+            count[i] += 1
+            em[i] = (1 - p.feedback_ema) * em[i] + p.feedback_ema * metric
+        out[r.event_id] = (ok, tuple(bias), count[i] if ok else None, em[i] if ok else None)
+    return out
+
+
+def same_fold(rows, want):
+    assert {r.event_id for r in rows} == set(want)
+    for r in rows:
+        ok, bias, count, em = want[r.event_id]
+        assert r.enabled == ok
+        np.testing.assert_allclose([r[f"bias_{p}"] for p in POLICY_ORDER], bias, atol=1e-11)
+        if ok:
+            assert r.feedback_count == count and r.ema_metric == pytest.approx(em, abs=1e-11)
+        else:
+            assert r.metric_value is None and r.reason == "invalid_policy"
+
+
+@pytest.mark.parametrize("params", [P, P.with_(feedback_lr=3.0, feedback_clip=2.0), P.with_(feedback_decay=0.9), P.with_(feedback_ema=1.0)])
+def test_feedback_fold_matches_sequential(spark, params):
+    pdf = _events(n=600, keys=2)
+    pdf.loc[::17, "metric_value"] = np.nan
+    got = FF.fold_feedback(spark.createDataFrame(pdf, FEEDBACK), params, partitions=5).collect()
+    same_fold(got, plain_fold(pdf, params))
+
+
+def test_snapshot_takes_the_last_event_in_time(spark):
+    rows = [("k", datetime(2024, 1, 1, 0, 0), 9, "uplift", 0.5, 0.3), ("k", datetime(2024, 1, 1, 0, 1), 2, "fusion", None, 0.3)]
+    folded = FF.fold_feedback(spark.createDataFrame(rows, FEEDBACK))
+    last = folded.where("event_id = 2").first()
+    snap = FF.bias_snapshot(folded).first()
+    assert snap.events == 2 and snap.bias_fusion == round(last.bias_fusion, 6) and last.metric_value == 0.0 and last.bias_fusion < 0
+
+
+def test_disabled_feedback_changes_nothing(spark):
+    rows = FF.fold_feedback(spark.createDataFrame(_events(30), FEEDBACK), P.with_(feedback_enabled=False)).collect()
+    assert len(rows) == 30 and all(r.reason == "disabled" and r.bias_uplift == 0.0 for r in rows)
 
 
-def test_feedback_stream_equals_batch(spark, tmp_path):
+def test_feedback_stream_equals_batch_for_shuffled_and_late_rows(spark, tmp_path):
     from offerlab.streaming.feedback_stream import run_feedback_stream
 
-    pdf = _events(n=200, keys=3, seed=5)
-    pdf["day"] = pdf["event_time"].dt.strftime("%Y%m%d%H")
-    sdf = spark.createDataFrame(pdf, "router_key string, event_time timestamp_ntz, event_id long, policy string, "
-                                     "metric_value double, baseline double, day string")
-    src = str(tmp_path / "src")
-    sdf.withColumn("event_time", F.col("event_time").cast("timestamp")).repartition(1).write.parquet(src)
-    out = run_feedback_stream(spark, src, str(tmp_path / "ck"), "fb_stream_test", P).toPandas()
-    want = FF.fold_python(pdf)
-    out = out.sort_values(["router_key", "event_id"]).reset_index(drop=True)
-    want = want.sort_values(["router_key", "event_id"]).reset_index(drop=True)
-    np.testing.assert_allclose(out["bias_uplift"], want["bias_uplift"], atol=1e-12)
+    pdf = _events(n=200, keys=3, seed=5)  # seven days, in files by hash
+    src, ck, sink = (str(tmp_path / x) for x in ("src", "ck", "sink"))
+    spark.createDataFrame(pdf, FEEDBACK).repartition(6, "event_id").write.parquet(src)
+    run_feedback_stream(spark, src, ck, sink, P, max_files=2, watermark="8 days")
+    end = pdf["event_time"].max()
+    more = [(k, (end + pd.Timedelta(days=20)).to_pydatetime(), -1, "auto", 0.0, 0.0) for k in sorted(set(pdf["router_key"]))]
+    spark.createDataFrame(more, FEEDBACK).coalesce(1).write.mode("append").parquet(src)
+    out = run_feedback_stream(spark, src, ck, sink, P, max_files=2, watermark="8 days")
+    same_fold(out.collect(), plain_fold(pdf))
+    late = [("k0", datetime(2024, 1, 1), -2, "uplift", 9.0, 0.0)]  # long before the watermark
+    spark.createDataFrame(late, FEEDBACK).coalesce(1).write.mode("append").parquet(src)
+    out = run_feedback_stream(spark, src, ck, sink, P, max_files=2, watermark="8 days").collect()
+    same_fold([r for r in out if r.event_id != -2], plain_fold(pdf))
+    assert all(r.reason == "late" for r in out if r.event_id == -2)
 
 
 def test_reward_model_ridge_matches_numpy(spark):
