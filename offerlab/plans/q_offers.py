@@ -13,8 +13,9 @@ from offerlab.operators import offers as G
 from offerlab.operators import rfm as B
 from offerlab.plans.catalog import present, query
 from offerlab.plans.oracle import cte, with_ctes
-from offerlab.plans.q_router import decisions, routed_rounds
-from offerlab.sources.tables import load_tables
+from offerlab.plans.q_router import BIAS, decisions, routed_rounds, with_bias
+from offerlab.session import cut_lineage
+from offerlab.sources.tables import load_tables, read_table
 
 K = P.n_actions
 
@@ -191,11 +192,11 @@ def q_copy_fallback(spark, sf_dir):
 
 
 # T19, T20 --------------------------------------------------------------------
-def feedback_events(spark, sf_dir):
+def feedback_events(spark, sf_dir, df=None):
     """Feedback log: each round's routed policy (heuristic router) with that
     policy's OPE report (DR value vs behaviour mean, rounded to 6), keyed by
-    segment, in event-time order."""
-    df, _ = routed_rounds(spark, sf_dir)
+    segment, in event-time order. ``df``: routed rounds, where the caller has them."""
+    df = routed_rounds(spark, sf_dir)[0] if df is None else df
     d = decisions(df)
     def r6(c):
         # reports carry 6 decimals (scaled binary rounding, engine-independent)
@@ -273,6 +274,55 @@ def q_bias_snapshot(spark, sf_dir):
     return present(FF.bias_snapshot(FF.fold_feedback(feedback_events(spark, sf_dir))))
 
 
+# Every branch of the decision, with the bias that feedback has left ------
+#: Requested mode by event type: automatic, by alias, by name, unknown.
+MODES = {"click": "auto", "error": " Bandit ", "purchase": "auto", "signup": "no such policy", "view": "fusion"}
+
+
+def modal_rounds(spark, sf_dir):
+    df, _ = routed_rounds(spark, sf_dir)
+    df = cut_lineage(df)
+    snapshot = cut_lineage(FF.bias_snapshot(FF.fold_feedback(feedback_events(spark, sf_dir, df))))
+    kinds = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("round_id"), "event_type")
+    mode = F.lit(None).cast("string")
+    for kind, name in MODES.items():
+        mode = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(mode)
+    return with_bias(df, snapshot).join(kinds, "round_id").withColumn("requested", mode)
+
+
+def _modes_sql():
+    from offerlab.plans import oracle_bandit as OB
+    from offerlab.plans.q_router import lit
+
+    snap = _snapshot_sql()
+    n = len(POLICY_ORDER)
+    names = {"click": "auto", "error": "contextual_bandit", "purchase": "auto", "signup": "rule_engine", "view": "fusion"}
+    mode = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " ELSE 'rule_engine' END"
+    logits = [f"(lg{i} + coalesce(s.bias_{p}, 0.0))" for i, p in enumerate(POLICY_ORDER)]
+    cand = OB.softmax([f"bl{i}" for i in range(n)])
+    best = "CASE " + OB.argmax([f"bc{i}" for i in range(n)]) + " " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(POLICY_ORDER)) + " END"
+    return with_ctes(["dist_c"], f"""
+, snap AS ({snap}),
+ml AS (SELECT d.*, {mode} AS mode, {", ".join(f"{x} AS bl{i}" for i, x in enumerate(logits))}
+       FROM dist_c d JOIN events e ON e.event_id = d.round_id LEFT JOIN snap s ON s.router_key = d.user_segment),
+mc AS (SELECT *, {", ".join(f"{c} AS bc{i}" for i, c in enumerate(cand))} FROM ml),
+md AS (SELECT *, mode <> 'auto' AS manual, mode = 'auto' AND NOT known_customer AS missing,
+              mode = 'auto' AND known_customer AND pscore < {lit(P.force_rule_pscore)} AS forced FROM mc)
+SELECT round_id, mode, CASE WHEN manual THEN mode WHEN missing OR forced THEN 'rule_engine' ELSE ({best}) END AS policy,
+       round(CASE WHEN manual OR missing THEN 1.0 ELSE greatest({", ".join(f"bc{i}" for i in range(n))}) END, 6) AS confidence,
+       concat_ws(',', CASE WHEN manual THEN 'manual_override' END, CASE WHEN missing THEN 'missing_context_force_rule_engine' END,
+                 CASE WHEN NOT manual AND NOT missing THEN 'auto_heuristic_router' END, CASE WHEN forced THEN 'force_rule_by_very_low_pscore' END,
+                 CASE WHEN pscore < {lit(P.low_pscore)} THEN 'low_pscore' END, CASE WHEN complexity >= {lit(P.high_complexity)} THEN 'high_complexity' END,
+                 CASE WHEN churn_risk >= {lit(0.7)} THEN 'high_churn_risk' END) AS reasons
+FROM md""", extra=True)
+
+
+@query("router_decide_modes", _modes_sql())
+def q_router_decide_modes(spark, sf_dir):
+    d = decisions(modal_rounds(spark, sf_dir), P, BIAS, "requested", "known_customer")
+    return present(d.select("round_id", "mode", "policy", "confidence", F.array_join("reasons", ",").alias("reasons")))
+
+
 # J1-J5 -------------------------------------------------------------------------
 @query("decision_report")
 def q_decision_report(spark, sf_dir):
