@@ -127,6 +127,7 @@ class Params:
     chunk_size: int = 512
     chunk_overlap: int = 100
     top_k: int = 3
+    nlist: int = 100
     nprobe: int = 10
     # conversion model
     hot_products: int = 300

@@ -160,31 +160,48 @@ def retrieve(vectors: DataFrame, queries: list[tuple], top_k: int = 3, key: str
     return dedup.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
-def bucketed_topk(vectors: DataFrame, queries: list[tuple], k: int, params: Params = DEFAULT_PARAMS,
-                  key: str = "vec_id", vec_col: str = "embedding", seed: int = 42) -> DataFrame:
-    """H6: approximate top-k. Vectors are clustered (nlist = clip(sqrt n, 1,
-    1000) k-means centroids); each vector keeps its nearest centroid as a
-    bucket, each query probes its ``nprobe`` best buckets; an equi-join on
-    the bucket replaces the all-pairs scan, then H5 ranking."""
+def build_buckets(vectors: DataFrame, path: str, params: Params = DEFAULT_PARAMS, key: str = "vec_id",
+                  vec_col: str = "embedding", seed: int = 42) -> None:
+    """A10, H6: the stored index. ``nlist`` k-means centroids (fewer for fewer
+    vectors); every vector, normalised, goes to its centroid's bucket, a
+    partition folder of the table; bucket sizes and centroids are stored too."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = vectors.count()
-    nlist = max(1, min(int(math.sqrt(n)), 1000))
-    vec = vectors.select(key, l2_normalize(F.col(vec_col)).alias("_v")).withColumn(
-        "features", array_to_vector("_v")).persist()
-    model = KMeans(k=nlist, seed=seed, featuresCol="features", predictionCol="bucket").fit(vec)
-    centers = [c.tolist() for c in model.clusterCenters()]
-    assigned = model.transform(vec).select(key, "_v", "bucket")
-    probes = []
-    for qid, qv in queries:
-        sims = sorted(((sum(a * b for a, b in zip(qv, c)), i) for i, c in enumerate(centers)), reverse=True)
-        for _, i in sims[: params.nprobe]:
-            probes.append((qid, i, qv))
     spark = vectors.sparkSession
-    pq = spark.createDataFrame(probes, "query_id long, bucket int, qv array<double>")
-    j = assigned.join(F.broadcast(pq), "bucket")
-    scored = j.select(key, "query_id", F.aggregate(F.zip_with("qv", "_v", lambda a, b: a * b),
-                                                   F.lit(0.0), lambda s, x: s + x).alias("score"))
+    vectors.select(key, l2_normalize(F.col(vec_col)).alias("v")).write.parquet(f"{path}/vectors")
+    vec = spark.read.parquet(f"{path}/vectors").withColumn("features", array_to_vector("v"))
+    model = KMeans(k=max(2, params.nlist), seed=seed, featuresCol="features", predictionCol="bucket").fit(vec)
+    model.transform(vec).select(key, "v", "bucket").write.partitionBy("bucket").parquet(f"{path}/buckets")
+    sizes = spark.read.parquet(f"{path}/buckets").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "bucket int, centre array<double>")
+    centres.join(sizes, "bucket").write.parquet(f"{path}/centres")
+
+
+def bucketed_topk(spark: SparkSession, path: str, queries: list[tuple], k: int, params: Params = DEFAULT_PARAMS,
+                  key: str = "vec_id") -> DataFrame:
+    """H6: approximate top-k from a stored index. Each query probes its
+    ``nprobe`` best buckets, and further ones while those hold fewer than k
+    vectors; only probed buckets are read, then H5 ranking."""
+    centres = sorted((r["bucket"], r["centre"], r["n"]) for r in spark.read.parquet(f"{path}/centres").collect())  # nlist rows
+    matrix, sizes = np.array([c for _, c, _ in centres]), np.array([n for _, _, n in centres])
+    wanted: dict[int, list] = {}
+    for qid, qv in queries:
+        order = np.argsort(-(matrix @ np.array(qv)), kind="stable")
+        enough = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1
+        for i in order[: max(params.nprobe, enough)]:
+            wanted.setdefault(centres[i][0], []).append((qid, qv))
+    rows = spark.read.parquet(f"{path}/buckets").where(F.col("bucket").isin(list(wanted)))
+
+    def run(batches):
+        for pdf in batches:
+            for bucket, part in pdf.groupby("bucket"):
+                m, ids = np.stack(part["v"].to_numpy()), part[key].to_numpy()
+                for qid, qv in wanted[bucket]:
+                    scores = m @ np.array(qv)
+                    order = np.lexsort((ids, -scores))[:k]
+                    yield pd.DataFrame({key: ids[order], "query_id": qid, "score": scores[order]})
+
+    part = rows.mapInPandas(run, f"{key} long, query_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

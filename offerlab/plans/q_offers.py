@@ -121,7 +121,7 @@ _DISC = f"""CASE WHEN offer_text IS NULL OR trim(offer_text) = '' OR avg_order_v
      WHEN TRY_CAST(regexp_extract(offer_text, '{G.REDUCE}', 1) AS DOUBLE) IS NOT NULL
           THEN TRY_CAST(regexp_extract(offer_text, '{G.REDUCE}', 1) AS DOUBLE)
      WHEN TRY_CAST(regexp_extract(offer_text, '{G.FOLD}', 1) AS DOUBLE) IS NOT NULL
-          THEN round(avg_order_value * (1.0 - least(greatest(TRY_CAST(regexp_extract(offer_text, '{G.FOLD}', 1) AS DOUBLE), 0.1), 10.0) / 10.0), 2)
+          THEN round(avg_order_value * (1.0 - least(greatest(TRY_CAST(regexp_extract(offer_text, '{G.FOLD}', 1) AS DOUBLE), 0.1), 10.0) / 10.0) * 100.0) / 100.0
      ELSE 5.0 END"""
 
 

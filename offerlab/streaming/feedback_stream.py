@@ -68,7 +68,7 @@ def _fold_group(params: Params):
         lists[3] = [None if x is None else int(x) for x in lists[3]]
         state.update((list(map(float, numbers)), folded, *lists))
         if len(left):
-            state.setTimeoutTimestamp(max(int(at[left.index].max()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int(at[left.index].min()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return run
 

@@ -247,3 +247,15 @@ def test_reward_model_ridge_matches_numpy(spark):
         b = (X * w[:, None]).T @ sub.reward.to_numpy()
         np.testing.assert_allclose(m.thetas[a], np.linalg.solve(A, b), rtol=1e-9, atol=1e-12)
     assert m.counts[3] == 0 and m.means[3] == pytest.approx(pdf.reward.mean())
+
+
+def test_stored_buckets_give_k_and_good_recall(spark, tmp_path):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    queries = H.label_centroid_queries(vectors, 64)
+    H.build_buckets(vectors, str(tmp_path / "index"), P.with_(nlist=20))
+    exact = {(r.query_id, r.vec_id) for r in H.exact_topk(vectors, queries, 10).collect()}
+    near = H.bucketed_topk(spark, str(tmp_path / "index"), queries, 10, P.with_(nprobe=16)).collect()
+    assert len(near) == len(exact) == 10 * len(queries)
+    assert len(exact & {(r.query_id, r.vec_id) for r in near}) >= 0.9 * len(exact)
+    few = H.bucketed_topk(spark, str(tmp_path / "index"), queries, 90, P.with_(nprobe=1)).collect()
+    assert len(few) == 90 * len(queries)  # buckets are added until they hold k vectors
