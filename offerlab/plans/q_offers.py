@@ -168,7 +168,21 @@ def q_roi_report(spark, sf_dir):
 
 
 # H8, H9, H11 -------------------------------------------------------------------
-@query("prompt_table")
+def _money(x):
+    return f"printf('%.2f', round(({x}) * 100.0) / 100.0)"
+
+
+_STRATEGY = "LEFT JOIN strat_c t ON t.segment = s.user_segment CROSS JOIN (SELECT * FROM strat_c WHERE segment = 'regular') r"
+_known = " || chr(10) || ".join(f"'{i}. ' || coalesce(t.{c}, r.{c})" for i, c in enumerate(("offer", "channel", "send_time", "tone", "goal"), 1))
+
+
+@query("prompt_table", with_ctes(["seg_c", "prefs_c", "strat_c"], f"""
+SELECT s.customer_unique_id, s.user_segment,
+       'Plan one offer for a customer of segment ' || s.user_segment || ' (days since purchase ' || s.recency::BIGINT || ', orders ' || s.frequency::BIGINT
+       || ', spend $' || {_money('s.monetary')} || ', mean order $' || coalesce({_money('s.avg_order_value')}, 'null')
+       || ', likes ' || array_to_string(coalesce(p.favorite_categories, []), ', ') || ').' || chr(10) || 'What is known:' || chr(10) || {_known}
+       || chr(10) || 'Answer with a JSON object: offer, channel, send_time, tone, goal.' AS prompt
+FROM seg_c s LEFT JOIN prefs_c p USING (customer_unique_id) {_STRATEGY}"""))
 def q_prompt_table(spark, sf_dir):
     from offerlab.plans.q_customers import profile_table
 
@@ -179,7 +193,17 @@ def q_prompt_table(spark, sf_dir):
     return st.select("customer_unique_id", "user_segment", G.strategy_prompt(st).alias("prompt"))
 
 
-@query("copy_fallback")
+def _copy_sql():
+    from offerlab.plans.q_customers import _recommend_sql
+
+    return with_ctes(["seg_c", "strat_c"], f"""
+, recs AS ({_recommend_sql()})
+SELECT s.customer_unique_id, CASE WHEN c.label IS NULL THEN 'For you: ' || coalesce(t.offer, r.offer)
+       ELSE coalesce(t.offer, r.offer) || ' | ' || c.label || ' for $' || {_money('c.price')} END AS copy
+FROM seg_c s LEFT JOIN recs c ON c.customer_unique_id = s.customer_unique_id AND c.pos = 1 {_STRATEGY}""", extra=True)
+
+
+@query("copy_fallback", _copy_sql())
 def q_copy_fallback(spark, sf_dir):
     from offerlab.operators import recommend as R
     from offerlab.plans.q_customers import profile_table
