@@ -256,11 +256,29 @@ def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
             v, w = (key >> np.uint32(m.bits)).astype(np.int64), (key & np.uint32((1 << m.bits) - 1)).astype(np.int64)
             value = times * m.score(v, w, c[at] - times, backoff)
             who, of = np.unique(np.repeat(ids, many), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[who, get(5, "<i8")]), pa.array(np.r_[np.zeros(len(who), dtype=np.int64), get(6, "<i8")]),
-                                              pa.array(np.r_[np.bincount(of, weights=value, minlength=len(who)), get(7, "<f8")])], ["id", "n", "s"])
-
-    parts = grouped(docs.mapInArrow(explode, ENTRY), "bucket", join, "id long, n long, s double", partitions)
-    return parts.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("logprob")).select(
+            yield from dealt(np.r_[who, get(5, "<i8")], np.r_[np.zeros(len(who), dtype=np.int64), get(6, "<i8")],
+                             np.r_[np.bincount(of, weights=value, minlength=len(who)), get(7, "<f8")])
+
+    def dealt(ids, n, s):
+        """Sums of a bucket, packed by hash of the document for the last shuffle."""
+        group = (_mixed(ids.view(np.uint64) + np.uint64(ODD)) % np.uint64(partitions)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(partitions + 1))
+        some = [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in some], pa.int32()), *[
+            pa.array([x[at].tobytes() for _, at in some], pa.binary()) for x in (ids, n, s)]], ["part", "ids", "n", "s"])
+
+    def total_up(table: pa.Table):
+        parts = table.column(0).to_numpy()
+        for g in np.unique(parts):
+            rows = table.filter(pa.array(parts == g))
+            ids, n, s = (np.frombuffer(b"".join(rows.column(i).to_pylist()), dtype=kind) for i, kind in ((1, "<i8"), (2, "<i8"), (3, "<f8")))
+            who, of = np.unique(ids, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.bincount(of, weights=n, minlength=len(who)).astype(np.int64)),
+                                              pa.array(np.bincount(of, weights=s, minlength=len(who)))], ["id", "n_words", "logprob"])
+
+    sums = grouped(docs.mapInArrow(explode, ENTRY), "bucket", join, "part int, ids binary, n binary, s binary", partitions)
+    return grouped(sums, "part", total_up, "id long, n_words long, logprob double", partitions).select(
         F.when(F.col("id") != F.lit(NULL_ID), F.col("id")).alias(doc), "n_words", "logprob")
 
 
