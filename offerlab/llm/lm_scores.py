@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from offerlab.functions.stats import order_statistics
 from offerlab.llm.blocks import grouped
-from offerlab.llm.common import bounded_ranges, need, shuffle_width
+from offerlab.llm.common import bounded_ranges, need, shuffle_width, written
 
 #: Bytes of text that are worked on at once.
 STEP = 4_000_000
@@ -132,16 +133,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def choose_vocabulary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(hashes, counts, all words): words of at least the smallest count that leaves at most ``most`` of them."""
-    counts = counts.persist()
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        # one row more than fits tells whether the last count is complete; at most most + 1 rows come to the driver
-        top = counts.orderBy(F.desc("n"), "key").limit(most + 1).toPandas()
-    finally:
-        counts.unpersist()
-    if len(top) > most:
-        top = top[top["n"] > top["n"].iloc[-1]]
-    return top["key"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64), int(total)
+    counts = written(counts, "word-counts")
+    size, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if size > most:
+        # the count of the first word that does not fit; words of that count stay out together
+        bound = order_statistics(counts, {"n": [size - most - 1]})[("n", size - most - 1)]
+        counts = counts.where(F.col("n") > bound)
+    top = counts.orderBy("key").toPandas()  # at most most rows
+    return top["key"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64), int(total or 0)
 
 
 class Model:
