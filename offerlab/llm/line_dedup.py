@@ -20,9 +20,9 @@ that are read again only from documents that hold a candidate, which a filter
 of fixed size finds.
 
 A small group gives all its candidates. A crowded one gives each line's
-earliest candidate and tells whether there are more; only lines whose
-earliest candidate fails the verification, and that have more, are compared
-to all others in a second round. So groups of near copies cost their lines,
+``PARTNERS`` earliest candidates and tells whether there are more; only lines
+all of whose candidates fail the verification, and that have more, are
+compared to all others in a second round. So groups of near copies cost their lines,
 not their pairs, and no link is missed.
 
 Defined results: null text has no lines and stays null; repeated rows share
@@ -48,6 +48,8 @@ STEP = 1_500_000
 LINE_BITS = 20
 FILTER_SLOTS = 1 << 20
 SMALL_GROUP = 64
+#: Candidates per line and key that a crowded key gives in the first round.
+PARTNERS = 8
 ODD = 0xD6E8FEB86659FD93
 WHITE = "\t\n\v\f\r \x85\xa0\u3000"
 BLANK = np.isin(np.arange(0x3002), [ord(c) for c in WHITE])
@@ -232,7 +234,7 @@ PAIR = "a long, a_place long, b long, b_place long, more boolean"
 def candidates(table: pa.Table, edits: int, every: bool = False):
     """Pairs of different lines of a key, one of them indexed, that pass the bound on letter counts; a comes first.
 
-    Crowded keys give each line's earliest partner and whether it has more, or all of them with ``every``.
+    Crowded keys give each line's earliest partners and whether it has more, or all of them with ``every``.
     """
     key, line, at, letters = (table.column(i).to_numpy() for i in range(4))
     index = table.column(4).to_numpy(zero_copy_only=False)
@@ -266,9 +268,10 @@ def candidates(table: pa.Table, edits: int, every: bool = False):
     for s, n in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
         for k in range(s, s + n, 256):
             later = np.arange(k, min(k + 256, s + n))
-            first, found = np.full(len(later), -1), np.zeros(len(later), dtype=np.int64)
+            found = np.zeros(len(later), dtype=np.int64)
+            rows = []
             for p in range(s, int(later[-1]), 4096):
-                live = np.flatnonzero((found < 2) | every)
+                live = np.flatnonzero((found <= PARTNERS) | every)
                 if not len(live):
                     break
                 earlier, mine = np.arange(p, min(p + 4096, int(later[-1]))), later[live]
@@ -276,17 +279,15 @@ def candidates(table: pa.Table, edits: int, every: bool = False):
                 ok = (earlier[y] < mine[x]) & (index[earlier[y]] | index[mine[x]])
                 x, y = x[ok], y[ok]
                 ok = far_apart(letters[mine[x]], letters[earlier[y]]) <= most
-                x, y = x[ok], y[ok]
-                if every and len(x):
-                    yield out(earlier[y], mine[x], np.zeros(len(x), dtype=bool))
-                if len(x):
-                    who, lowest = np.unique(x, return_index=True)  # y rises within x
-                    fresh = first[live[who]] < 0
-                    first[live[who[fresh]]] = earlier[y[lowest[fresh]]]
-                    found += np.bincount(live[x], minlength=len(later))
-            has = first >= 0
-            if has.any() and not every:
-                yield out(first[has], later[has], found[has] > 1)
+                x, y = x[ok], y[ok]  # y rises within x
+                if not len(x):
+                    continue
+                order_of = np.arange(len(x)) - np.searchsorted(x, x) + found[live[x]]
+                pick = (order_of < PARTNERS) | every
+                rows.append((earlier[y[pick]], live[x[pick]]))
+                found += np.bincount(live[x], minlength=len(later))
+            for a, b in rows:
+                yield out(a, later[b], (found[b] > PARTNERS) & (not every))
 
 
 def line_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
