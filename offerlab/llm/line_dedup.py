@@ -44,7 +44,7 @@ from offerlab.llm.common import bounded_ranges, need, shuffle_width, written
 EDITS = 2
 NEAR_CHARS = 20
 #: Characters that are worked on at once.
-STEP = 1_500_000
+STEP = 1_000_000
 LINE_BITS = 20
 FILTER_SLOTS = 1 << 20
 SMALL_GROUP = 64
@@ -201,7 +201,7 @@ def keyed_lines(batches, edits: int, near_chars: int):
             places = lines.places(ids[i:j])
             order = np.lexsort((places, lines.hash))
             first = order[np.r_[True, lines.hash[order[1:]] != lines.hash[order[:-1]]]] if len(order) else order  # least place in this run
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 seen.clear()
             pick = []
             for k, h, at in zip(first.tolist(), lines.hash[first].tolist(), places[first].tolist()):
