@@ -34,6 +34,8 @@ SYMBOLS = "#*$%&|<>"
 #: Transformed statistics and their noise floors (standard deviations that are taken as harmless)
 STATS = {"length": 0.15, "symbols": 0.4, "lines": 0.6, "repeats": 0.8, "words": 0.4}
 DIM = len(STATS)
+#: Parts that a level is split into in joins.
+SALTS = 32
 
 
 def base_counts(text: str, window: int = 5) -> tuple[int, int, int, int, int]:
@@ -118,22 +120,30 @@ def _inverted(moments: DataFrame, factor: float, floors: np.ndarray) -> DataFram
     return moments.mapInPandas(run, "level string, mean array<double>, inverse array<double>")
 
 
+def salted(table: DataFrame) -> DataFrame:
+    """A small table with each row once per salt; the other side's rows carry a salt of their own."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def estimates(rows: DataFrame, support: float, steps: int) -> DataFrame:
-    """(level, mean, inverse) from rows (level, x) by concentration steps; x holds the transformed statistics."""
+    """(level, mean, inverse) from rows (level, salt, x) by concentration steps; x holds the transformed statistics.
+
+    Joins are by (level, salt), so a level with many rows is spread before its sums combine.
+    """
     floors = np.array(list(STATS.values()))
     factor = support / chi2_share(chi2_quantile(support, DIM), DIM + 2)
     accuracy = 2000
     middle = rows.groupBy("level").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, accuracy) for i in range(DIM)]).alias("mean"))
     middle = written(middle, "medians")
-    spread = rows.join(middle, "level").groupBy("level").agg(F.array(*[
+    spread = rows.join(salted(middle), ["level", "salt"]).groupBy("level").agg(F.array(*[
         F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, accuracy) for i in range(DIM)]).alias("mad"))
     inverse = F.flatten(F.array(*[F.array(*[
         1 / (F.pow(1.4826 * F.col("mad")[i], 2) + float(floors[i]) ** 2) if i == j else F.lit(0.0) for j in range(DIM)]) for i in range(DIM)]))
     now = written(middle.join(spread, "level").select("level", "mean", inverse.alias("inverse")), "estimate")
     for _ in range(steps):
-        measured = rows.join(now, "level").select("level", "x", _distance().alias("d2"))
+        measured = rows.join(salted(now), ["level", "salt"]).select("level", "x", _distance().alias("d2"))
         limit = written(measured.groupBy("level").agg(F.percentile_approx("d2", support, accuracy).alias("limit")), "limits")
-        near = rows.join(now.join(limit, "level"), "level").where(_distance() <= F.col("limit"))
+        near = rows.join(salted(now.join(limit, "level")), ["level", "salt"]).where(_distance() <= F.col("limit"))
         moments = near.groupBy("level").agg(
             F.array(*[F.avg(F.col("x")[i]) for i in range(DIM)]).alias("mean"),
             F.array(*[F.avg(F.col("x")[i] * F.col("x")[j]) for i, j in combinations_with_replacement(range(DIM), 2)]).alias("second"))
@@ -157,16 +167,17 @@ def apply_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] = (
     n = F.col("n_words")
     x = F.array(F.log(F.col("word_chars") / n), F.log1p(100 * F.col("n_symbols") / F.col("word_chars")),
                 F.log1p(100 * F.col("n_dup_lines") / n), F.log1p(100 * F.col("n_repeat_words") / n), F.log(n))
-    counted = written(counted.withColumn("x", F.when(~F.col("base_failed"), x)).withColumn("_levels", F.array(*levels)).drop("_g0", "_g1"), "counts")
-    rows = counted.where("x is not null").select(F.explode("_levels").alias("level"), "x")
+    counted = written(counted.withColumn("x", F.when(~F.col("base_failed"), x)).withColumn("_levels", F.array(*levels))
+                      .withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).drop("_g0", "_g1"), "counts")
+    rows = counted.where("x is not null").select(F.explode("_levels").alias("level"), "salt", "x")
     enough = written(rows.groupBy("level").count().where(F.col("count") >= min_rows).select("level"), "levels")
-    rows = written(rows.join(enough, "level", "left_semi"), "vectors")
+    rows = written(rows.join(salted(enough), ["level", "salt"], "left_semi"), "vectors")
     final = estimates(rows, support, steps)
     cutoff = chi2_quantile(confidence, DIM)
     # the estimate of a row: the first of its levels that has one; one small row per (group, language, corpus)
     wanted = counted.where("x is not null").select("_levels").distinct().select("_levels", F.posexplode("_levels").alias("_at", "level"))
     best = written(wanted.join(final, "level").groupBy("_levels").agg(F.min_by(F.struct("mean", "inverse"), "_at").alias("_e"))
                    .select("_levels", "_e.mean", "_e.inverse"), "chosen")
-    judged = counted.join(best, "_levels", "left")
+    judged = counted.join(salted(best), ["_levels", "salt"], "left")
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(_distance() <= cutoff, F.lit(True)))
     return judged.select("_row.*", *made[:6], verdict.alias("kept"))
