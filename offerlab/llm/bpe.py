@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import codecs
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +38,7 @@ from offerlab.llm.common import need, text_or_empty
 from offerlab.llm.vocab import BYTE_OF, Vocab, composed_lower, merge, spaced
 
 #: Words whose ids a worker keeps, in each of two generations.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def lookahead(merges: list[tuple[int, int, int]], length: dict[int, int]) -> int:
@@ -85,6 +86,9 @@ class Encoder:
                 held = held[done:]
         yield from merge(held, v.rank, v.made)
 
+    def forget(self) -> None:
+        self.kept, self.older = {}, {}
+
     def _keep(self, run: str, got: bytes) -> bytes:
         if len(run) <= 64:
             if len(self.kept) >= KEPT_WORDS:
@@ -168,9 +172,13 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", out: str =
     content = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     @F.pandas_udf(T.BinaryType())
-    def run(texts: pd.Series) -> pd.Series:
-        encode = encoder(content.value).encode
-        return pd.Series([encode(x) for x in texts], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        e = encoder(content.value)
+        try:
+            for texts in batches:
+                yield pd.Series([e.encode(x) for x in texts], dtype=object)
+        finally:
+            e.forget()  # a worker serves other stages next
 
     return df.withColumn(out, run(text_or_empty(text)))
 
