@@ -1,10 +1,10 @@
 """Language-model scores by stupid backoff over word pairs, computed relationally.
 
-Words are the runs between ASCII white space, A-Z lower-cased. The vocabulary
-holds the words of at least the smallest count that leaves at most
-``vocabulary`` of them; all others share one entry, whose count is theirs
-summed. With c(w), c(v, w) and N counted over all documents, a word w after v
-in a document scores
+Words are the runs between ASCII white space, A-Z lower-cased, known by their
+64-bit hashes. Every word has its own count; only where ``vocabulary`` is
+given, the words below the smallest count that leaves at most that many share
+one entry, whose count is theirs summed. With c(w), c(v, w) and N counted over
+all documents, a word w after v in a document scores
 
     log(c' / c(v))        if c' = c(v, w) minus the document's own pairs > 0
     log(backoff * c(w) / N)  otherwise
@@ -12,14 +12,17 @@ in a document scores
 and a document's first word log(c(w) / N): a pair counts where another
 document has it too. Rows with the same id add up (each leaves out its own).
 
-Passes: (1) word counts, combined per task, summed by word; the vocabulary
-(bounded) is broadcast. (2) Pairs of the ``frequent`` most frequent words, a
-square table of bounded size, are counted densely; any pair outside it holds
-less than one part in ``frequent`` of all words, so no key is hot. (3) All
-other (pair, document) entries are exploded once per document, dealt by a
-hash of the pair to buckets, and travel as packed arrays; a bucket builds the
-count table of its pairs, joins it to its entries and sums per document
-before the last shuffle.
+Passes: (1) word counts, combined per task, summed by word; the ``NUMBERED``
+most frequent words get numbers of 16 bits, which are broadcast. (2) Pairs of
+the ``frequent`` most frequent words, a square table of bounded size, are
+counted densely; any pair outside it holds less than one part in ``frequent``
+of all words, so no key is hot. (3) All other (pair, document) entries of
+numbered words are exploded once per document, dealt by a hash of the pair to
+buckets, and travel as packed arrays; a bucket builds the count table of its
+pairs, joins it to its entries and sums per document before the last shuffle.
+(4) Entries with any other word travel as rows of both hashes: Spark sums them
+by pair and joins the one word count that each still needs from the count
+table. Such a word holds less than one part in ``NUMBERED`` of all words.
 
 Defined results: null and empty texts have no words, score 0 and a null mean;
 rows with a null id are one document; an empty table gives an empty one.
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from offerlab.functions.stats import order_statistics
 from offerlab.llm.blocks import grouped
@@ -37,6 +40,8 @@ from offerlab.llm.common import bounded_ranges, need, shuffle_width, written
 
 #: Bytes of text that are worked on at once.
 STEP = 4_000_000
+#: Words with a number of 16 bits; the others go by their hashes.
+NUMBERED = 65_535
 NULL_ID = -(1 << 63)
 ODD = 0x9E3779B97F4A7C15
 
@@ -131,28 +136,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def choose_vocabulary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hashes, counts, all words): words of at least the smallest count that leaves at most ``most`` of them."""
+def choose_vocabulary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int, DataFrame | None]:
+    """(hashes, counts, all words, counts of the others): words of at least the smallest count that leaves at most ``most`` of them."""
     counts = written(counts, "word-counts")
     size, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    others = None
     if size > most:
         # the count of the first word that does not fit; words of that count stay out together
         bound = order_statistics(counts, {"n": [size - most - 1]})[("n", size - most - 1)]
-        counts = counts.where(F.col("n") > bound)
+        others, counts = counts.where(F.col("n") <= bound), counts.where(F.col("n") > bound)
     top = counts.orderBy("key").toPandas()  # at most most rows
-    return top["key"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64), int(total or 0)
+    return top["key"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64), int(total or 0), others
 
 
 class Model:
-    """What is broadcast: vocabulary (id 0 is all other words), word counts, counts of the frequent pairs."""
+    """What is broadcast: numbered words (0 is any other, with the others' sum if ``pooled``), word counts, counts of the frequent pairs."""
 
-    def __init__(self, hashes, counts, total, frequent, bits=16):
+    def __init__(self, hashes, counts, total, frequent, pooled, bits=16):
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], (order + 1).astype(np.int64)
-        self.count = np.r_[total - counts.sum(), counts]
-        self.total, self.bits = total, bits
+        self.count = np.r_[total - counts.sum() if pooled else 0, counts]
+        self.total, self.bits, self.pooled = total, bits, pooled
         self.rank = np.full(len(self.count), -1)
         most = np.argsort(-self.count, kind="stable")[:frequent]
+        if not pooled:
+            most = most[most > 0]
         self.rank[most] = np.arange(len(most))
         self.frequent = len(most)
         self.pairs = None
@@ -179,19 +187,66 @@ def _once(doc: np.ndarray, key: np.ndarray, keys: int) -> tuple[np.ndarray, np.n
     return both // keys, both % keys, n
 
 
+def rare_entries(docs: DataFrame, shared) -> DataFrame:
+    """(id, v, w, times, v_count, w_count): pairs with a word that has no number, once per document; v is null for a first word.
+
+    The counts are those of numbered words, null for others.
+    """
+    def explode(batches):
+        words, m = Words(), shared.value
+        for batch in batches:
+            for ids_of, h, of in _runs(batch, words):
+                if not len(of):
+                    continue
+                ids = m.ids(h)
+                first = np.r_[True, of[1:] != of[:-1]]
+                before = np.r_[0, np.arange(len(of) - 1)]
+                at = np.flatnonzero((ids == 0) | (~first & (ids[before] == 0)))
+                if not len(at):
+                    continue
+                d, w, lead = of[at], h[at], first[at]
+                v = np.where(lead, np.uint64(0), h[before[at]])
+                order = np.lexsort((w, v, lead, d))
+                d, v, w, lead, at = d[order], v[order], w[order], lead[order], at[order]
+                new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (lead[1:] != lead[:-1])])
+                times, at, lead = np.diff(np.r_[new, len(d)]), at[new], lead[new]
+                a, b = ids[before[at]], ids[at]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids_of[d[new]]), pa.array(v[new].view(np.int64), mask=lead), pa.array(w[new].view(np.int64)), pa.array(times.astype(np.int64)),
+                    pa.array(m.count[a], mask=lead | (a == 0)), pa.array(m.count[b], mask=b == 0)], ["id", "v", "w", "times", "v_count", "w_count"])
+
+    return docs.mapInArrow(explode, "id long, v long, w long, times long, v_count long, w_count long")
+
+
+def rare_scores(entries: DataFrame, counts: DataFrame, total: int, backoff: float) -> DataFrame:
+    """(id, logprob) of ``entries``; ``counts`` has (key, n) of the words without a number."""
+    others = F.sum("times").over(Window.partitionBy("v", "w")) - F.col("times")
+    seen = F.col("v").isNotNull() & (F.col("others") > 0)
+    # log of a quotient: what the pair tells now, and one word count that may have to be joined
+    known = F.when(seen, F.log("others")).when(F.col("v").isNull(), F.lit(-np.log(total))).otherwise(F.lit(np.log(backoff / total)))
+    rows = entries.withColumn("others", others).select(
+        "id", F.when(seen, -F.col("times")).otherwise(F.col("times")).alias("sign"), (F.col("times") * known).alias("s"),
+        F.when(seen, F.col("v_count")).otherwise(F.col("w_count")).alias("count"), F.when(seen, F.col("v")).otherwise(F.col("w")).alias("word"))
+    rows = written(rows.select("id", F.when(F.col("count").isNull(), F.col("word")).alias("key"), F.when(F.col("count").isNull(), F.col("sign")).alias("sign"),
+                               (F.col("s") + F.coalesce(F.col("sign") * F.log("count"), F.lit(0.0))).alias("s")), "rare-pairs")
+    open_rows = rows.where("key is not null").join(counts, "key").select("id", (F.col("s") + F.col("sign") * F.log("n")).alias("s"))
+    return rows.where("key is null").select("id", "s").unionByName(open_rows).groupBy("id").agg(F.sum("s").alias("logprob"))
+
+
 ENTRY = "bucket int, docs binary, entries binary, keys binary, times binary, scored binary, words binary, sums binary"
 
 
-def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabulary: int = 65_535, frequent: int = 256, backoff: float = 0.4) -> DataFrame:
+def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabulary: int | None = None, frequent: int = 256, backoff: float = 0.4) -> DataFrame:
     """(doc, n_words, logprob): one row per document id."""
     need(docs, doc, text)
-    if vocabulary >= 1 << 16:
-        raise ValueError("a vocabulary below 65,536 words")
+    if vocabulary is not None and vocabulary > NUMBERED:
+        raise ValueError("a shared entry needs a vocabulary below 65,536 words; without a vocabulary each word has its own")
     spark = docs.sparkSession
     docs = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     partitions = shuffle_width(spark)
-    hashes, counts, total = choose_vocabulary(word_counts(docs), vocabulary)
-    model = Model(hashes, counts, total, frequent)
+    pooled = vocabulary is not None
+    hashes, counts, total, unnumbered = choose_vocabulary(word_counts(docs), vocabulary if pooled else NUMBERED)
+    model = Model(hashes, counts, total, frequent, pooled)
     half = spark.sparkContext.broadcast(model)
 
     def count_frequent(batches):
@@ -218,8 +273,11 @@ def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
                 ids = m.ids(h)
                 n = len(ids_of)
                 first = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, dtype=bool)
-                score = np.bincount(of[first], weights=np.log(m.count[ids[first]] / m.total), minlength=n)
-                follow = np.flatnonzero(~first)
+                own_entry = ids > 0 if not m.pooled else np.ones(len(ids), dtype=bool)  # the rest is for rare_entries
+                begin = first & own_entry
+                score = np.bincount(of[begin], weights=np.log(m.count[ids[begin]] / m.total), minlength=n)
+                follow = np.flatnonzero(~first & own_entry)
+                follow = follow[own_entry[follow - 1]]
                 d, key, times = _once(of[follow], ids[follow - 1] << m.bits | ids[follow], 1 << 2 * m.bits)
                 v, w = key >> m.bits, key & ((1 << m.bits) - 1)
                 at = m.dense(v, w)
@@ -277,7 +335,11 @@ def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
                                               pa.array(np.bincount(of, weights=s, minlength=len(who)))], ["id", "n_words", "logprob"])
 
     sums = grouped(docs.mapInArrow(explode, ENTRY), "bucket", join, "part int, ids binary, n binary, s binary", partitions)
-    return grouped(sums, "part", total_up, "id long, n_words long, logprob double", partitions).select(
+    scores = grouped(sums, "part", total_up, "id long, n_words long, logprob double", partitions)
+    if not pooled and unnumbered is not None:
+        rare = rare_scores(rare_entries(docs, shared), unnumbered, total, backoff).select("id", F.lit(0).cast("long").alias("n_words"), "logprob")
+        scores = scores.unionByName(rare).groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("logprob").alias("logprob"))
+    return scores.select(
         F.when(F.col("id") != F.lit(NULL_ID), F.col("id")).alias(doc), "n_words", "logprob")
 
 

@@ -92,7 +92,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_scores.lm_scores(read_table(spark, sf_dir, "documents"), vocabulary=65_535, backoff=0.4)
+    out = lm_scores.lm_scores(read_table(spark, sf_dir, "documents"), backoff=0.4)
     return out.select("doc_id", "n_words", (F.round(F.col("logprob") * 100) / 100 + 0.0).alias("logprob"),
                       (F.round(F.col("logprob") / F.nullif("n_words", F.lit(0)) * 10000) / 10000 + 0.0).alias("mean_logprob"))
 

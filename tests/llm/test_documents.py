@@ -308,6 +308,26 @@ def test_lm_scores_against_sql(spark):
     assert lm_scores.lm_scores(frame(spark, [])).count() == 0
 
 
+def test_lm_scores_of_every_word(spark):
+    rng = random.Random(12)
+    docs = [(i, " ".join(["The", f"Only{i}"] * (i % 2) + [f"w{rng.randrange(90_000)}" if rng.random() < 0.9 else rng.choice(["the", "of", "rare pair"]) for _ in range(1500)]), "en") for i in range(100)]
+    docs += [(200 + i, f"alone{i % 2} pair{i % 2} of alone{i % 2} pair{i % 2} once{i}", "en") for i in range(4)] + [(300, "", "en"), (301, None, "en")]
+    words = Counter(w for _, t, _ in docs for w in (t or "").lower().split())
+    assert len(words) > 65_535
+    got = {r.doc_id: r for r in lm_scores.lm_scores(frame(spark, docs).repartition(3)).collect()}
+    pairs = Counter(p for _, t, _ in docs for w in [(t or "").lower().split()] for p in zip(w, w[1:]))
+    total = sum(words.values())
+    for i, t, _ in docs:
+        w = (t or "").lower().split()
+        mine = Counter(zip(w, w[1:]))
+        want = sum(math.log(words[x] / total) for x in w[:1])
+        for (a, b), n in mine.items():
+            rest = pairs[a, b] - n
+            want += n * (math.log(rest / words[a]) if rest else math.log(0.4 * words[b] / total))
+        assert got[i].n_words == len(w) and abs(got[i].logprob - want) < 1e-6 * max(1, abs(want))
+    assert len(got) == len(docs)
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf_small):
