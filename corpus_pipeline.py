@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and
 returns a DataFrame, which is written as Parquet and reread as the next one's
 docs. All but the last return the columns of ``docs``.
 
-Defined results: null text reads as empty (short texts fail the rules);
-doc_id names a document, so rows that repeat an id (null is one id too) count
-as one document where one of a group stays; empty tables give empty ones;
+Defined results: null text reads as empty (short texts fail the rules); one
+row of each SimHash group stays and no other row goes, also where rows repeat
+an id or have none; empty tables give empty ones;
 further columns pass through unchanged.
 """
 
@@ -43,9 +43,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id."""
-    stay = simhash.simhash_groups(docs, shingle=4, bits=4).select("component_id").distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each SimHash group: the one with the smallest id, null ids last."""
+    return simhash.first_of_groups(docs, shingle=4, bits=4)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,16 +124,36 @@ def near_links(distinct: DataFrame, column: str, bits: int, partitions: int) ->
     return grouped(keys, "key", link, "a long, b long", partitions)
 
 
+def with_components(distinct: DataFrame, bits: int) -> DataFrame:
+    """Adds _component, the smallest fingerprint of its group, to rows of distinct fingerprints _fp."""
+    found = connected_components(near_links(distinct, "_fp", bits, shuffle_width(distinct.sparkSession)))
+    return (distinct.join(found.withColumnRenamed("node", "_fp"), "_fp", "left")
+            .withColumn("_component", F.coalesce("component", "_fp")).drop("component"))
+
+
+def first_of_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group: the one with the smallest (id, hash of the text), null ids last.
+
+    Rows that agree in both have one text, so they are of one group, where any of them stays.
+    """
+    need(docs, doc, text)
+    content = text_or_empty(text)
+    row = F.struct(F.col(doc).isNull().alias("_no_id"), F.col(doc).alias("_id"), F.xxhash64(content).alias("_h1"), F.xxhash64(F.lit(1), content).alias("_h2"))
+    prints = fingerprints(docs.select(row.alias("_row"), F.col(text).alias("text")), "text", shingle, "_fp")
+    distinct = written(prints.groupBy("_fp").agg(F.min("_row").alias("_row")), "distinct")
+    least = with_components(distinct, bits).groupBy("_component").agg(F.min("_row").alias("_row"))
+    stay = written(least.select(*[F.col(f"_row.{c}").alias(f"{c}_stay") for c in ("_id", "_h1", "_h2")]), "stay")
+    rows = docs.select(row.alias("_row"), F.struct(*docs.columns).alias("_document")).select("_row.*", "_document")
+    met = F.col("_id").eqNullSafe(F.col("_id_stay")) & (F.col("_h1") == F.col("_h1_stay")) & (F.col("_h2") == F.col("_h2_stay"))
+    return rows.join(stay, met, "left_semi").dropDuplicates(["_id", "_h1", "_h2"]).select("_document.*")
+
+
 def simhash_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """(doc, fingerprint long, component_id): one row per row of ``docs``."""
     need(docs, doc, text)
-    spark = docs.sparkSession
     prints = written(fingerprints(docs.select(doc, text), text, shingle, "_fp").select(F.col(doc).alias("_doc"), "_fp"), "fingerprints")
     distinct = written(prints.groupBy("_fp").agg(F.min("_doc").alias("_least")), "distinct")
-    links = near_links(distinct, "_fp", bits, shuffle_width(spark))
-    found = connected_components(links)
-    of = distinct.join(found.withColumnRenamed("node", "_fp"), "_fp", "left").select(
-        "_fp", "_least", F.coalesce("component", "_fp").alias("_component"))
+    of = with_components(distinct, bits)
     least = of.groupBy("_component").agg(F.min("_least").alias("component_id"))
     labels = written(of.join(least, "_component").select("_fp", "component_id"), "labels")
     return prints.join(labels, "_fp").select(F.col("_doc").alias(doc), F.col("_fp").alias("fingerprint"), "component_id")

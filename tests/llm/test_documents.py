@@ -351,6 +351,21 @@ def test_pipeline_stages(spark, sf_small):
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10_000)}" for _ in range(200)) for _ in range(9)]
+    assert all((brute_fingerprint(a, 4) ^ brute_fingerprint(b, 4)).bit_count() > 4 for i, a in enumerate(texts) for b in texts[:i])
+    alone = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])]  # no id, and one id twice
+    copies = [(None, texts[4])] * 3 + [(8, texts[5])] * 2 + [(None, texts[6]), (9, texts[6]), (7, texts[6]), (None, texts[7].upper()), (None, texts[7])]
+    docs = frame(spark, [(i, t, "en") for i, t in alone + copies] + [(1, None, "en"), (None, "", "en")]).repartition(5)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in out.collect())
+    assert got == Counter(alone + [(None, texts[4]), (8, texts[5]), (7, texts[6]), (None, texts[7]), (1, "")])
+    assert out.columns == docs.columns and corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_on_hard_rows(spark, tmp_path):
     import corpus_pipeline
 
