@@ -23,7 +23,9 @@ A small group gives all its candidates. A crowded one gives each line's
 ``PARTNERS`` earliest candidates and tells whether there are more; only lines
 all of whose candidates fail the verification, and that have more, are
 compared to all others in a second round. So groups of near copies cost their lines,
-not their pairs, and no link is missed.
+not their pairs, and no link is missed. The second round deals the open lines
+and all lines of a key to blocks of about ``BLOCK`` lines; a task compares one
+block of each, verifies on the spot, and only lines with a link leave it.
 
 Defined results: null text has no lines and stays null; repeated rows share
 their id's places, so a repeated row keeps the lines its first copy keeps; a
@@ -50,6 +52,8 @@ FILTER_SLOTS = 1 << 20
 SMALL_GROUP = 64
 #: Candidates per line and key that a crowded key gives in the first round.
 PARTNERS = 8
+#: Lines of a key, on either side, that are compared in one cell of the second round.
+BLOCK = 4096
 ODD = 0xD6E8FEB86659FD93
 WHITE = "\t\n\v\f\r \x85\xa0\u3000"
 BLANK = np.isin(np.arange(0x3002), [ord(c) for c in WHITE])
@@ -231,10 +235,10 @@ def keyed_lines(batches, edits: int, near_chars: int):
 PAIR = "a long, a_place long, b long, b_place long, more boolean"
 
 
-def candidates(table: pa.Table, edits: int, every: bool = False):
+def candidates(table: pa.Table, edits: int):
     """Pairs of different lines of a key, one of them indexed, that pass the bound on letter counts; a comes first.
 
-    Crowded keys give each line's earliest partners and whether it has more, or all of them with ``every``.
+    Crowded keys give each line's earliest partners and whether it has more.
     """
     key, line, at, letters = (table.column(i).to_numpy() for i in range(4))
     index = table.column(4).to_numpy(zero_copy_only=False)
@@ -271,7 +275,7 @@ def candidates(table: pa.Table, edits: int, every: bool = False):
             found = np.zeros(len(later), dtype=np.int64)
             rows = []
             for p in range(s, int(later[-1]), 4096):
-                live = np.flatnonzero((found <= PARTNERS) | every)
+                live = np.flatnonzero(found <= PARTNERS)
                 if not len(live):
                     break
                 earlier, mine = np.arange(p, min(p + 4096, int(later[-1]))), later[live]
@@ -283,17 +287,16 @@ def candidates(table: pa.Table, edits: int, every: bool = False):
                 if not len(x):
                     continue
                 order_of = np.arange(len(x)) - np.searchsorted(x, x) + found[live[x]]
-                pick = (order_of < PARTNERS) | every
+                pick = order_of < PARTNERS
                 rows.append((earlier[y[pick]], live[x[pick]]))
                 found += np.bincount(live[x], minlength=len(later))
             for a, b in rows:
-                yield out(a, later[b], (found[b] > PARTNERS) & (not every))
+                yield out(a, later[b], found[b] > PARTNERS)
 
 
-def line_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(place, line_text) of all places in ``pairs``; texts are read from documents that hold one."""
+def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, line_text) of all ``places``; texts are read from documents that hold one."""
     spark = docs.sparkSession
-    places = pairs.select(F.col("a_place").alias("place")).unionByName(pairs.select(F.col("b_place").alias("place"))).distinct()
     wanted = places.select(F.shiftright("place", LINE_BITS).alias("doc"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line"))
     wanted = written(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
     # a filter of fixed size on the ids keeps most texts out of the shuffle; beyond its size it merely passes more
@@ -321,49 +324,102 @@ def line_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(some.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(cut, "place long, line_text string").dropDuplicates(["place"]), "texts")
 
 
+def code_points(line: str) -> np.ndarray:
+    return np.frombuffer(line.strip(WHITE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def near_pairs(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
+    """Whether a[i] and b[i] are at most ``edits`` edits apart, in steps of bounded size."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
+    keep = np.zeros(len(a), dtype=bool)
+    order = np.argsort(sizes.max(axis=1), kind="stable")
+    for i, j in bounded_ranges(sizes.max(axis=1)[order].tolist(), 500_000):
+        at = order[i:j]
+        width = int(sizes[at].max())
+        x, y = (np.full((len(at), width), 0xFFFFFFFD, dtype=np.uint32) for _ in range(2))
+        for r, k in enumerate(at):
+            x[r, :len(a[k])], y[r, :len(b[k])] = a[k], b[k]
+        keep[at] = within_edits(x, y, sizes[at, 0], sizes[at, 1], edits)
+    return keep
+
+
 def verified(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     """The pairs whose lines are at most ``edits`` edits apart."""
-    texts = line_texts(docs, pairs)
+    texts = line_texts(docs, pairs.select(F.col("a_place").alias("place")).unionByName(pairs.select(F.col("b_place").alias("place"))).distinct())
 
     def verify(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x.strip(WHITE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in batch.column(i).to_pylist()] for i in (5, 6))
-            sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
-            keep = np.zeros(len(a), dtype=bool)
-            order = np.argsort(sizes.max(axis=1), kind="stable")
-            for i, j in bounded_ranges(sizes.max(axis=1)[order].tolist(), 500_000):
-                at = order[i:j]
-                width = int(sizes[at].max())
-                x, y = (np.full((len(at), width), 0xFFFFFFFD, dtype=np.uint32) for _ in range(2))
-                for r, k in enumerate(at):
-                    x[r, :len(a[k])], y[r, :len(b[k])] = a[k], b[k]
-                keep[at] = within_edits(x, y, sizes[at, 0], sizes[at, 1], edits)
-            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(keep))
+            a, b = ([code_points(x) for x in batch.column(i).to_pylist()] for i in (5, 6))
+            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(near_pairs(a, b, edits)))
 
     joined = (pairs.join(texts.select(F.col("place").alias("a_place"), F.col("line_text").alias("a_text")), "a_place")
               .join(texts.select(F.col("place").alias("b_place"), F.col("line_text").alias("b_text")), "b_place"))
     return written(joined.select("a", "a_place", "b", "b_place", "more", "a_text", "b_text").mapInArrow(verify, PAIR), "verified")
 
 
+def linked_in_cells(table: pa.Table, edits: int):
+    """Open lines of a cell that are within ``edits`` edits of an earlier line of the cell."""
+    cell, line, at, letters = (table.column(i).to_numpy() for i in range(4))
+    index, mine = (table.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+    letters, most = letters.view(np.uint64), 2 * edits
+    for s, n in zip(*(x.tolist() for x in bounds(cell))):
+        group = np.arange(s, s + n)
+        own, others = group[mine[s:s + n]], group[~mine[s:s + n]]
+        others = others[np.lexsort((line[others], at[others]))]
+        points = [code_points(x) for x in table.column(6).slice(s, n).to_pylist()]
+        for k in range(0, len(own), 256):
+            later = own[k:k + 256]
+            hit = np.zeros(len(later), dtype=bool)
+            for p in range(0, len(others), 4096):
+                live, earlier = np.flatnonzero(~hit), others[p:p + 4096]
+                x, y = np.nonzero(classes_apart(letters[later[live]][:, None], letters[earlier][None, :]) <= most)
+                x, y = live[x], earlier[y]
+                b = later[x]
+                ok = ((at[y] < at[b]) | ((at[y] == at[b]) & (line[y] < line[b]))) & (index[y] | index[b])
+                x, y = x[ok], y[ok]
+                ok = far_apart(letters[later[x]], letters[y]) <= most
+                x, y = x[ok], y[ok]
+                for i in range(0, len(x), 4096):
+                    u, v = x[i:i + 4096], y[i:i + 4096]
+                    u, v = u[~hit[u]], v[~hit[u]]
+                    near = near_pairs([points[c - s] for c in v], [points[c - s] for c in later[u]], edits)
+                    hit[u[near]] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(line[later[hit]])], ["line"])
+
+
+def open_linked(docs: DataFrame, keyed: DataFrame, open_lines: DataFrame, edits: int, width: int) -> DataFrame:
+    """(line): the open lines that are within ``edits`` edits of any earlier line of one of their keys."""
+    keys = written(keyed.join(open_lines, "line", "left_semi").select("key").distinct(), "open-keys")
+    members = (keyed.join(keys, "key", "left_semi").groupBy("key", "line")
+               .agg(F.min("place").alias("place"), F.min("letters").alias("letters"), F.max("is_index").alias("is_index"))
+               .join(open_lines.withColumn("open", F.lit(True)), "line", "left").withColumn("open", F.coalesce("open", F.lit(False))))
+    members = written(members, "open-members")
+    texts = line_texts(docs, members.select("place").distinct())
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_all"), F.ceil(F.count_if("open") / BLOCK).alias("n_open"))
+    # only keys of more than a block, so at most one row for BLOCK members
+    members = members.join(texts, "place").join(F.broadcast(blocks.where("n_all > 1")), "key", "left").fillna(1, ["n_all", "n_open"])
+    rest = ["line", "place", "letters", "is_index"]
+    mine = members.where("open").select("key", F.expr("pmod(line, n_open)").alias("i"), F.explode(F.expr("sequence(0L, n_all - 1)")).alias("j"), *rest, F.lit(True).alias("mine"), "line_text")
+    others = members.select("key", F.explode(F.expr("sequence(0L, n_open - 1)")).alias("i"), F.expr("pmod(line, n_all)").alias("j"), *rest, F.lit(False).alias("mine"), "line_text")
+    # cells whose hashes clash merely compare more lines
+    cells = mine.unionByName(others).select(F.xxhash64("key", "i", "j").alias("cell"), *rest, "mine", "line_text")
+    return written(grouped(cells, "cell", lambda t: linked_in_cells(t, edits), "line long", width).distinct(), "open-linked")
+
+
 def near_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(line): hashes of the lines that are within ``edits`` edits of an earlier, different line; ``docs`` has (id, text)."""
     width = shuffle_width(docs.sparkSession)
     keyed = docs.mapInArrow(lambda b: keyed_lines(b, edits, near_chars), "key long, line long, place long, letters long, is_index boolean")
 
-    def pairs_of(rows, every):
-        found = grouped(rows, "key", lambda t: candidates(t, edits, every), PAIR, width)
-        return written(found.groupBy("a", "b").agg(F.min("a_place").alias("a_place"), F.min("b_place").alias("b_place"), F.max("more").alias("more"))
-                       .select("a", "a_place", "b", "b_place", "more"), "candidates")
-
-    first = pairs_of(keyed, False)
+    found = grouped(keyed, "key", lambda t: candidates(t, edits), PAIR, width)
+    first = written(found.groupBy("a", "b").agg(F.min("a_place").alias("a_place"), F.min("b_place").alias("b_place"), F.max("more").alias("more"))
+                    .select("a", "a_place", "b", "b_place", "more"), "candidates")
     near = verified(docs, first, edits)
     dropped = near.select(F.col("b").alias("line")).distinct()
     open_lines = written(first.where("more").select(F.col("b").alias("line")).distinct().join(dropped, "line", "left_anti"), "open")
     if not open_lines.isEmpty():
-        keys = written(keyed.join(open_lines, "line", "left_semi").select("key").distinct(), "open-keys")
-        again = pairs_of(keyed.join(keys, "key", "left_semi"), True).join(open_lines.withColumnRenamed("line", "b"), "b", "left_semi")
-        again = written(again.select("a", "a_place", "b", "b_place", "more"), "open-pairs")
-        dropped = dropped.unionByName(verified(docs, again, edits).select(F.col("b").alias("line"))).distinct()
+        dropped = dropped.unionByName(open_linked(docs, keyed, open_lines, edits, width)).distinct()
     return dropped
 
 

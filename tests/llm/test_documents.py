@@ -204,6 +204,28 @@ def test_line_dedup_edges(spark):
         line_dedup.place(1 << 42, 0)
 
 
+def test_line_dedup_of_template_lines_writes_no_pairs(spark, monkeypatch):
+    rng = random.Random(31)
+    head, tail = "template of one line ", "".join(rng.choice("0123456789") for _ in range(40))
+    lines = [head + "".join(rng.sample(tail, 40)) for _ in range(110)]  # equal letter counts, far apart
+    lines += [mutate(rng, rng.choice(lines), 2) for _ in range(15)]
+    docs = list(enumerate(lines))
+    sizes = []
+
+    def counted(df, name, *rest):
+        out = written(df, name, *rest)
+        sizes.append(out.count())
+        return out
+
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", counted)
+    monkeypatch.setattr(line_dedup, "BLOCK", 24, raising=False)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == brute_lines(docs, 2, 20)
+    assert max(sizes) < 20 * len(lines) < len(lines) * (len(lines) - 1) // 3
+
+
 # --- SimHash
 
 def brute_fingerprint(text, k):
