@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlab.llm import bpe, chat, embedding_dedup, line_dedup, lm_scores, packing, quality, rules, simhash, token_counts
+from offerlab.llm import bpe, chat, embedding_dedup, line_dedup, lm_scores, packing, quality, rules, simhash, spelling, token_counts
 from offerlab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), edits=2)
     return out.select("doc_id", "n_lines", "n_dropped", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs, min_chars=7, min_count=2, ratio=10, every=31)
