@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerlab.session import ensure_checkpoint_dir
@@ -61,3 +62,19 @@ def bounded_ranges(sizes: list[int], limit: int):
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bitmap of 2^bits slots (64-bit words) in which the hashes of a long column are set; its size does not grow with the rows."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = (df.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("set")).toArrow())
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which unsigned 64-bit hashes have their slot set."""
+    slot = hashes & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlab.llm import bpe, chat, embedding_dedup, line_dedup, lm_scores, packing, quality, rules, simhash, spelling, token_counts
+from offerlab.llm import bpe, chat, collocations, embedding_dedup, line_dedup, lm_scores, packing, passages, quality, rules, simhash, spelling, token_counts
 from offerlab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.spelling_variants(docs, min_chars=7, min_count=2, ratio=10, every=31)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("text", "lang"), least=100, covered_percent=100, top=2000)
+
+
+ORACLES["op11_collocations"] = collocations.ORACLE.format(least=100, covered=100, top=2000)
+
+
+@query
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"), span=50)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
