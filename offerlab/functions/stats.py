@@ -15,7 +15,9 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from offerlab.session import cut_lineage
 
 DIGITS, BITS = 4, 16
 SIGN = np.uint64(1 << 63)
@@ -83,5 +85,30 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict:
     return {c: (found[c, middle[c][0]] + found[c, middle[c][1]]) / 2.0 if c in middle else None for c in cols}
 
 
+def exact_auc(df: DataFrame, score: str, label: str, partitions: int | None = None) -> DataFrame:
+    """One row (auc, positives, negatives): the share of (positive, negative) pairs that the score orders rightly, ties half.
+
+    Equal scores are counted together first, then range-partitioned; a
+    partition adds the negatives of those before it to its running count. NULL
+    and NaN scores and NULL labels do not count; without both classes auc is
+    NULL.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = F.col(score).cast("double")
+    some = df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull()).select((s + F.lit(0.0)).alias("s"), (F.col(label) > 0).cast("long").alias("p"))
+    tied = some.groupBy("s").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("q"))
+    placed = cut_lineage(tied.repartitionByRange(n, "s").withColumn("part", F.spark_partition_id()))
+    totals = placed.groupBy("part").agg(F.sum("q").alias("q"))  # a row per partition
+    earlier = totals.select("part", F.coalesce(F.sum("q").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = placed.withColumn("below", inside).join(F.broadcast(earlier), "part")
+    wide = lambda c: c.cast("decimal(18,0)")
+    twice = F.sum(wide(F.col("p")) * wide(2 * (F.col("below") + F.col("earlier")) + F.col("q")))
+    out = below.agg(twice.alias("t"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    pairs = wide(F.col("positives")) * wide(F.col("negatives"))
+    return out.select(F.when(pairs > 0, F.col("t").cast("double") / (2 * pairs).cast("double")).alias("auc"),
+                      F.coalesce("positives", F.lit(0)).alias("positives"), F.coalesce("negatives", F.lit(0)).alias("negatives"))
+
+
 def exact_median(df: DataFrame, col: str) -> float | None:
     return exact_medians(df, [col])[col]

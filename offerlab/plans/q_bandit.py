@@ -22,15 +22,21 @@ K = P.n_actions
 XC = [f"x{i}" for i in range(D.DIM)]
 
 
-def rounds_table(spark, sf_dir, params=P):
-    t = load_tables(spark, sf_dir, params)
-    seg = B.rule_segments(B.rfm_features(t.completed), params)
-    return D.logged_rounds(spark, sf_dir, seg, params)
+def rounds_table(spark, sf_dir, params=P, features=None):
+    """``features``: the segmented customer features, where the caller has them."""
+    if features is None:
+        features = B.rule_segments(B.rfm_features(load_tables(spark, sf_dir, params).completed), params)
+    return D.logged_rounds(spark, sf_dir, features, params)
 
 
-def suite(spark, sf_dir, params=P, means_only=False):
-    rounds = rounds_table(spark, sf_dir, params)
-    model = RM.fit_reward_model(rounds, params, means_only=means_only)
+def suite(spark, sf_dir, params=P, means_only=False, features=None, fitted=None):
+    """``fitted``: called with a function that fits the reward model; returns the one to use (a model store)."""
+    rounds = rounds_table(spark, sf_dir, params, features)
+
+    def fit():
+        return RM.fit_reward_model(rounds, params, means_only=means_only)
+
+    model = fitted(fit) if fitted else fit()
     return rounds, model, E.score_rounds(rounds, model, params)
 
 

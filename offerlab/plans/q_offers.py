@@ -11,11 +11,14 @@ from offerlab.operators import feedback_fold as FF
 from offerlab.operators import ope as E
 from offerlab.operators import offers as G
 from offerlab.operators import rfm as B
+from offerlab.operators import router as T
+from offerlab.operators.asof import asof_join
 from offerlab.plans.catalog import present, query
 from offerlab.plans.oracle import cte, with_ctes
-from offerlab.plans.q_router import BIAS, decisions, routed_rounds, with_bias
+from offerlab.plans.q_router import BIAS, act, decisions, routed_rounds, with_bias
 from offerlab.session import cut_lineage
 from offerlab.sources.tables import load_tables, read_table
+from offerlab.streaming.decision_stream import DecisionStream
 
 K = P.n_actions
 
@@ -216,17 +219,18 @@ def q_copy_fallback(spark, sf_dir):
 
 
 # T19, T20 --------------------------------------------------------------------
-def feedback_events(spark, sf_dir, df=None):
+def feedback_events(spark, sf_dir, df=None, report=None):
     """Feedback log: each round's routed policy (heuristic router) with that
     policy's OPE report (DR value vs behaviour mean, rounded to 6), keyed by
-    segment, in event-time order. ``df``: routed rounds, where the caller has them."""
+    segment, in event-time order. ``df`` and ``report``: routed rounds and their
+    report, where the caller has them."""
     df = routed_rounds(spark, sf_dir)[0] if df is None else df
     d = decisions(df)
     def r6(c):
         # reports carry 6 decimals (scaled binary rounding, engine-independent)
         return F.round(F.col(c) * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
 
-    rep = E.ope_report(df, K).select("policy", r6(FF.metric_column(P)).alias("metric_value"),
+    rep = (E.ope_report(df, K) if report is None else report).select("policy", r6(FF.metric_column(P)).alias("metric_value"),
                                      r6("behavior_mean").alias("baseline"))
     return d.select(F.col("user_segment").alias("router_key"), F.col("ts").alias("event_time"),
                     F.col("round_id").alias("event_id"), "policy").join(F.broadcast(rep), "policy", "left")
@@ -303,32 +307,44 @@ def q_bias_snapshot(spark, sf_dir):
 MODES = {"click": "auto", "error": " Bandit ", "purchase": "auto", "signup": "no such policy", "view": "fusion"}
 
 
-def modal_rounds(spark, sf_dir):
+def requested_rounds(spark, sf_dir):
+    """(rounds with the requested mode, their feedback log)."""
     df, _ = routed_rounds(spark, sf_dir)
-    df = cut_lineage(df)
-    snapshot = cut_lineage(FF.bias_snapshot(FF.fold_feedback(feedback_events(spark, sf_dir, df))))
     kinds = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("round_id"), "event_type")
     mode = F.lit(None).cast("string")
     for kind, name in MODES.items():
         mode = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(mode)
-    return with_bias(df, snapshot).join(kinds, "round_id").withColumn("requested", mode)
+    df = cut_lineage(df.join(kinds, "round_id").withColumn("requested", mode))
+    return df, feedback_events(spark, sf_dir, df)
+
+
+def modal_rounds(spark, sf_dir):
+    df, log = requested_rounds(spark, sf_dir)
+    return with_bias(df, cut_lineage(FF.bias_snapshot(FF.fold_feedback(log))))
 
 
-def _modes_sql():
+def _modes_sql(as_of=False):
     from offerlab.plans import oracle_bandit as OB
     from offerlab.plans.q_router import lit
 
-    snap = _snapshot_sql()
     n = len(POLICY_ORDER)
+    if as_of:  # the bias after the key's last feedback before the round, by (time, id)
+        fold = _fold_sql()
+        biases = ", ".join(f"b{j} AS bias_{p}" for j, p in enumerate(POLICY_ORDER))
+        snap = f"SELECT f.*, q.place FROM ({fold[:fold.rindex('SELECT router_key, event_id, policy')]}SELECT router_key, event_id, {biases} FROM st WHERE rn > 0) f JOIN places q ON q.round_id = f.event_id"
+        met = "JOIN places q ON q.round_id = d.round_id ASOF LEFT JOIN snap s ON s.router_key = d.user_segment AND q.place > s.place"
+    else:
+        snap, met = _snapshot_sql(), "LEFT JOIN snap s ON s.router_key = d.user_segment"
     names = {"click": "auto", "error": "contextual_bandit", "purchase": "auto", "signup": "rule_engine", "view": "fusion"}
     mode = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " ELSE 'rule_engine' END"
     logits = [f"(lg{i} + coalesce(s.bias_{p}, 0.0))" for i, p in enumerate(POLICY_ORDER)]
     cand = OB.softmax([f"bl{i}" for i in range(n)])
     best = "CASE " + OB.argmax([f"bc{i}" for i in range(n)]) + " " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(POLICY_ORDER)) + " END"
     return with_ctes(["dist_c"], f"""
-, snap AS ({snap}),
+, places AS (SELECT round_id, row_number() OVER (ORDER BY ts, round_id) AS place FROM dist_c),
+snap AS ({snap}),
 ml AS (SELECT d.*, {mode} AS mode, {", ".join(f"{x} AS bl{i}" for i, x in enumerate(logits))}
-       FROM dist_c d JOIN events e ON e.event_id = d.round_id LEFT JOIN snap s ON s.router_key = d.user_segment),
+       FROM dist_c d JOIN events e ON e.event_id = d.round_id {met}),
 mc AS (SELECT *, {", ".join(f"{c} AS bc{i}" for i, c in enumerate(cand))} FROM ml),
 md AS (SELECT *, mode <> 'auto' AS manual, mode = 'auto' AND NOT known_customer AS missing,
               mode = 'auto' AND known_customer AND pscore < {lit(P.force_rule_pscore)} AS forced FROM mc)
@@ -347,6 +363,20 @@ def q_router_decide_modes(spark, sf_dir):
     return present(d.select("round_id", "mode", "policy", "confidence", F.array_join("reasons", ",").alias("reasons")))
 
 
+# The bias as of each round ---------------------------------------------
+def bias_as_of(df, folded):
+    """Rounds with the bias that feedback before them has left (0 before the first)."""
+    out = asof_join(df, folded, ("user_segment", "ts", "round_id"), ("router_key", "event_time", "event_id"), BIAS)
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in BIAS})
+
+
+@query("router_decide_asof", _modes_sql(as_of=True))
+def q_router_decide_asof(spark, sf_dir):
+    df, log = requested_rounds(spark, sf_dir)
+    d = decisions(bias_as_of(df, cut_lineage(FF.fold_feedback(log))), P, BIAS, "requested", "known_customer")
+    return present(d.select("round_id", "mode", "policy", "confidence", F.array_join("reasons", ",").alias("reasons")))
+
+
 # J1-J5 -------------------------------------------------------------------------
 @query("decision_report")
 def q_decision_report(spark, sf_dir):
@@ -355,28 +385,56 @@ def q_decision_report(spark, sf_dir):
     return present(decision_report(spark, sf_dir))
 
 
-# The streaming fold driven to completion over the feedback log -------------
-@query("feedback_stream", _fold_sql())
-def q_feedback_stream(spark, sf_dir):
+# Rounds and their feedback as a stream ----------------------------------------
+#: How late a round may come; the replayed log arrives shuffled within it, in so many files.
+STREAM_DELAY_SECONDS, STREAM_FILES = 86_400, 4
+
+
+def streamed(spark, sf_dir, path, files=STREAM_FILES):
+    """The log arrives file by file, each round up to the delay late; returns the finished stream."""
+    df, log = requested_rounds(spark, sf_dir)
+    feedback = log.select("router_key", F.col("event_time").cast("timestamp").alias("event_time"), "event_id", "policy", "metric_value", "baseline")
+    own = ["profile_recency", "known_customer", "churn_risk"]  # these come from the static profiles
+    rounds = cut_lineage(df.drop(*own).join(feedback, F.col("round_id") == F.col("event_id")))
+    arrival = F.unix_micros("event_time") + F.pmod(F.xxhash64("event_id"), F.lit(STREAM_DELAY_SECONDS)) * 1_000_000
+    rounds = rounds.withColumn("arrival", arrival)
+    cuts = [0, *rounds.approxQuantile("arrival", [i / files for i in range(1, files)], 0.01), float(1 << 62)]
+    for low, high in zip(cuts, cuts[1:]):
+        rounds.where((F.col("arrival") > low) & (F.col("arrival") <= high)).drop("arrival").coalesce(1).write.mode("append").parquet(f"{path}/arrived")
+    t = load_tables(spark, sf_dir)
+    profiles = B.rfm_features(t.completed).select("customer_unique_id", F.col("recency").alias("profile_recency"))
+
+    def decide(due):
+        known = due.drop("policy", "metric_value", "baseline").withColumn("known_customer", F.col("profile_recency").isNotNull())
+        known = known.withColumn("profile_recency", F.coalesce("profile_recency", F.lit(30)))
+        known = known.withColumn("churn_risk", F.expr(T.churn_risk("profile_recency", "x0", P)))
+        d = act(decisions(known, P, BIAS, "requested", "known_customer"), P)
+        # ends the lineage: the offers would repeat the routing expressions
+        d = cut_lineage(d.select("round_id", "customer_unique_id", "user_segment", "late", "mode", "policy", "confidence", "reasons", "selected_action"))
+        d = G.resolve_offers(d.withColumnRenamed("selected_action", "action_id").withColumnRenamed("policy", "routed_tool"), G.catalog_df(spark))
+        return d.select("round_id", "late", "mode", F.col("routed_tool").alias("policy"), "confidence", F.array_join("reasons", ",").alias("reasons"),
+                        F.col("action_id").alias("selected_action"), "offer_id", "ab_group")
+
+    stream = DecisionStream(f"{path}/stream", profiles, decide, f"{STREAM_DELAY_SECONDS} seconds")
+    batches = stream.run(spark, f"{path}/arrived", rounds.drop("arrival").schema)
+    stream.finish(batches)
+    return stream
+
+
+def _stream_path(spark):
     import uuid
 
     from offerlab.session import ensure_checkpoint_dir
-    from offerlab.streaming.feedback_stream import run_feedback_stream
-
-    run = f"{ensure_checkpoint_dir(spark)}/feedback-stream-{uuid.uuid4().hex[:8]}"
-    ev = feedback_events(spark, sf_dir).withColumn("event_time", F.col("event_time").cast("timestamp"))
-    # the log lands in files by hash of the event, so every file mixes all days; a watermark longer than the log's
-    # span lets none be late, and a closing event per key moves it past the last one
-    ev.write.parquet(f"{run}/events")
-    span = ev.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
-    if span["hi"] is None:
-        return present(FF.fold_feedback(ev).drop("reason", "event_time"))
-    days = (span["hi"] - span["lo"]).days + 1
-    sink = f"{run}/folded"
-    run_feedback_stream(spark, f"{run}/events", f"{run}/checkpoint", sink, P, max_files=4, watermark=f"{days} days")
-    closing = ev.select("router_key").distinct().select("router_key", F.lit(span["hi"]).alias("event_time").cast("timestamp"), F.lit(-1).cast("long").alias("event_id"),
-                                                        F.lit("auto").alias("policy"), F.lit(0.0).alias("metric_value"), F.lit(0.0).alias("baseline"))
-    closing = closing.withColumn("event_time", F.expr(f"event_time + INTERVAL {2 * days + 1} DAYS"))
-    closing.coalesce(1).write.mode("append").parquet(f"{run}/events")
-    out = run_feedback_stream(spark, f"{run}/events", f"{run}/checkpoint", sink, P, max_files=4, watermark=f"{days} days")
-    return present(out.where("enabled").drop("reason", "event_time"))
+
+    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("decision_stream", _modes_sql(as_of=True))
+def q_decision_stream(spark, sf_dir):
+    out = streamed(spark, sf_dir, _stream_path(spark)).table(spark, "decisions").where("not late")
+    return present(out.select("round_id", "mode", "policy", "confidence", "reasons"))
+
+
+@query("feedback_stream", _fold_sql())
+def q_feedback_stream(spark, sf_dir):
+    return present(streamed(spark, sf_dir, _stream_path(spark)).table(spark, "folded").drop("reason", "event_time", "batch"))

@@ -259,3 +259,164 @@ def test_stored_buckets_give_k_and_good_recall(spark, tmp_path):
     assert len(exact & {(r.query_id, r.vec_id) for r in near}) >= 0.9 * len(exact)
     few = H.bucketed_topk(spark, str(tmp_path / "index"), queries, 90, P.with_(nprobe=1)).collect()
     assert len(few) == 90 * len(queries)  # buckets are added until they hold k vectors
+
+
+# --- as-of join, decisions as a stream
+
+def test_asof_join_is_strictly_before_and_splits_hot_keys(spark):
+    import random
+
+    from offerlab.operators.asof import asof_join
+
+    rng = random.Random(3)
+    key = lambda: rng.choice(["hot"] * 8 + ["a", "b", None])
+    left = [(key(), rng.randrange(60), i, "x") for i in range(150)]
+    right = [(key(), rng.randrange(60), 1000 + i if rng.random() < .5 else i, float(i)) for i in range(120)]
+    at = lambda s: f"timestamp_seconds({s})"
+    ldf = spark.createDataFrame(left, "k string, s long, id long, v string").selectExpr("k", f"{at('s')} t", "id", "v", "s")
+    rdf = spark.createDataFrame(right, "k string, s long, id long, v double").selectExpr("k", f"{at('s')} t", "id", "v")
+    got = {(r.id): r.v for r in asof_join(ldf, rdf, ("k", "t", "id"), ("k", "t", "id"), ["v"], 7).collect()}
+    for k, s, i, _ in left:
+        before = [(rs, ri, v) for rk, rs, ri, v in right if rk == k and (rs, ri) < (s, i)]
+        assert got[i] == (max(before)[2] if before else None)
+    assert len(got) == 150
+    assert asof_join(ldf.where("false"), rdf, ("k", "t", "id"), ("k", "t", "id"), ["v"]).count() == 0
+    assert {r.v for r in asof_join(ldf, rdf.where("false"), ("k", "t", "id"), ("k", "t", "id"), ["v"]).collect()} == {None}
+
+
+def _arrivals(spark, path, files):
+    """Files of (customer, key, second, id, policy, metric), each a list of rows."""
+    schema = "customer_unique_id string, router_key string, s long, event_id long, policy string, metric_value double"
+    for rows in files:
+        df = spark.createDataFrame(rows, schema).selectExpr("customer_unique_id", "router_key", "timestamp_seconds(s) event_time", "event_id", "policy", "metric_value", "0.1D baseline")
+        df.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return df.schema
+
+
+def test_decision_stream_equals_the_batch_fold(spark, tmp_path):
+    """Shuffled arrivals within the delay give the batch result; only the delay's rounds wait; a row behind the watermark is late."""
+    import random
+
+    from offerlab.config import POLICY_ORDER
+    from offerlab.operators import feedback_fold as FF
+    from offerlab.operators.asof import asof_join
+    from offerlab.streaming.decision_stream import BIAS, DecisionStream
+
+    rng = random.Random(5)
+    rows = [(f"c{rng.randrange(5)}", rng.choice(["vip", "vip", "regular", None]), 10 * i, i, rng.choice([*POLICY_ORDER, "nobody"]), rng.random()) for i in range(120)]
+    arrived = sorted(rows, key=lambda r: r[2] + rng.randrange(100))
+    files = [arrived[i:i + 40] for i in (0, 40, 80)]
+    for f in files:
+        rng.shuffle(f)
+    files[2] = files[2] + [("c1", "vip", 5, 999, "fusion", 1.0)]  # long after its time
+    schema = _arrivals(spark, str(tmp_path), files)
+    profiles = spark.createDataFrame([(f"c{i}", i) for i in range(4)], "customer_unique_id string, recency int")
+    stream = DecisionStream(str(tmp_path / "s"), profiles, lambda df: df.select("event_id", "recency", "late", *BIAS), "100 seconds")
+    batches = stream.run(spark, f"{tmp_path}/in", schema)
+    assert batches == 3
+    for b in range(batches):
+        waiting = stream.table(spark, "waiting", b)
+        low = stream.table(spark, "watermark", b).first()["watermark"]
+        assert waiting.where(F.col("event_time") < F.lit(low)).count() == 0
+        assert waiting.count() <= 100 / 10 + 1 and stream.table(spark, "state", b).count() <= 3
+    stream.finish(batches)
+    got = {r.event_id: r for r in stream.table(spark, "decisions").collect()}
+    assert len(got) == 121 and [i for i, r in got.items() if r.late] == [999]
+    log = spark.createDataFrame(rows, "customer_unique_id string, router_key string, s long, event_id long, policy string, metric_value double").selectExpr(
+        "router_key", "timestamp_seconds(s) event_time", "event_id", "policy", "metric_value", "0.1D baseline")
+    fold = FF.fold_feedback(log)
+    want = asof_join(log, fold, ("router_key", "event_time", "event_id"), ("router_key", "event_time", "event_id"), BIAS).collect()
+    for r in want:
+        assert [got[r.event_id][c] for c in BIAS] == pytest.approx([r[c] or 0.0 for c in BIAS], abs=1e-9)
+    folded = {r.event_id: [r[c] for c in BIAS] for r in stream.table(spark, "folded").collect()}
+    assert set(folded) == {r[3] for r in rows}
+    for r in fold.collect():
+        assert folded[r.event_id] == pytest.approx([r[c] for c in BIAS], abs=1e-9)
+    assert {r.recency for r in got.values()} == {0, 1, 2, 3, None}
+
+
+def test_money_of_a_missing_amount(spark):
+    from offerlab.functions.text import money2
+
+    rows = spark.createDataFrame([(1.005,), (None,), (-0.0,)], "x double").select(money2(F.col("x")).alias("m")).collect()
+    assert [r.m for r in rows][1] == "null" and rows[0].m in ("1.00", "1.01")
+
+
+# --- exact split, exact AUC, model store
+
+def test_exact_split_counts_with_ties(spark):
+    """Exactly the share of each label trains, also where rows repeat or a label is NULL."""
+    from collections import Counter
+
+    from offerlab.operators.splits import exact_split, train_count
+
+    rows = [(None if i % 11 == 0 else i % 3, f"k{i}") for i in range(200)] + [(0, "same")] * 60 + [(7, "one")]
+    df = spark.createDataFrame(rows, "label int, k string").repartition(5)
+    got = exact_split(df, "label", F.col("k"), 0.8).collect()
+    n = Counter(r[0] for r in rows)
+    assert Counter((r.label, r.split) for r in got if r.split == "train") == {(x, "train"): train_count(c, 0.8) for x, c in n.items() if train_count(c, 0.8)}
+    assert Counter((r.label, r.k) for r in got) == Counter(rows)
+    assert [train_count(k, 0.8) for k in (0, 1, 4, 5, 10)] == [0, 0, 3, 4, 8]
+    assert exact_split(df.where("false"), "label", F.col("k"), 0.8).collect() == []
+
+
+def test_exact_auc_with_ties(spark):
+    from offerlab.functions.stats import exact_auc
+
+    rng = np.random.default_rng(2)
+    rows = [(float(s), int(y)) for s, y in zip(rng.integers(0, 12, 300), rng.integers(0, 2, 300))] + [(None, 1), (float("nan"), 0), (3.0, None), (0.0, 1), (-0.0, 0)]
+    good = [(s, y) for s, y in rows if s is not None and s == s and y is not None]
+    pos, neg = [s for s, y in good if y], [s for s, y in good if not y]
+    want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    df = spark.createDataFrame(rows, "s double, y int")
+    got = exact_auc(df, "s", "y", 5).first()
+    assert (got.positives, got.negatives) == (len(pos), len(neg)) and got.auc == pytest.approx(want, abs=1e-12)
+    assert exact_auc(df.where("y = 1"), "s", "y").first().auc is None
+    assert exact_auc(df.where("false"), "s", "y").first().positives == 0
+
+
+def test_model_store_loads_what_it_holds(spark, tmp_path):
+    from pyspark.ml.clustering import KMeans, KMeansModel
+    from pyspark.ml.linalg import Vectors
+
+    from offerlab.operators.model_store import ModelStore, model_key
+    from offerlab.operators.reward_model import RewardModel
+
+    path = str(tmp_path / "models")
+    points = spark.createDataFrame([(Vectors.dense([float(i % 2) * 9, 1.0]),) for i in range(20)], ["features"])
+    store = ModelStore(spark, path)
+    assert store.manifest().count() == 0
+    first = store.ml("kmeans", model_key(params=P, data="a"), lambda: KMeans(k=2, seed=1).fit(points), KMeansModel)
+    ridge = RewardModel(2, 3, np.array([5, 9]), np.array([.1, .2]), np.arange(6.).reshape(2, 3), np.arange(18.).reshape(2, 3, 3), 4)
+    store.ridge("k", lambda: ridge)
+    assert store.get("none", "k", lambda: None, None, None) is None
+    assert store.fitted == ["kmeans", "ridge", "none"]
+
+    def never():
+        raise AssertionError("fitted again")
+
+    again = ModelStore(spark, path)
+    second = again.ml("kmeans", model_key(params=P, data="a"), never, KMeansModel)
+    assert [c.tolist() for c in second.clusterCenters()] == [c.tolist() for c in first.clusterCenters()]
+    back = again.ridge("k", never)
+    assert (back.thetas == ridge.thetas).all() and (back.a_invs == ridge.a_invs).all() and back.min_samples == 4 and back.counts.tolist() == [5, 9]
+    assert again.fitted == []
+    assert model_key(params=P.with_(alpha=.7), data="a") != model_key(params=P, data="a") != model_key(params=P, data="b")
+    again.ridge("k", lambda: RewardModel(2, 3, ridge.counts, ridge.means + 1, ridge.thetas, ridge.a_invs, 4), refresh=True)
+    assert ModelStore(spark, path).ridge("k", never).means.tolist() == [1.1, 1.2] and again.manifest().count() == 2
+
+
+def test_second_report_fits_nothing(spark, tmp_path):
+    """The report with the conversion model; its second run loads all models and gives the same rows."""
+    from offerlab.operators.model_store import ModelStore
+    from offerlab.plans.decision import decision_report
+
+    small = P.with_(gbt_rounds=3, gbt_depth=3, router_trees=5)
+    path = str(tmp_path / "models")
+    first = ModelStore(spark, path)
+    columns = ["round_id", "policy", "confidence", "base_conversion", "roi"]
+    one = sorted(map(tuple, decision_report(spark, "/root/testdata/sf0.001", small, store=first).select(*columns).collect()))
+    second = ModelStore(spark, path)
+    two = sorted(map(tuple, decision_report(spark, "/root/testdata/sf0.001", small, store=second).select(*columns).collect()))
+    assert set(first.fitted) >= {"ridge", "conversion"} and set(second.fitted) <= {"router"} and one == two
+    assert len({r[3] for r in one}) > 1 and all(0.001 <= r[3] <= 0.5 for r in one)
