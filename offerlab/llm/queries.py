@@ -97,7 +97,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.round(F.col("logprob") / F.nullif("n_words", F.lit(0)) * 10000) / 10000 + 0.0).alias("mean_logprob"))
 
 
-ORACLES["op10_lm_scores"] = lm_scores.ORACLE.format(vocabulary=65_535, backoff=0.4)
+ORACLES["op10_lm_scores"] = lm_scores.ORACLE.format(vocabulary=10**9, backoff=0.4)
 
 
 @query
