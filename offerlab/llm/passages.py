@@ -16,9 +16,11 @@ Runs. A task sorts the suffixes at its anchors, with the bytes to their left,
 keeps one of equal ones (that of the smallest document; the others are covered
 at once, so a passage in a third of all documents sends a row per task), and
 sends sorted runs, front-coded: the length of the prefix shared with the
-suffix before, and the rest. ``BANDS`` split the places of the anchor inside
-the string: rows meet under the bytes that all strings of a band share, so
-that passages' ends, with other neighbours in every document, spread over
+suffix before, and the rest. Rows meet under the bytes that all strings
+around an anchor share, its own ``KMER``. Anchors that the first pass met in
+many runs send a row for each of three ranges of their place inside the string
+instead (``bands``); rows of a range share more bytes, so that a
+frequent passage's ends, with other neighbours in every document, spread over
 the buckets.
 
 Merge. A bucket's runs are combined by a loser tree whose nodes know the prefix that
@@ -43,9 +45,11 @@ from offerlab.llm.common import bitmap_of, discard, in_bitmap, need, shuffle_wid
 
 KMER = 24
 #: Bytes of text that are hashed at once.
-STEP = 2_000_000
+STEP = 1_000_000
 #: Suffixes that a task sorts into one set of runs.
-RUN_ROWS = 300_000
+RUN_ROWS = 150_000
+#: From this count on (at most two per run) an anchor's rows are split by its place in the string.
+HOT = 64
 #: Bits of the bitmap of repeated anchors.
 FILTER_BITS = 26
 LAST = (1 << 63) - 1
@@ -53,9 +57,9 @@ ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def bands(reach: int) -> list[tuple[int, int]]:
-    """Ranges of the places 0 to ``reach`` of an anchor inside a string; narrow at both ends."""
+    """Ranges of the places 0 to ``reach`` of an anchor inside a string: all of them, then three that are narrow at both ends."""
     edge = min(3, reach // 3)
-    return [(0, edge), (edge + 1, reach - edge - 1), (reach - edge, reach)]
+    return [(0, reach), (0, edge), (edge + 1, reach - edge - 1), (reach - edge, reach)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -142,8 +146,8 @@ def slices(batches, span: int):
                 yield whole[a:b], np.array([0]), np.array([b - a]), np.array([a]), doc[[i]], own[[i]]
 
 
-def repeated_anchors(texts: DataFrame, span: int) -> np.ndarray:
-    """Bitmap (64-bit words) of the slots of anchors that occur in two documents or more."""
+def repeated_anchors(texts: DataFrame, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the slots of anchors that occur in two documents or more, and of those in many runs."""
     def task(batches):
         for data, starts, ends, _, doc, _ in slices(batches, span):
             at, h = anchors(data, starts, ends, span)
@@ -156,7 +160,10 @@ def repeated_anchors(texts: DataFrame, span: int) -> np.ndarray:
             times = np.minimum(np.diff(np.r_[first, len(h)]), 2)
             yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
 
-    return bitmap_of(texts.mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "h", FILTER_BITS)
+    repeated = written(texts.mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
+    both = bitmap_of(repeated, "h", FILTER_BITS), bitmap_of(repeated.where(F.col("n") >= HOT), "h", FILTER_BITS)
+    discard(repeated)
+    return both
 
 
 def shared_prefix(rows: np.ndarray) -> np.ndarray:
@@ -194,8 +201,8 @@ def span_batch(doc, own, start, end):
     return names["d"][key], names["o"][key], start, end
 
 
-def runs(texts: DataFrame, bitmap, span: int, width: int) -> DataFrame:
-    """Sorted front-coded runs per bucket (bucket 0 and up) and spans that are covered already (bucket -1).
+def runs(texts: DataFrame, bitmaps, span: int, width: int) -> DataFrame:
+    """Sorted front-coded runs per bucket (bucket 0 and up) and spans that are covered already (buckets below 0).
 
     bucket, band, shared (bytes), rest (bytes), doc, own (longs), times (ints): the places of each suffix, flat in places (longs).
     """
@@ -204,7 +211,7 @@ def runs(texts: DataFrame, bitmap, span: int, width: int) -> DataFrame:
     schema = "bucket int, band int, shared binary, rest binary, doc binary, own binary, times binary, places binary"
 
     def task(batches):
-        filter_ = bitmap.value
+        repeated, hot = bitmaps.value
         kept = {b: [] for b in range(len(cut))}
         count = 0
 
@@ -248,12 +255,13 @@ def runs(texts: DataFrame, bitmap, span: int, width: int) -> DataFrame:
             if covered:
                 d, o, s, e = span_batch(*(np.concatenate(x) for x in zip(*covered)))
                 if len(d):
-                    yield packed(-1, -1, b"", b"", d, o, s, e)
+                    yield packed(-1 - int(d[0]) % width, -1, b"", b"", d, o, s, e)
 
         schema_names = [x.split()[0] for x in schema.split(", ")]
         for data, starts, ends, before, doc, own in slices(batches, span):
             at, h = anchors(data, starts, ends, span)
-            at = at[in_bitmap(h, filter_)]
+            some = in_bitmap(h, repeated)
+            at, split = at[some], in_bitmap(h[some], hot)
             if not len(at):
                 continue
             of = np.searchsorted(starts, at, side="right") - 1
@@ -261,7 +269,9 @@ def runs(texts: DataFrame, bitmap, span: int, width: int) -> DataFrame:
             for b, (lo, hi) in enumerate(cut):
                 last = np.minimum(hi, at - starts[of])
                 first = np.maximum(lo, at + span - ends[of])
-                fits = first <= last
+                fits = (first <= last) & (split if b else ~split)
+                if not fits.any():
+                    continue
                 p, o, f, l = at[fits], of[fits], first[fits], last[fits]
                 # the suffix from the band's first place on, then the bytes to its left, from right to left
                 column = np.r_[np.arange(-lo, span - lo), np.arange(-lo - 1, -hi - 1, -1)]
@@ -420,9 +430,7 @@ def covers(run_table: DataFrame, span: int, partitions: int) -> DataFrame:
         if parts:
             yield batch_of(parts)
 
-    done = run_table.where("bucket < 0").mapInArrow(task, "doc long, own long, start long, end long")
-    met = run_table.where("bucket >= 0").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "doc long, own long, start long, end long")
-    return done.unionByName(met)
+    return run_table.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "doc long, own long, start long, end long")
 
 
 def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 50) -> DataFrame:
@@ -439,11 +447,9 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     first = whole.groupBy("__own", "__own2").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last")).where("__first < __last")
     copies = written(whole.join(first.drop("__last"), ["__own", "__own2"]).where("__doc > __first").select("__doc", "__own").distinct(), "copies")
     texts = rows.join(copies, ["__doc", "__own"], "left_anti").where(F.octet_length("__bytes") >= span).select("__doc", "__own", "__bytes")
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(texts, span))
-    run_table = written(runs(texts, bitmap, span, width), "runs")
-    found = covers(run_table, span, width)
+    bitmaps = docs.sparkSession.sparkContext.broadcast(repeated_anchors(texts, span))
+    found = covers(runs(texts, bitmaps, span, width), span, width)
     of_text = written(found.groupBy("doc", "own").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__found")), "covers")
-    discard(run_table)
     whole_copy = copies.withColumn("__copy", F.lit(True))
 
     @F.pandas_udf("spans array<struct<start:long,end:long>>, kept binary")

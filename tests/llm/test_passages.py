@@ -57,8 +57,9 @@ EDGE = [(None, "no id " * 30), (None, "no id " * 30), (3, "no id " * 20), (4, No
         (10, "é" * 45), (11, "word " * 3000), (12, "word " * 2000 + "end"), (12, "word " * 2000 + "end"), (1, "word " * 11)]
 
 
-@pytest.mark.parametrize("seed,letters,span", [(1, "abcdefghij ", 50), (2, "ab", 50), (3, "abcdefgh", 30)])
-def test_matches_brute_force(spark, seed, letters, span):
+@pytest.mark.parametrize("seed,letters,span,hot", [(1, "abcdefghij ", 50, 64), (2, "ab", 50, 64), (3, "abcdefgh", 30, 64), (4, "abcdef ", 50, 2), (3, "abcdefgh", 30, 4)])
+def test_matches_brute_force(spark, monkeypatch, seed, letters, span, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
     rows = corpus(seed, letters) + EDGE
     random.Random(seed).shuffle(rows)
     assert got(passages.repeated_passages(frame(spark, rows).repartition(5), span=span)) == brute(rows, span)
@@ -77,7 +78,8 @@ def test_small_pieces_and_runs(spark, monkeypatch):
     assert sorted(set(pieces)) == whole.tolist()
 
 
-def test_one_hot_passage(spark):
+def test_one_hot_passage(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HOT", 3)
     rng = random.Random(9)
     hot = "".join(rng.choice("abcdefghijkl ") for _ in range(120))
     rows = [(i, "".join(rng.choice("mnopqrst") for _ in range(rng.randint(5, 40))) + hot + "".join(rng.choice("mnopqrst") for _ in range(20))) for i in range(200)]
