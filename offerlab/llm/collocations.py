@@ -36,9 +36,11 @@ from offerlab.llm.common import bitmap_of, in_bitmap, need, text_or_empty, writt
 
 LONGEST = 5
 #: Bytes of text that are worked on at once.
-STEP = 1_500_000
+STEP = 600_000
 #: Fingerprints that a task counts together.
-HELD = 3_000_000
+HELD = 1_000_000
+#: Frequent phrases that a task of the last pass counts together.
+HELD_PHRASES = 50_000
 FILTER_BITS = 25
 ODD = 0xD6E8FEB86659FD93
 # fixed values: what ends a piece and what ends a word
@@ -241,7 +243,7 @@ def pointer_task(frequent, bits: int):
                     else:
                         row[1] += c
                         row[3] |= not ok or row[2] != proof or row[0] != p.langs[p.of[i]]
-            if len(known) > HELD // 10:
+            if len(known) > HELD_PHRASES:
                 yield packed()
         if known:
             yield packed()
