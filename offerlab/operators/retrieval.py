@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from offerlab.config import CHUNK_SEPARATORS, DEFAULT_PARAMS, Params
 from offerlab.functions.text import ustrip
+from offerlab.session import cut_lineage
 
 
 def load_knowledge(spark: SparkSession, dir_path: str) -> DataFrame:
@@ -27,37 +31,23 @@ def load_knowledge(spark: SparkSession, dir_path: str) -> DataFrame:
     return df.where(keep & (F.length("text") > 0))
 
 
-def chunk_spans(sizes: F.Column, chunk_size: int, chunk_overlap: int) -> F.Column:
-    """H1: (first, after) piece numbers of each chunk, from the pieces' sizes.
+def chunk_bounds(sizes, chunk_size: int, chunk_overlap: int) -> list[int]:
+    """H1: first and after, first and after, ... piece numbers of the chunks, from the pieces' sizes.
 
-    One pass over the sizes holds the open chunk's first piece, its pieces'
-    sizes and their sum. A piece that does not fit closes the chunk; the next
-    one reaches back over the longest tail of at most ``chunk_overlap``.
+    Prefix sums of the sizes give each chunk by two binary searches: the
+    last piece that fits, and the longest tail of at most ``chunk_overlap``
+    that the next chunk repeats. The piece that did not fit opens the next
+    chunk whatever its size.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("total"),
-                     F.expr("cast(array() as array<int>)").alias("held"),
-                     F.expr("cast(array() as array<struct<first:int,after:int>>)").alias("spans"))
-
-    def tail(held):
-        """Pieces and characters of the longest tail that may be repeated."""
-        return F.aggregate(F.reverse(held), F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(True).alias("on")), lambda t, x: F.when(
-            t["on"] & (t["sum"] + x <= chunk_overlap), F.struct((t["n"] + 1).alias("n"), (t["sum"] + x).alias("sum"), F.lit(True).alias("on"))
-        ).otherwise(F.struct(t["n"].alias("n"), t["sum"].alias("sum"), F.lit(False).alias("on"))))
-
-    def state(at, first, total, held, spans):
-        return F.struct(at.alias("at"), first.cast("int").alias("first"), total.cast("int").alias("total"), held.alias("held"), spans.alias("spans"))
-
-    def step(s, size):
-        grown = state(s["at"] + 1, s["first"], s["total"] + size, F.concat(s["held"], F.array(size)), s["spans"])
-        closed = F.concat(s["spans"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("after"))))
-        # a one-element array binds the tail once
-        opened = F.transform(F.array(tail(s["held"])), lambda t: state(
-            s["at"] + 1, s["at"] - t["n"], t["sum"] + size,
-            F.concat(F.slice(s["held"], F.size(s["held"]) - t["n"] + 1, t["n"]), F.array(size)), closed))[0]
-        return F.when((s["total"] + size > chunk_size) & (F.size(s["held"]) > 0), opened).otherwise(grown)
-
-    return F.aggregate(sizes, start, step, lambda s: F.when(F.size(s["held"]) > 0, F.concat(
-        s["spans"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("after"))))).otherwise(s["spans"]))
+    upto = [0, *accumulate(sizes)]
+    n, out, first, least = len(upto) - 1, [], 0, 1
+    while n:
+        after = max(bisect_right(upto, upto[first] + chunk_size) - 1, least)
+        out += [first, min(after, n)]
+        if after >= n:
+            break
+        first, least = max(first, bisect_left(upto, upto[after] - chunk_overlap)), after + 1
+    return out
 
 
 def chunk_corpus(docs: DataFrame, params: Params = DEFAULT_PARAMS, id_col: str = "doc_id",
@@ -65,16 +55,22 @@ def chunk_corpus(docs: DataFrame, params: Params = DEFAULT_PARAMS, id_col: str =
     """H1 + H2: one row per chunk (doc_id, source, chunk_no, text).
 
     A text is cut at the first of the separators that it holds; its pieces
-    are stripped, blank ones dropped, and packed by ``chunk_spans``; a piece
-    longer than a chunk stays whole. Built-in functions only."""
+    are stripped, blank ones dropped, and packed by ``chunk_bounds``; a piece
+    longer than a chunk stays whole. Only the pieces' sizes go to Python."""
     text = F.col(text_col)
     separator = F.coalesce(*[F.when(F.contains(text, F.lit(x)), F.lit(x)) for x in CHUNK_SEPARATORS], F.lit(CHUNK_SEPARATORS[-1]))
     cut = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("_t"), separator.alias("_sep"))
     pieces = F.filter(F.transform(F.split("_t", F.concat(F.lit(r"\Q"), F.col("_sep"), F.lit(r"\E")), F.lit(-1)), ustrip), lambda x: F.length(x) > 0)
-    packed = cut.withColumn("_pieces", pieces).withColumn("_spans", chunk_spans(
-        F.transform("_pieces", lambda x: F.length(x)), params.chunk_size, params.chunk_overlap))
-    return packed.select("doc_id", "source", "_pieces", "_sep", F.posexplode("_spans").alias("chunk_no", "_span")).select(
-        "doc_id", "source", "chunk_no", F.expr("array_join(slice(_pieces, _span.first + 1, _span.after - _span.first), _sep)").alias("text"))
+    size, overlap = params.chunk_size, params.chunk_overlap
+
+    @F.pandas_udf("array<int>")
+    def bounds(sizes: pd.Series) -> pd.Series:
+        return pd.Series([chunk_bounds(x.tolist(), size, overlap) for x in sizes], dtype=object)
+
+    packed = cut.withColumn("_pieces", pieces).withColumn("_bounds", bounds(F.transform("_pieces", lambda x: F.length(x))))
+    numbered = packed.where(F.size("_bounds") > 0).select("doc_id", "source", "_pieces", "_sep", "_bounds", F.explode(F.expr("sequence(0, size(_bounds) div 2 - 1)")).alias("_i"))
+    return numbered.select("doc_id", "source", F.col("_i").cast("int").alias("chunk_no"), F.expr(
+        "array_join(slice(_pieces, _bounds[2 * _i] + 1, _bounds[2 * _i + 1] - _bounds[2 * _i]), _sep)").alias("text"))
 
 
 def l2_normalize(v: F.Column) -> F.Column:
@@ -116,6 +112,12 @@ def label_centroid_queries(vectors: DataFrame, dim: int, label: str = "label",
     return out
 
 
+def best_of(ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int, key: str) -> pd.DataFrame:
+    """The k best rows per query of a (rows x queries) score matrix whose rows are in id order; one sort for all queries."""
+    top = np.argsort(-scores, axis=0, kind="stable")[:k]
+    return pd.DataFrame({key: ids[top.T.ravel()], "query_id": np.repeat(qids, top.shape[0]), "score": np.take_along_axis(scores, top, 0).T.ravel()})
+
+
 def exact_topk(vectors: DataFrame, queries: list[tuple], k: int, key: str = "vec_id",
                vec_col: str = "embedding") -> DataFrame:
     """H4 + H5: inner-product top-k per query over L2-normalised vectors.
@@ -133,19 +135,11 @@ def exact_topk(vectors: DataFrame, queries: list[tuple], k: int, key: str = "vec
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            pdf = pdf.sort_values(key, kind="stable")  # ties go to the smaller id
+            m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             nrm = np.sqrt((m * m).sum(axis=1))
             m = np.where(nrm[:, None] > 0, m / np.where(nrm > 0, nrm, 1.0)[:, None], m)
-            scores = m @ qmat.T
-            ids = pdf[key].to_numpy()
-            rows_id, rows_q, rows_s = [], [], []
-            for j, q in enumerate(qids):
-                order = np.lexsort((ids, -scores[:, j]))[:k]
-                rows_id.append(ids[order])
-                rows_q.append(np.full(len(order), q))
-                rows_s.append(scores[order, j])
-            yield pd.DataFrame({key: np.concatenate(rows_id), "query_id": np.concatenate(rows_q),
-                                "score": np.concatenate(rows_s)})
+            yield best_of(pdf[key].to_numpy(), m @ qmat.T, qids, k, key)
 
     part = vectors.select(key, vec_col).mapInPandas(run, f"{key} long, query_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
@@ -164,7 +158,7 @@ def build_buckets(vectors: DataFrame, path: str, params: Params = DEFAULT_PARAMS
                   vec_col: str = "embedding", seed: int = 42) -> None:
     """A10, H6: the stored index. ``nlist`` k-means centroids (fewer for fewer
     vectors); every vector, normalised, goes to its centroid's bucket, a
-    partition folder of the table; bucket sizes and centroids are stored too."""
+    partition folder of the table; centroids, bucket sizes and radii are stored too."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -172,10 +166,80 @@ def build_buckets(vectors: DataFrame, path: str, params: Params = DEFAULT_PARAMS
     vectors.select(key, l2_normalize(F.col(vec_col)).alias("v")).write.parquet(f"{path}/vectors")
     vec = spark.read.parquet(f"{path}/vectors").withColumn("features", array_to_vector("v"))
     model = KMeans(k=max(2, params.nlist), seed=seed, featuresCol="features", predictionCol="bucket").fit(vec)
-    model.transform(vec).select(key, "v", "bucket").write.partitionBy("bucket").parquet(f"{path}/buckets")
-    sizes = spark.read.parquet(f"{path}/buckets").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "bucket int, centre array<double>")
-    centres.join(sizes, "bucket").write.parquet(f"{path}/centres")
+    centres.coalesce(1).write.parquet(f"{path}/centres")
+    append_buckets(spark.read.parquet(f"{path}/vectors"), path, key)
+
+
+def append_buckets(vectors: DataFrame, path: str, key: str = "vec_id", vec_col: str = "v") -> None:
+    """A10: more vectors for a stored index. Each goes, normalised, to the nearest stored centroid's
+    bucket; its count and its radius (greatest distance from the centroid) are added for the buckets it fills."""
+    spark = vectors.sparkSession
+    found = sorted((r["bucket"], r["centre"]) for r in spark.read.parquet(f"{path}/centres").collect())  # nlist rows
+    buckets, matrix = np.array([b for b, _ in found], dtype=np.int32), np.array([c for _, c in found])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack(pdf["v"].to_numpy())
+                near = np.argmin((matrix * matrix).sum(axis=1)[None, :] - 2 * (m @ matrix.T), axis=1)
+                yield pd.DataFrame({key: pdf[key], "v": pdf["v"], "far": np.sqrt(((m - matrix[near]) ** 2).sum(axis=1)), "bucket": buckets[near]})
+
+    part = uuid.uuid4().hex
+    placed = vectors.select(key, l2_normalize(F.col(vec_col)).alias("v")).mapInPandas(run, f"{key} long, v array<double>, far double, bucket int")
+    placed.withColumn("part", F.lit(part)).write.mode("append").partitionBy("bucket", "part").parquet(f"{path}/buckets")
+    new = spark.read.parquet(f"{path}/buckets").where(F.col("part") == part)
+    new.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).coalesce(1).write.mode("append").parquet(f"{path}/sizes")
+
+
+def stored_centres(spark: SparkSession, path: str) -> list[tuple]:
+    """(bucket, centre, vectors, radius) of the buckets that hold any, in bucket order: at most nlist rows."""
+    sizes = spark.read.parquet(f"{path}/sizes").groupBy("bucket").agg(F.sum("n").alias("n"), F.max("far").alias("far"))
+    rows = spark.read.parquet(f"{path}/centres").join(sizes, "bucket").collect()
+    return sorted((r["bucket"], r["centre"], r["n"], r["far"]) for r in rows)
+
+
+def certified_topk(spark: SparkSession, path: str, queries: list[tuple], k: int, params: Params = DEFAULT_PARAMS, key: str = "vec_id") -> tuple[DataFrame, float]:
+    """H6 with a certificate: exactly the top k of all stored vectors, and the share of (query, bucket) pairs read.
+
+    No vector of a bucket scores more than q.centre + |q| * radius. The first
+    read takes each query's ``nprobe`` buckets of the highest bounds (more
+    while they hold fewer than k vectors); its k-th score rules out all
+    unread buckets with lower bounds, and a second read takes the others.
+    """
+    centres = stored_centres(spark, path)
+    names, matrix = np.array([c[0] for c in centres]), np.array([c[1] for c in centres])
+    sizes, radius = np.array([c[2] for c in centres]), np.array([c[3] for c in centres])
+    qids, qmat = np.array([q for q, _ in queries], dtype=np.int64), np.array([v for _, v in queries], dtype=np.float64)
+    bound = qmat @ matrix.T + np.sqrt((qmat * qmat).sum(axis=1))[:, None] * radius[None, :] + 1e-9
+    order = np.argsort(-bound, axis=1, kind="stable")
+    first = np.zeros(bound.shape, dtype=bool)
+    for i in range(len(qids)):
+        enough = int(np.searchsorted(np.cumsum(sizes[order[i]]), k)) + 1
+        first[i, order[i, :max(params.nprobe, enough)]] = True
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
+
+    def read(wanted: np.ndarray) -> DataFrame:
+        asked = {int(names[j]): np.flatnonzero(wanted[:, j]) for j in np.flatnonzero(wanted.any(axis=0))}
+        rows = spark.read.parquet(f"{path}/buckets").where(F.col("bucket").isin(list(asked)))
+
+        def run(batches):
+            for pdf in batches:
+                for bucket, part in pdf.groupby("bucket"):
+                    part, at = part.sort_values(key, kind="stable"), asked[int(bucket)]
+                    yield best_of(part[key].to_numpy(), np.stack(part["v"].to_numpy()) @ qmat[at].T, qids[at], k, key)
+
+        found = rows.mapInPandas(run, f"{key} long, query_id long, score double")
+        return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+    best = cut_lineage(read(first))
+    kth = {r["query_id"]: r["s"] for r in best.groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect()}
+    least = np.array([kth.get(int(q), -np.inf) for q in qids])
+    second = ~first & (bound >= least[:, None])
+    if second.any():
+        both = best.drop("rank").unionByName(read(second).drop("rank"))
+        best = both.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return best, float((first | second).mean())
 
 
 def bucketed_topk(spark: SparkSession, path: str, queries: list[tuple], k: int, params: Params = DEFAULT_PARAMS,
@@ -183,8 +247,8 @@ def bucketed_topk(spark: SparkSession, path: str, queries: list[tuple], k: int,
     """H6: approximate top-k from a stored index. Each query probes its
     ``nprobe`` best buckets, and further ones while those hold fewer than k
     vectors; only probed buckets are read, then H5 ranking."""
-    centres = sorted((r["bucket"], r["centre"], r["n"]) for r in spark.read.parquet(f"{path}/centres").collect())  # nlist rows
-    matrix, sizes = np.array([c for _, c, _ in centres]), np.array([n for _, _, n in centres])
+    centres = stored_centres(spark, path)
+    matrix, sizes = np.array([c[1] for c in centres]), np.array([c[2] for c in centres])
     wanted: dict[int, list] = {}
     for qid, qv in queries:
         order = np.argsort(-(matrix @ np.array(qv)), kind="stable")

@@ -420,3 +420,49 @@ def test_second_report_fits_nothing(spark, tmp_path):
     two = sorted(map(tuple, decision_report(spark, "/root/testdata/sf0.001", small, store=second).select(*columns).collect()))
     assert set(first.fitted) >= {"ridge", "conversion"} and set(second.fitted) <= {"router"} and one == two
     assert len({r[3] for r in one}) > 1 and all(0.001 <= r[3] <= 0.5 for r in one)
+
+
+# --- search with text, stored index with a certificate
+
+def test_certified_search_is_exact_reads_few_buckets_and_takes_appends(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.05 * rng.normal(size=16)).tolist()) for i in range(600)] + [(1000 + i, centres[3].tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = [(j, (centres[j] / np.linalg.norm(centres[j])).tolist()) for j in (0, 3, 7)] + [(20, [0.0] * 16)]
+    path = str(tmp_path / "index")
+    H.build_buckets(df.where("vec_id < 500"), path, P.with_(nlist=12))
+    H.append_buckets(df.where("vec_id >= 500").withColumnRenamed("embedding", "v"), path)
+    assert sum(c[2] for c in H.stored_centres(spark, path)) == len(rows)
+    for k in (1, 5, 40):
+        best, share = H.certified_topk(spark, path, queries[:3], k, P.with_(nprobe=1))
+        want = {(r.query_id, r.vec_id, r["rank"]) for r in H.exact_topk(df, queries[:3], k).collect()}
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in best.collect()} == want
+        assert share <= 0.5
+    zero, share = H.certified_topk(spark, path, queries[3:], 3, P.with_(nprobe=1))  # all score 0: the smallest ids, and every bucket is read
+    assert [r.vec_id for r in zero.orderBy("rank").collect()] == [0, 1, 2] and share == 1.0
+
+
+def test_search_joins_back_to_text_and_blank_queries_find_nothing(spark):
+    from offerlab.operators.knowledge import KnowledgeIndex, knowledge_of
+
+    chunks = spark.createDataFrame([(1, 0, "a.md", "red apples and pears"), (1, 1, "a.md", "blue whales sing"), (2, 0, None, "red apples and pears"),
+                                    (3, 0, "b.md", ""), (4, 0, "b.md", None), (5, 0, "c.md", "Whales, whales; WHALES!")], "doc_id long, chunk_no int, source string, text string")
+    index = KnowledgeIndex(chunks)
+    queries = spark.createDataFrame([(1, "red apples"), (2, "  "), (3, None), (4, "whales"), (5, "unheardof")], "query_id long, text string")
+    for block in (1, 100):
+        got = {}
+        for r in index.search(queries, 2, block).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.chunk_no, r.text)
+        assert got[1] == {1: (1, 0, "red apples and pears"), 2: (2, 0, "red apples and pears")}  # a tie: the smaller id first
+        assert got[4][1] == (5, 0, "Whales, whales; WHALES!") and set(got) <= {1, 4, 5}
+    known = {r.query_id: r.knowledge for r in knowledge_of(index.search(queries, 2)).collect()}
+    assert known[1] == "1. red apples and pears [a.md]\n2. red apples and pears []"
+    assert KnowledgeIndex(chunks.where("false")).search(queries, 2).count() == 0
+    assert index.search(queries.where("false"), 2).count() == 0
+
+
+def test_chunk_bounds():
+    assert H.chunk_bounds([], 10, 3) == []
+    assert H.chunk_bounds([50], 10, 3) == [0, 1]
+    assert H.chunk_bounds([4, 4, 4, 50, 2, 2], 10, 4) == [0, 2, 1, 3, 2, 4, 4, 6]
