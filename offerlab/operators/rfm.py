@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerlab.config import DEFAULT_PARAMS, SEGMENTS, Params, SegmentThresholds
+from offerlab.session import cut_lineage
 from offerlab.sources.tables import MONEY
 
 RFM_FEATURES = ["recency", "frequency", "monetary", "avg_order_value"]
+#: Most steps of a k-means start.
+KMEANS_STEPS = 30
 
 
 def reference_date(completed: DataFrame) -> Column:
@@ -99,34 +106,80 @@ def segment_mix(segmented: DataFrame, col: str = "user_segment") -> DataFrame:
 # K-means segmentation
 # ---------------------------------------------------------------------------
 
-def kmeans_segments(rfm: DataFrame, params: Params = DEFAULT_PARAMS, restarts: int | None = None):
-    """Standardise, k-means (best of several seeds by training cost),
-    name clusters from their feature means with the ladder, map names back.
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, its squared distance) per start and row; ties go to the smaller number."""
+    d = ((x[None, :, None, :] - centres[:, None, :, :]) ** 2).sum(axis=3)
+    best = d.argmin(axis=2)
+    return best, np.take_along_axis(d, best[:, :, None], 2)[:, :, 0]
+
+
+def kmeans_starts(rows: DataFrame, columns: list[str], key: str, k: int, starts: int, seed: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, costs) of several k-means starts that advance together: (starts, k, columns) and (starts).
+
+    Start r begins with the k rows of least md5(seed|r|key). A step is one
+    pass: each task assigns its rows for all starts and sends starts x k sums,
+    which one aggregate adds up. A centre without rows stays where it is.
+    Ends after ``steps`` steps, or when no centre moves.
+    """
+    x_of = lambda batch: np.column_stack([batch.column(i + 1).to_numpy() for i in range(len(columns))])
+    table = rows.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in columns])
+
+    def first(batches):
+        for batch in batches:
+            keys, x = batch.column(0).to_pylist(), x_of(batch)
+            for r in range(starts):
+                places = [hashlib.md5(f"{seed}|{r}|{i}".encode()).hexdigest() for i in keys]
+                at = sorted(range(len(keys)), key=places.__getitem__)[:k]
+                yield pa.RecordBatch.from_arrays([pa.array([r] * len(at), pa.int32()), pa.array([places[i] for i in at], pa.string()),
+                                                  pa.array([x[i].tolist() for i in at], pa.list_(pa.float64()))], ["start", "place", "x"])
+
+    found = table.mapInArrow(first, "start int, place string, x array<double>")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("place"))).where(F.col("n") <= k).collect()  # starts x k rows
+    if len(found) < starts * k:
+        raise ValueError(f"fewer than {k} complete rows")
+    centres = np.array([r["x"] for r in sorted(found, key=lambda r: (r["start"], r["n"]))]).reshape(starts, k, len(columns))
+    for step in range(steps + 1):
+        def sums(batches, centres=centres):
+            total, count, cost = np.zeros(centres.shape), np.zeros(centres.shape[:2]), np.zeros(starts)
+            for batch in batches:
+                x = x_of(batch)
+                best, d = _nearest(x, centres)
+                for r in range(starts):
+                    np.add.at(total[r], best[r], x)
+                    count[r] += np.bincount(best[r], minlength=k)
+                cost += d.sum(axis=1)
+            flat = np.concatenate([total.ravel(), count.ravel(), cost])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "value"])
+
+        added = table.mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow().sort_by("at").column("value").to_numpy()
+        total, rest = added[:centres.size].reshape(centres.shape), added[centres.size:]
+        count, cost = rest[:starts * k].reshape(starts, k), rest[starts * k:]
+        new = np.where(count[:, :, None] > 0, total / np.maximum(count, 1)[:, :, None], centres)
+        if step == steps or (new == centres).all():
+            return centres, cost
+        centres = new
+    return centres, cost
+
+
+def kmeans_segments(rfm: DataFrame, params: Params = DEFAULT_PARAMS, restarts: int | None = None, steps: int = KMEANS_STEPS):
+    """Standardise, k-means (of several starts the one of least cost,
+    to six decimals), name clusters from their feature means with the ladder,
+    map names back.
 
     Rows with a NULL feature cannot be clustered (the source would fail);
     they are kept with cluster NULL and segment from the per-row ladder.
-    Returns (segmented DataFrame, info dict with costs and dropped count).
+    Returns (segmented DataFrame, info dict with costs and centres).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    z = standardize(rfm)
+    z = cut_lineage(standardize(rfm))
     zcols = [f"{c}_z" for c in RFM_FEATURES]
     incomplete = F.expr(" OR ".join(f"{c} IS NULL" for c in zcols))
     complete = z.where(~incomplete)
-    complete_vectors = VectorAssembler(inputCols=zcols, outputCol="features").transform
-    vec = complete_vectors(complete).persist()
-    n_restarts = params.kmeans_restarts if restarts is None else restarts
-    best, best_cost, costs = None, None, []
-    for i in range(max(1, n_restarts)):
-        model = KMeans(k=params.n_clusters, seed=params.kmeans_seed + i, featuresCol="features",
-                       predictionCol="cluster").fit(vec)
-        cost = model.summary.trainingCost
-        costs.append(cost)
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    clustered = best.transform(complete_vectors(complete)).drop("features")
-    vec.unpersist()
+    starts = max(1, params.kmeans_restarts if restarts is None else restarts)
+    centres, costs = kmeans_starts(complete, zcols, "customer_unique_id", params.n_clusters, starts, params.kmeans_seed, steps)
+    best = int(np.argmin(np.round(costs, 6)))
+    far = F.array(*[sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(zcols[1:], centre[1:])),
+                        (F.col(zcols[0]) - F.lit(float(centre[0]))) * (F.col(zcols[0]) - F.lit(float(centre[0])))) for centre in centres[best]])
+    clustered = complete.withColumn("_far", far).withColumn("cluster", F.array_position("_far", F.array_min("_far")).cast("int") - 1).drop("_far")
     # Cluster means (k rows), B7: name each cluster from its means.
     means = clustered.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in RFM_FEATURES])
     names = means.select(
@@ -141,4 +194,4 @@ def kmeans_segments(rfm: DataFrame, params: Params = DEFAULT_PARAMS, restarts: i
         segment_ladder(F.col("recency"), F.col("frequency"), F.col("monetary"), params.thresholds))
     result = out.unionByName(dropped).withColumn("cluster", F.col("cluster").cast("int")) \
         .withColumnRenamed("cluster_segment", "user_segment").drop(*zcols)
-    return result, {"costs": costs, "best_cost": best_cost}
+    return result, {"costs": costs.tolist(), "best_cost": float(costs[best]), "centres": centres[best]}
