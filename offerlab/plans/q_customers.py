@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from offerlab.config import CATEGORY_LABELS
 from offerlab.operators import preferences as P
 from offerlab.operators import recommend as R
 from offerlab.operators import rfm as B
 from offerlab.plans.catalog import present, query
 from offerlab.plans.oracle import with_ctes
-from offerlab.sources.tables import load_tables, read_table
+from offerlab.sources.tables import CUSTOMERS_CSV, ITEMS_CSV, MONEY, ORDERS_CSV, PRODUCTS_CSV, TRANSLATION_CSV, load_csv_tables, load_tables, read_table
 
 
 def _ts(c):
@@ -25,11 +26,14 @@ def profile_table(spark, sf_dir):
 
 
 # A4-A6 ----------------------------------------------------------------------
-@query("order_totals", with_ctes(["completed_c"], f"""
+ORDER_TOTALS_SQL = with_ctes(["completed_c"], f"""
 SELECT order_id, customer_unique_id, {_ts('ts').replace(' AS ts', ' AS order_purchase_timestamp')},
        round(order_total, 6) AS order_total, round(freight_total, 6) AS freight_total,
        item_count::DOUBLE AS item_count
-FROM completed_c"""))
+FROM completed_c""")
+
+
+@query("order_totals", ORDER_TOTALS_SQL)
 def q_order_totals(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     # item_count is NULL for orders without items: emitted as DOUBLE so
@@ -39,6 +43,37 @@ def q_order_totals(spark, sf_dir):
                                       F.col("item_count").cast("double").alias("item_count")))
 
 
+# The same totals from CSV files of the original layout ------------------------
+def write_csv_tables(spark, sf_dir, path):
+    """The driver's tables as CSV files of the original layout (folders of part files)."""
+    orders, items, part, customer = (read_table(spark, sf_dir, x) for x in ("orders", "lineitem", "part", "customer"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    none = F.lit(None).cast("string")
+    layout = {
+        "olist_orders_dataset.csv": orders.select(F.col("o_orderkey"), "o_custkey", "o_orderstatus", text(F.col("o_orderdate")), none, none, none, none).toDF(*[f.name for f in ORDERS_CSV]),
+        "olist_order_items_dataset.csv": items.select("l_orderkey", "l_linenumber", "l_partkey", F.lit("s"), none, "l_extendedprice", F.round(
+            F.col("l_extendedprice").cast(MONEY) * F.col("l_tax").cast(MONEY), 2)).toDF(*[f.name for f in ITEMS_CSV]),
+        "olist_customers_dataset.csv": customer.select("c_custkey", F.col("c_custkey").alias("u"), none, none, none).toDF(*[f.name for f in CUSTOMERS_CSV]),
+        "olist_products_dataset.csv": part.select("p_partkey", "p_type", *[none] * 7).toDF(*[f.name for f in PRODUCTS_CSV]),
+        "product_category_name_translation.csv": spark.createDataFrame(sorted(CATEGORY_LABELS.items()), ", ".join(f"{f.name} string" for f in TRANSLATION_CSV)),
+    }
+    for name, df in layout.items():
+        df.write.option("header", True).csv(f"{path}/{name}")
+
+
+@query("order_totals_csv", ORDER_TOTALS_SQL)
+def q_order_totals_csv(spark, sf_dir):
+    import uuid
+
+    from offerlab.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv_tables(spark, sf_dir, path)
+    t = load_csv_tables(spark, path, "F", quarantine=f"{path}/refused")
+    return present(t.completed.select(F.col("order_id").cast("long").alias("order_id"), F.col("customer_unique_id").cast("long").alias("customer_unique_id"),
+                                      "order_purchase_timestamp", "order_total", "freight_total", F.col("item_count").cast("double").alias("item_count")))
+
+
 # B1-B3 ----------------------------------------------------------------------
 @query("rfm", with_ctes(["rfm_c"], f"""
 SELECT customer_unique_id, recency::BIGINT AS recency, frequency::BIGINT AS frequency,

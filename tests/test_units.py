@@ -466,3 +466,53 @@ def test_chunk_bounds():
     assert H.chunk_bounds([], 10, 3) == []
     assert H.chunk_bounds([50], 10, 3) == [0, 1]
     assert H.chunk_bounds([4, 4, 4, 50, 2, 2], 10, 4) == [0, 2, 1, 3, 2, 4, 4, 6]
+
+
+# --- requests against the stored decisions, CSV with a quarantine
+
+def test_requests_join_without_moving_the_log(spark):
+    from offerlab.operators.requests import DecisionTable, report_of, resolve_context
+
+    rounds = spark.createDataFrame([(100 + 7 * i, i % 3) for i in range(40)], "round_id long, action int")
+    table = DecisionTable(rounds, 8)
+    asked = spark.createDataFrame([(i, a) for i, a in enumerate([0, 39, 40, -1, None, 5])], "request_id long, asked long")
+    out = table.select(asked)
+    got = {r.request_id: r.round_idx for r in out.collect()}
+    assert (got[0], got[1], got[5]) == (0, 39, 5) and all(0 <= v < 40 for v in got.values()) and got == {r.request_id: r.round_idx for r in out.collect()}
+    assert {r.request_id: r.round_id for r in out.collect()} == {k: 100 + 7 * v for k, v in got.items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table.select(asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # only the requests move
+    assert [r.round_id for r in table.wrapped(asked.where("request_id in (2, 3)")).orderBy("request_id").collect()] == [100, 100 + 7 * 39]
+    own = [f"{i}.0D x{i}" for i in range(7)]
+    given = [["1"] * 7, ["1"] * 6, ["1"] * 6 + ["a"], ["NaN"] * 7, None, []]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, g array<string>").selectExpr("*", *own)
+    assert [(r.own_context, r.x3) for r in resolve_context(df, "g").orderBy("i").collect()] == [(True, 1.0)] + [(False, 3.0)] * 5
+    report = spark.createDataFrame([(p, float(i)) for i, p in enumerate(POLICY_ORDER)], "policy string, dr double")
+    names = spark.createDataFrame([("RL",), (None,), ("auto",)], "name string")
+    assert {r.name: r.policy for r in report_of(names, report).collect()} == {"RL": "rl_policy", None: "rule_engine", "auto": "contextual_bandit"}
+
+
+def test_csv_bad_rows_go_to_quarantine(spark, tmp_path):
+    from offerlab.sources.tables import load_csv_tables
+
+    def put(name, text):
+        (tmp_path / name).write_bytes(text.replace("\n", "\r\n").encode("utf-8-sig"))
+
+    put("olist_orders_dataset.csv", "order_id,customer_id,order_status,a,b,c,d,e\no1,c1,delivered,2020-01-01 10:00:00,,,,\no2,c1,delivered,not a time,,,,\no3,c2,canceled,2020-01-02 10:00:00,,,,\no4,c2,delivered,2020-01-03 10:00:00,,,,,too,many\n")
+    put("olist_order_items_dataset.csv", 'order_id,order_item_id,product_id,seller_id,limit,price,freight\no1,1,p1,s,,10.50,1.25\no1,2,p2,s,,abc,1\no1,3,"p,3",s,,2,0.5\n')
+    put("olist_customers_dataset.csv", "customer_id,customer_unique_id,zip,city,state\nc1,u1,,,\nc2,u2,,,\n")
+    put("olist_products_dataset.csv", "product_id,product_category_name,a,b,c,d,e,f,g\np1,x,,,,,,,\np2,unknown,,,,,,,\n")
+    put("product_category_name_translation.csv", "product_category_name,product_category_name_english\nx,toys\n")
+    t = load_csv_tables(spark, str(tmp_path), quarantine=str(tmp_path / "bad"))
+    row, = t.completed.collect()
+    assert (row.order_id, row.customer_unique_id, float(row.order_total), float(row.freight_total), row.item_count) == ("o1", "u1", 12.5, 1.75, 2)
+    assert {r.product_id: r.category for r in t.products.collect()} == {"p1": "toys", "p2": None}
+    bad = {(r.table, r.line.split(",")[0], r.file) for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert bad == {("olist_orders_dataset", "o2", "olist_orders_dataset.csv"), ("olist_orders_dataset", "o4", "olist_orders_dataset.csv"),
+                   ("olist_order_items_dataset", "o1", "olist_order_items_dataset.csv")}
+    with pytest.raises(Exception):
+        load_csv_tables(spark, str(tmp_path), strict=True).completed.collect()
