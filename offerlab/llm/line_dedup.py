@@ -27,18 +27,22 @@ not their pairs, and no link is missed. The second round deals the open lines
 and all lines of a key to blocks of about ``BLOCK`` lines; a task compares one
 block of each, verifies on the spot, and only lines with a link leave it.
 
-Defined results: null text has no lines and stays null; repeated rows share
-their id's places, so a repeated row keeps the lines its first copy keeps; a
-null doc_id sorts first; an empty table gives an empty one. Document ids must
-be below 2^42 in size; lines past the 1,048,575th of a document share its
-last place.
+A line's place is one integer, the document's number and the line's. Unique
+ids below 2^42 in size are the numbers; otherwise (null, repeated or larger
+ids, documents of more than 2^20 lines) all distinct rows are numbered in the
+order of (id, hash of the text), and a long document takes several numbers.
+
+Defined results: null text has no lines and stays null; a row that repeats id
+and text keeps the lines its first copy keeps; different texts under one id,
+or under none, are different documents; a null doc_id sorts first; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from offerlab.llm.blocks import bounds, grouped, small_pairs
 from offerlab.llm.common import bounded_ranges, need, shuffle_width, written
@@ -133,7 +137,7 @@ class Lines:
     def places(self, ids: list[int | None]) -> np.ndarray:
         """(document id, line number) of each line as one integer."""
         first = np.array([place(x, 0) for x in ids], dtype=np.int64)
-        return first[self.of] + np.minimum(self.number, (1 << LINE_BITS) - 1)
+        return first[self.of] + self.number
 
     def letter_counts(self) -> np.ndarray:
         """Counts of 16 classes of characters modulo 16, packed into 64 bits per line."""
@@ -432,11 +436,37 @@ def all_lines(batches):
             yield pa.RecordBatch.from_arrays([pa.array(lines.hash.view(np.int64)), pa.array(lines.places(ids[i:j]))], ["line", "place"])
 
 
+def numbered(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(docs with their number __doc, (id, text) of at most 2^20 lines each, (part, __doc, skipped) where rows had to be numbered)."""
+    id_, body = F.col(doc).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit(""))
+    n_lines = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    by_id = docs.select(id_.alias("id"), n_lines.alias("lines")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("lines").alias("lines"))
+    small = F.col("id").isNotNull() & (F.col("id") >= -(1 << 42) + 1) & (F.col("id") < 1 << 42) & (F.col("n") == 1) & (F.col("lines") <= 1 << LINE_BITS)
+    if by_id.where(~small).isEmpty():
+        return docs.withColumn("__doc", id_), docs.select(id_.alias("id"), F.col(text).cast("string").alias("text")), None
+    width = shuffle_width(docs.sparkSession)
+    order = ["has", "id", "h1", "h2"]
+    row = [id_.isNotNull().alias("has"), id_.alias("id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")]
+    keys = docs.select(*row, F.ceil(n_lines / (1 << LINE_BITS)).alias("parts")).distinct()
+    placed = written(keys.repartitionByRange(width, *order).withColumn("at", F.spark_partition_id()), "rows")
+    before = placed.groupBy("at").agg(F.sum("parts").alias("n"))  # a row per partition
+    before = before.select("at", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("parts").over(Window.partitionBy("at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = written(placed.withColumn("inside", inside).join(F.broadcast(before), "at").select(*order, "parts", (F.col("inside") + F.col("before")).alias("__doc")), "numbers")
+    mine = docs.select(F.struct(*docs.columns).alias("__row"), *row[1:])
+    met = mine.join(numbers.drop("has").withColumnRenamed("id", "__id"), ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("__id")))
+    docs = met.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns], "__doc", F.col("parts").alias("__parts"))
+    piece = F.when(F.col("__parts") == 1, F.col(text).cast("string")).otherwise(F.array_join(F.slice(
+        F.split(F.col(text).cast("string"), F.lit("\n"), F.lit(-1)), (F.col("__i") * (1 << LINE_BITS) + 1).cast("int"), F.lit(1 << LINE_BITS)), "\n"))
+    plain = docs.select("__doc", "__parts", F.col(text), F.explode(F.expr("sequence(0L, __parts - 1)")).alias("__i")).select((F.col("__doc") + F.col("__i")).alias("id"), piece.alias("text"))
+    parts = numbers.select("__doc", F.explode(F.expr("sequence(0L, parts - 1)")).alias("i")).select((F.col("__doc") + F.col("i")).alias("part"), "__doc", (F.col("i") * (1 << LINE_BITS)).alias("skipped"))
+    return docs.drop("__parts"), plain, parts
+
+
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, near_chars: int = NEAR_CHARS, salts: int = 16) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; adds n_lines (not blank) and n_dropped."""
     need(docs, doc, text)
-    docs = docs.drop("n_lines", "n_dropped")
-    plain = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    docs, plain, parts = numbered(docs.drop("n_lines", "n_dropped"), doc, text)
     near = near_lines(plain, edits, near_chars).withColumn("near", F.lit(True))
     lines = plain.mapInArrow(all_lines, "line long, place long")
     first = lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -445,12 +475,14 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits:
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     lost = (lines.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(salts)).cast("int")).join(written(marked, "marked"), ["line", "salt"])
             .where(F.col("kept").isNull() | (F.col("place") != F.col("kept"))).select("place").distinct())
-    by_doc = (lost.select(F.shiftright("place", LINE_BITS).alias("__doc"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("number"))
-              .groupBy("__doc").agg(F.collect_list("number").alias("__lost")))
+    lost = lost.select(F.shiftright("place", LINE_BITS).alias("__doc"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("number"))
+    if parts is not None:
+        lost = lost.withColumnRenamed("__doc", "part").join(parts, "part").select("__doc", (F.col("number") + F.col("skipped")).cast("int").alias("number"))
+    by_doc = lost.groupBy("__doc").agg(F.collect_list("number").alias("__lost"))
     lost_lines = F.coalesce("__lost", F.expr("cast(array() as array<int>)"))
     split = F.split(F.col(text), F.lit("\n"), F.lit(-1))
     solid = F.filter(split, lambda x: ~x.rlike(f"\\A[{WHITE}]*\\z"))
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(lost_lines, i)), "\n")
-    return (docs.withColumn("__doc", F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 42)))).join(by_doc, "__doc", "left")
+    return (docs.join(by_doc, "__doc", "left")
             .withColumn("n_lines", F.coalesce(F.size(solid), F.lit(0)).cast("long")).withColumn("n_dropped", F.size(lost_lines).cast("long"))
             .withColumn(text, kept).drop("__doc", "__lost"))

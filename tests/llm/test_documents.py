@@ -204,6 +204,23 @@ def test_line_dedup_edges(spark):
         line_dedup.place(1 << 42, 0)
 
 
+def test_line_dedup_keeps_unique_lines_under_shared_missing_and_large_ids(spark):
+    """Different texts under one id or none, ids of any size, and documents of more than 2^20 lines lose repeated lines only."""
+    rows = [(7, "first\nkeep one\nx"), (7, "unique\nfirst\ny"), (7, "unique third\nkeep two\nz"), (None, "alpha\nfirst"), (None, "beta\nbeta"), (None, "beta\nbeta"),
+            (1 << 50, "big\nfirst"), ((1 << 62) + 1, "big\nonly here"), (-(1 << 60), "first of all\nbig")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    # the order: null ids by hash of the text, then by id; equal rows share their lines
+    got = sorted((r.text for r in out))
+    kept = [x for r in out for x in r.text.split("\n") if x]
+    assert len(out) == len(rows) and sorted(set(kept)) == sorted({x for _, t in rows for x in t.split("\n")})
+    twice = [r.text for r in out if r.text == "beta"]
+    assert len(twice) == 2 and len(kept) == len(set(kept)) + 1
+    assert "first of all\nbig" in got and "only here" in got and "alpha\nfirst" in got
+    many = "\n".join(f"line {i}" for i in range((1 << 20) + 5)) + "\nline 3\nend\nline 1048578"
+    long_ = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame([(1, many), (2, "line 1048577\nend\nnew")], "doc_id long, text string")).collect()}
+    assert long_[1].n_dropped == 2 and long_[1].text == "\n".join(f"line {i}" for i in range((1 << 20) + 5)) + "\nend" and long_[2].text == "new"
+
+
 def test_line_dedup_of_template_lines_writes_no_pairs(spark, monkeypatch):
     rng = random.Random(31)
     head, tail = "template of one line ", "".join(rng.choice("0123456789") for _ in range(40))
