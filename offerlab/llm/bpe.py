@@ -26,19 +26,23 @@ does by default.
 from __future__ import annotations
 
 import codecs
+import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from offerlab.llm.common import need, text_or_empty
+from offerlab.llm.common import bounded_ranges, need, text_or_empty
 from offerlab.llm.vocab import BYTE_OF, Vocab, composed_lower, merge, spaced
 
 #: Words whose ids a worker keeps, in each of two generations.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 60_000
+#: Characters of text that ``transcode`` works on at once.
+STEP = 1_000_000
 
 
 def lookahead(merges: list[tuple[int, int, int]], length: dict[int, int]) -> int:
@@ -130,12 +134,16 @@ class Decoder:
     """Incremental byte-to-text machine over the vocabulary's token bytes."""
 
     def __init__(self, content: str):
-        v = Vocab(content)
-        if v.byte_level_decoder:
-            self.bytes = [bytes(BYTE_OF[c] for c in t) if all(c in BYTE_OF for c in t) else t.encode() for t in v.tokens]
+        j = json.loads(content)  # the tokens only: decoding needs no merges
+        ids = {**j["model"]["vocab"], **{x["content"]: x["id"] for x in j["added_tokens"]}}
+        tokens = [""] * (max(ids.values()) + 1)
+        for t, i in ids.items():
+            tokens[i] = t
+        if j["decoder"]:
+            self.bytes = [bytes(BYTE_OF[c] for c in t) if all(c in BYTE_OF for c in t) else t.encode() for t in tokens]
             self.between = b""
         else:  # no decoder in the file: tokens as they are, with a space between two
-            self.bytes, self.between = [t.encode() for t in v.tokens], b" "
+            self.bytes, self.between = [t.encode() for t in tokens], b" "
 
     def decode(self, ids: bytes, step: int = 4096) -> str:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
@@ -194,3 +202,27 @@ def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
         return pd.Series([decode(x or b"") for x in rows], dtype=object)
 
     return df.withColumn(out, run(F.col(ids)))
+
+
+def transcode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds ``ids`` and ``decoded`` (the text of these ids) in one pass: one Python worker a task, a bounded run of text at a time."""
+    need(df, text)
+    content = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    rows = df.drop(ids, decoded).withColumn("__text", text_or_empty(text))
+    kept = [c for c in rows.columns if c != "__text"]
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__text"], T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+
+    def run(batches):
+        e, decode = encoder(content.value), decoder(content.value).decode
+        try:
+            for batch in batches:
+                column = batch.column(len(kept))
+                for i, j in bounded_ranges([len(x.as_buffer()) for x in column], STEP):
+                    got = [e.encode(x.as_py()) for x in column.slice(i, j - i)]
+                    part = batch.slice(i, j - i)
+                    yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(kept))], pa.array(got, pa.binary()), pa.array([decode(x) for x in got], pa.string())],
+                                                     names=[*kept, ids, decoded])
+        finally:
+            e.forget()  # a worker serves other stages next
+
+    return rows.mapInArrow(run, schema)

@@ -34,8 +34,7 @@ def query(f):
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode_texts(docs, path)
-    out = bpe.decode_ids(ids, path)
+    out = bpe.transcode(docs, path)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

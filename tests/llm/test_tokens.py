@@ -40,6 +40,8 @@ def docs(spark):
 def test_encode_and_decode(docs, path):
     t = library(path)
     rows = bpe.decode_ids(bpe.encode_texts(docs, path), path).collect()
+    both = bpe.transcode(docs, path)
+    assert sorted(map(repr, both.select(*docs.columns, "ids", "decoded").collect())) == sorted(repr(r) for r in bpe.decode_ids(bpe.encode_texts(docs, path), path).select(*docs.columns, "ids", "decoded").collect())
     assert len(rows) == docs.count()
     for r in rows:
         want = t.encode(r.text or "", add_special_tokens=False).ids
