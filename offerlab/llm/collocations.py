@@ -11,7 +11,7 @@ more, so nothing is lost). Tasks count before the shuffle.
 A last pass sends, for fingerprints that turned out frequent, their counts
 with a pointer to an occurrence (hash of the text, place of the word). Within
 a task each occurrence is compared byte by byte with the one pointed to;
-between tasks an independent hash of the phrase's text must agree. A
+between tasks a second, independent hash of the phrase must agree. A
 fingerprint that fails either is counted again by text. Then only frequent
 phrases are read out of the texts, at their pointers.
 
@@ -40,7 +40,7 @@ STEP = 600_000
 #: Fingerprints that a task counts together.
 HELD = 1_000_000
 #: Frequent phrases that a task of the last pass counts together.
-HELD_PHRASES = 50_000
+HELD_POINTS = 800_000
 FILTER_BITS = 25
 ODD = 0xD6E8FEB86659FD93
 # fixed values: what ends a piece and what ends a word
@@ -64,6 +64,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+OTHER_BYTES = mixed(mixed(np.arange(1001, 1257, dtype=np.uint64)))
 
 
 class Powers:
@@ -104,7 +105,7 @@ class Piecewise:
         self.start, self.end = edge[0::2], edge[1::2]
         self.piece = np.cumsum(kind == 2, dtype=np.int64)[self.start]
         self.of = np.searchsorted(self.text_start, self.start, side="right") - 1
-        self.langs, self.base = langs, np.array(base, dtype=np.int64)
+        self.langs, self.base, self._proof = langs, np.array(base, dtype=np.int64), None
         self.counted = np.ones(len(self.start), dtype=bool) if own is None else self.start < own
         prefix = POWERS.prefix(BYTES[self.data])
         self.hashes = mixed((prefix[self.end] - prefix[self.start]) * POWERS.down[self.start] + (self.end - self.start).astype(np.uint64))
@@ -124,6 +125,16 @@ class Piecewise:
             fp &= np.uint64((1 << bits) - 1)
         return fp, self.piece[:count] == self.piece[n - 1:]
 
+    def proofs(self, i: np.ndarray, n: int) -> np.ndarray:
+        """A hash of the n words from each word of i on that shares nothing with the fingerprints: other letters, other order of work."""
+        if self._proof is None:
+            prefix = POWERS.prefix(OTHER_BYTES[self.data])
+            self._proof = mixed((prefix[self.end] - prefix[self.start]) * POWERS.down[self.start] ^ ((self.end - self.start).astype(np.uint64) << np.uint64(40)))
+        out = np.full(len(i), n, dtype=np.uint64)
+        for k in range(n):
+            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + self._proof[i + k])
+        return out
+
     def phrase(self, i: int, n: int) -> bytes:
         return b" ".join([self.data[s:e].tobytes() for s, e in zip(self.start[i:i + n].tolist(), self.end[i:i + n].tolist())])
 
@@ -205,24 +216,45 @@ def count_task(n: int, frequent, bits: int):
     return task
 
 
+#: Columns of the last pass inside a task, all 64-bit.
+POINT = np.dtype([(c, np.int64) for c in ("words", "lang", "fp", "n", "proof", "clash", "text_key", "at")])
+
+
+def combined(points: np.ndarray) -> np.ndarray:
+    """One row per (words, fp): counts added, the first pointer kept, a clash where proofs or languages differ."""
+    points = points[np.lexsort((points["fp"], points["words"]))]
+    new = np.r_[True, (points["fp"][1:] != points["fp"][:-1]) | (points["words"][1:] != points["words"][:-1])]
+    head = np.flatnonzero(new)
+    first = points[head][np.cumsum(new) - 1]
+    out = points[head]
+    out["n"] = np.add.reduceat(points["n"], head)
+    differ = (points["proof"] != first["proof"]) | (points["lang"] != first["lang"])
+    out["clash"] = np.maximum.reduceat(np.maximum(points["clash"], differ), head)
+    return out
+
+
 def pointer_task(frequent, bits: int):
     """Counts with a pointer of the n-grams of frequent fingerprints, and each language's words (words = 0), as rows of POINTED."""
     names = [x.split()[0] for x in POINTED.split(", ")]
 
     def task(batches):
         table = [x.value for x in frequent]
-        known: dict[tuple[int, int], list] = {}  # (fingerprint, length) -> lang, count, proof, clash, key, place
+        langs: dict[str, int] = {}
+        held, total = [], 0
 
-        def packed():
-            rows = [(n, v[0], fp, v[1], v[2], v[3], v[4], v[5]) for (fp, n), v in known.items()]
-            types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-            known.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        def packed(points):
+            by_number = np.array(list(langs), dtype=object)
+            columns = [pa.array(points["words"].astype(np.int32)), pa.array(by_number[points["lang"]], pa.string()), *[pa.array(points[c]) for c in ("fp", "n", "proof")],
+                       pa.array(points["clash"] > 0), *[pa.array(points[c]) for c in ("text_key", "at")]]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for p, keys in runs(batches):
-            for x, c in zip(*np.unique(p.lang[p.counted], return_counts=True)):
-                row = known.setdefault((salt_of(p.lang_names[x], 0) - (1 << 63), 0), [p.lang_names[x], 0, 0, False, 0, 0])
-                row[1] += int(c)
+            number = np.array([langs.setdefault(x, len(langs)) for x in p.lang_names], dtype=np.int64)
+            present, words = np.unique(p.lang[p.counted], return_counts=True)
+            rows = np.zeros(len(present), dtype=POINT)
+            rows["lang"], rows["n"] = number[present], words
+            rows["fp"] = np.array([salt_of(p.lang_names[x], 0) for x in present], dtype=np.uint64).view(np.int64)
+            held.append(rows)
             for n in range(1, LONGEST + 1):
                 at, fp = chosen(p, n, table, bits)
                 hit = in_bitmap(fp, table[n - 1])
@@ -234,19 +266,21 @@ def pointer_task(frequent, bits: int):
                 head = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
                 times = np.diff(np.r_[head, len(fp)])
                 same = np.minimum.reduceat(p.same_words(at, np.repeat(at[head], times), n), head)
-                for i, f, c, ok in zip(at[head].tolist(), fp[head].view(np.int64).tolist(), times.tolist(), same.tolist()):
-                    proof = xxhash.xxh64_intdigest(p.phrase(i, n), seed=11) - (1 << 63)
-                    row = known.get((f, n))
-                    if row is None:
-                        of = int(p.of[i])
-                        known[(f, n)] = [p.langs[of], c, proof, not ok, int(keys[of]), int(p.start[i] - p.text_start[of] + p.base[of])]
-                    else:
-                        row[1] += c
-                        row[3] |= not ok or row[2] != proof or row[0] != p.langs[p.of[i]]
-            if len(known) > HELD_PHRASES:
-                yield packed()
-        if known:
-            yield packed()
+                i = at[head]
+                rows = np.zeros(len(head), dtype=POINT)
+                rows["words"], rows["lang"], rows["fp"], rows["n"], rows["clash"] = n, number[p.lang[i]], fp[head].view(np.int64), times, ~same
+                rows["proof"] = p.proofs(i, n).view(np.int64)
+                rows["text_key"], rows["at"] = keys[p.of[i]], p.start[i] - p.text_start[p.of[i]] + p.base[p.of[i]]
+                held.append(rows)
+                total += len(rows)
+            if total >= HELD_POINTS:
+                points = combined(np.concatenate(held))
+                held, total = [points], len(points)
+                if total > HELD_POINTS // 2:
+                    yield packed(points)
+                    held, total = [], 0
+        if held:
+            yield packed(combined(np.concatenate(held)))
     return task
 
 
@@ -305,7 +339,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     phrases = found.where("words > 0")
     good = phrases.where("not clash")
     pointers = written(good.groupBy("text_key").agg(F.collect_list(F.struct("words", "lang", "fp", "at")).alias("pointers")), "pointers")
-    read = (rows.select("text_key", "bytes").join(pointers, "text_key").select("bytes", "pointers").mapInArrow(read_phrases, "words int, lang string, fp long, phrase string")
+    read = (rows.select("text_key", "bytes").join(pointers, "text_key").dropDuplicates(["text_key"]).select("bytes", "pointers").mapInArrow(read_phrases, "words int, lang string, fp long, phrase string")
             .groupBy("words", "lang", "fp").agg(F.min("phrase").alias("phrase")))
     table = good.select("words", "lang", "fp", "a").join(read, ["words", "lang", "fp"]).select("words", "lang", "phrase", "a")
     bad = phrases.where("clash")
