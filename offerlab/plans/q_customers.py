@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerlab.config import CATEGORY_LABELS
+from offerlab.config import CATEGORY_LABELS, SEGMENTS
 from offerlab.operators import preferences as P
 from offerlab.operators import recommend as R
 from offerlab.operators import rfm as B
@@ -233,3 +233,19 @@ def q_recommendations(spark, sf_dir):
     t, prof = profile_table(spark, sf_dir)
     stats = R.product_stats(t)
     return present(R.recommend(prof, stats))
+
+
+# Five customers of each segment (of all, where a segment has fewer) -----------------
+@query("customer_samples", with_ctes(["seg_c"], f"""
+, wanted AS (SELECT unnest([{", ".join(f"'{s}'" for s in SEGMENTS)}, 'nobody']) AS asked),
+pool AS (SELECT w.asked, s.customer_unique_id, s.user_segment, md5('42|' || s.customer_unique_id) AS h FROM wanted w, seg_c s
+         WHERE s.user_segment = w.asked OR (SELECT count(*) FROM seg_c c WHERE c.user_segment = w.asked) < 5)
+SELECT asked, customer_unique_id, user_segment FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY h, customer_unique_id) AS rk FROM pool) WHERE rk <= 5""", extra=True))
+def q_customer_samples(spark, sf_dir):
+    from functools import reduce
+
+    from offerlab.session import cut_lineage
+
+    seg = cut_lineage(B.rule_segments(B.rfm_features(load_tables(spark, sf_dir).completed)).select("customer_unique_id", "user_segment"))
+    parts = [P.sample_customers(seg, 5, name).select(F.lit(name).alias("asked"), "customer_unique_id", "user_segment") for name in (*SEGMENTS, "nobody")]
+    return present(reduce(lambda a, b: a.unionByName(b), parts))

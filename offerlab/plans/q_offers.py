@@ -206,6 +206,57 @@ SELECT s.customer_unique_id, CASE WHEN c.label IS NULL THEN 'For you: ' || coale
 FROM seg_c s LEFT JOIN recs c ON c.customer_unique_id = s.customer_unique_id AND c.pos = 1 {_STRATEGY}""", extra=True)
 
 
+def _copy_prompt_sql():
+    from offerlab.plans.q_customers import _recommend_sql
+
+    return with_ctes(["seg_c", "prefs_c", "strat_c"], f"""
+, recs AS ({_recommend_sql()}),
+listed AS (SELECT customer_unique_id, string_agg(pos || '. ' || label || ' - $' || {_money('price')}, chr(10) ORDER BY pos) AS listed FROM recs GROUP BY customer_unique_id)
+SELECT s.customer_unique_id, 'Write one short message (70 characters at most, plain text) for a customer of segment ' || s.user_segment
+       || ' (spend $' || {_money('s.monetary')} || ', likes ' || array_to_string(coalesce(p.favorite_categories, []), ', ') || ').' || chr(10)
+       || 'It names the offer "' || coalesce(t.offer, r.offer) || '" and at least one product, in this tone: ' || coalesce(t.tone, r.tone) || '.' || chr(10)
+       || 'Products:' || chr(10) || coalesce(l.listed, '') AS prompt
+FROM seg_c s LEFT JOIN prefs_c p USING (customer_unique_id) LEFT JOIN listed l USING (customer_unique_id) {_STRATEGY}""", extra=True)
+
+
+@query("copy_prompts", _copy_prompt_sql())
+def q_copy_prompts(spark, sf_dir):
+    from offerlab.operators import recommend as R
+    from offerlab.plans.q_customers import profile_table
+
+    t, prof = profile_table(spark, sf_dir)
+    recs = R.recommend(prof, R.product_stats(t))
+    listed = recs.groupBy("customer_unique_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label", "price"))).alias("products"))  # n_recommend items
+    st = G.with_default_strategy(prof, G.default_strategies(spark)).join(listed, "customer_unique_id", "left")
+    return st.select("customer_unique_id", G.copy_prompt(st).alias("prompt"))
+
+
+# What a model sent back, or the fallback. The log's event types stand for model outputs.
+_OUTPUTS = {"click": '{"offer": "20% off", "tone": "warm"}', "error": "{broken", "purchase": "  ", "signup": "{}", "view": '```json {"offer": "x"}```'}
+
+
+@query("parsed_strategies", with_ctes(["offreq_c", "strat_c"], """
+SELECT e.event_id AS round_id, (CASE WHEN e.event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS parsed,
+       CASE WHEN e.event_type = 'click' THEN '20% off' ELSE coalesce(t.offer, r.offer) END AS offer,
+       CASE WHEN e.event_type = 'click' THEN 'warm' ELSE coalesce(t.tone, r.tone) END AS tone,
+       CASE WHEN e.event_type = 'click' THEN NULL ELSE coalesce(t.goal, r.goal) END AS goal,
+       CASE WHEN e.event_type IN ('purchase') THEN 'For you: ' || coalesce(t.offer, r.offer)
+            WHEN e.event_type = 'click' THEN '{"offer": "20% off", "tone": "warm"}' WHEN e.event_type = 'error' THEN '{broken'
+            WHEN e.event_type = 'signup' THEN '{}' WHEN e.event_type = 'view' THEN '```json {"offer": "x"}```' ELSE 'For you: ' || coalesce(t.offer, r.offer) END AS copy
+FROM events e JOIN offreq_c q ON q.round_id = e.event_id LEFT JOIN strat_c t ON t.segment = q.user_segment CROSS JOIN (SELECT * FROM strat_c WHERE segment = 'regular') r"""))
+def q_parsed_strategies(spark, sf_dir):
+    kinds = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("round_id"), "event_type")
+    raw = F.lit(None).cast("string")
+    for kind, text in _OUTPUTS.items():
+        raw = F.when(F.col("event_type") == kind, F.lit(text)).otherwise(raw)
+    rows = offer_requests(spark, sf_dir).select("round_id", "user_segment").join(kinds, "round_id").withColumn("raw", raw)
+    st = G.with_default_strategy(rows, G.default_strategies(spark))
+    copy = G.copy_or_fallback(F.col("raw"), F.col("strategy_offer"), F.lit(None).cast("string"), F.lit(None).cast("double"))
+    out = G.with_parsed_strategy(st.withColumn("copy", copy))
+    return present(out.select("round_id", F.col("strategy_parsed").alias("parsed"), F.col("strategy_offer").alias("offer"),
+                              F.col("strategy_tone").alias("tone"), F.col("strategy_goal").alias("goal"), "copy"))
+
+
 @query("copy_fallback", _copy_sql())
 def q_copy_fallback(spark, sf_dir):
     from offerlab.operators import recommend as R

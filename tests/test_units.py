@@ -516,3 +516,12 @@ def test_csv_bad_rows_go_to_quarantine(spark, tmp_path):
                    ("olist_order_items_dataset", "o1", "olist_order_items_dataset.csv")}
     with pytest.raises(Exception):
         load_csv_tables(spark, str(tmp_path), strict=True).completed.collect()
+
+
+def test_template_channels_come_before_the_offers(spark):
+    """A template that names channels uses them, and their costs; others use the offer's."""
+    catalog = [(0, "x", ["a", "b"], {"a": 1.0, "b": 2.0, "c": 4.0}, [], (7, 1, 1), 5.0, [("A", "A", "t", 3.0, ["c"])]),
+               (1, "y", ["a", "b"], {"a": 1.0, "b": 2.0}, [], (7, 1, 1), 5.0, [("A", "A", "t", 3.0)]), (2, "z", ["a"], {"a": 1.0}, [], (7, 1, 1), 5.0, [("A", "A", "t", 3.0, [])])]
+    asked = spark.createDataFrame([(i, i, "c", "t", "s") for i in range(3)], "action_id int, round_id long, customer_unique_id string, routed_tool string, user_segment string")
+    got = {r.action_id: (r.channels, r.channel_cost, r.total_cost) for r in G.resolve_offers(asked, G.catalog_df(spark, catalog)).collect()}
+    assert got == {0: (["c"], 4.0, 7.0), 1: (["a", "b"], 3.0, 6.0), 2: ([], 0.0, 3.0)}
