@@ -59,7 +59,7 @@ CATEGORY_LABELS = {
     "STANDARD": "standard",
 }
 
-# Chunking separators, tried in this order; the first one present wins.
+# Chunking separators, tried in this order; the first one present wins.
 CHUNK_SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ".", " "]
 
 
