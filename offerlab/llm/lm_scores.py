@@ -21,8 +21,8 @@ numbered words are exploded once per document, dealt by a hash of the pair to
 buckets, and travel as packed arrays; a bucket builds the count table of its
 pairs, joins it to its entries and sums per document before the last shuffle.
 (4) Entries with any other word travel as rows of both hashes: Spark sums them
-by pair and joins the one word count that each still needs from the count
-table. Such a word holds less than one part in ``NUMBERED`` of all words.
+by pair and joins the one word count that a row may still need from the count
+table; a numbered word has its count from the start. Such a word holds less than one part in ``NUMBERED`` of all words.
 
 Defined results: null and empty texts have no words, score 0 and a null mean;
 rows with a null id are one document; an empty table gives an empty one.
@@ -188,9 +188,9 @@ def _once(doc: np.ndarray, key: np.ndarray, keys: int) -> tuple[np.ndarray, np.n
 
 
 def rare_entries(docs: DataFrame, shared) -> DataFrame:
-    """(id, v, w, times, v_count, w_count): pairs with a word that has no number, once per document; v is null for a first word.
+    """(id, v, w, times, n): pairs with a word that has no number, once per document; v is null for a first word.
 
-    The counts are those of numbered words, null for others.
+    Words are given by number where they have one, else by hash. At most one of a pair has one: n is its count, negative for w.
     """
     def explode(batches):
         words, m = Words(), shared.value
@@ -204,18 +204,19 @@ def rare_entries(docs: DataFrame, shared) -> DataFrame:
                 at = np.flatnonzero((ids == 0) | (~first & (ids[before] == 0)))
                 if not len(at):
                     continue
-                d, w, lead = of[at], h[at], first[at]
-                v = np.where(lead, np.uint64(0), h[before[at]])
+                named = np.where(ids > 0, ids, h.view(np.int64))
+                d, w, lead = of[at], named[at], first[at]
+                v = np.where(lead, 0, named[before[at]])
                 order = np.lexsort((w, v, lead, d))
                 d, v, w, lead, at = d[order], v[order], w[order], lead[order], at[order]
                 new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (lead[1:] != lead[:-1])])
                 times, at, lead = np.diff(np.r_[new, len(d)]), at[new], lead[new]
-                a, b = ids[before[at]], ids[at]
+                a, b = np.where(lead, 0, ids[before[at]]), ids[at]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids_of[d[new]]), pa.array(v[new].view(np.int64), mask=lead), pa.array(w[new].view(np.int64)), pa.array(times.astype(np.int64)),
-                    pa.array(m.count[a], mask=lead | (a == 0)), pa.array(m.count[b], mask=b == 0)], ["id", "v", "w", "times", "v_count", "w_count"])
+                    pa.array(ids_of[d[new]]), pa.array(v[new], mask=lead), pa.array(w[new]), pa.array(times.astype(np.int64)),
+                    pa.array(np.where(a > 0, m.count[a], -m.count[b]), mask=(a == 0) & (b == 0))], ["id", "v", "w", "times", "n"])
 
-    return docs.mapInArrow(explode, "id long, v long, w long, times long, v_count long, w_count long")
+    return docs.mapInArrow(explode, "id long, v long, w long, times long, n long")
 
 
 def rare_scores(entries: DataFrame, counts: DataFrame, total: int, backoff: float) -> DataFrame:
@@ -226,11 +227,13 @@ def rare_scores(entries: DataFrame, counts: DataFrame, total: int, backoff: floa
     known = F.when(seen, F.log("others")).when(F.col("v").isNull(), F.lit(-np.log(total))).otherwise(F.lit(np.log(backoff / total)))
     rows = entries.withColumn("others", others).select(
         "id", F.when(seen, -F.col("times")).otherwise(F.col("times")).alias("sign"), (F.col("times") * known).alias("s"),
-        F.when(seen, F.col("v_count")).otherwise(F.col("w_count")).alias("count"), F.when(seen, F.col("v")).otherwise(F.col("w")).alias("word"))
-    rows = written(rows.select("id", F.when(F.col("count").isNull(), F.col("word")).alias("key"), F.when(F.col("count").isNull(), F.col("sign")).alias("sign"),
-                               (F.col("s") + F.coalesce(F.col("sign") * F.log("count"), F.lit(0.0))).alias("s")), "rare-pairs")
-    open_rows = rows.where("key is not null").join(counts, "key").select("id", (F.col("s") + F.col("sign") * F.log("n")).alias("s"))
-    return rows.where("key is null").select("id", "s").unionByName(open_rows).groupBy("id").agg(F.sum("s").alias("logprob"))
+        F.when(seen, F.when(F.col("n") > 0, F.col("n"))).otherwise(F.when(F.col("n") < 0, -F.col("n"))).alias("count"),
+        F.when(seen, F.col("v")).otherwise(F.col("w")).alias("word"), F.xxhash64("v", "w").alias("pair"))
+    # rows that know their count go along, spread by their pair, so that the rows are moved once and never written
+    rows = rows.select("id", F.col("count").isNull().alias("open"), F.when(F.col("count").isNull(), F.col("word")).otherwise(F.col("pair")).alias("at"),
+                       "sign", (F.col("s") + F.coalesce(F.col("sign") * F.log("count"), F.lit(0.0))).alias("s"))
+    joined = rows.join(counts, F.col("open") & (F.col("at") == F.col("key")), "left")
+    return joined.groupBy("id").agg(F.sum(F.when(F.col("open"), F.col("s") + F.col("sign") * F.log("n")).otherwise(F.col("s"))).alias("logprob"))
 
 
 ENTRY = "bucket int, docs binary, entries binary, keys binary, times binary, scored binary, words binary, sums binary"
