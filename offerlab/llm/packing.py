@@ -125,7 +125,10 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int =
 
 def pack(table: DataFrame, key: list[str], length: str = "length", capacity: int = CAPACITY,
          shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to each row of ``table``; ``key`` are the columns whose hash deals out the rows."""
+    """Adds sequence_id and offset to each row of a written ``table``; ``key`` and the row's place in it deal out the rows.
+
+    The place takes part because one key, or one whole row, may come up any number of times.
+    """
     need(table, *key, length)
     table = table.drop("sequence_id", "offset")
     shards = max(1, -(-table.count() // shard_pieces))
@@ -136,7 +139,7 @@ def pack(table: DataFrame, key: list[str], length: str = "length", capacity: int
         in_bin, at = best_two_fit(rows[length].fillna(0).to_numpy(), capacity)
         return rows.assign(sequence_id=(int(shard[0]) << 32) + in_bin, offset=at)
 
-    return (table.withColumn("__shard", F.pmod(F.xxhash64(*key), F.lit(shards)))
+    return (table.withColumn("__shard", F.pmod(F.xxhash64(*key, F.monotonically_increasing_id()), F.lit(shards)))
             .groupBy("__shard").applyInPandas(run, out))
 
 
