@@ -1,7 +1,7 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosines, one representative per group.
 
-Equal vectors meet first, so blocks hold distinct vectors with their number
-of copies. Centroids come from a bounded sample (``sample_rows`` vectors, the
+Equal vectors of a label meet first, so blocks hold distinct vectors with
+their number of copies; each has a number of its own, so an id may repeat. Centroids come from a bounded sample (``sample_rows`` vectors, the
 smallest hashes of their ids; at most ``max_cells`` centroids), cells hold
 every vector: each has its home in the cell of its nearest centroid and
 visits every cell that could be home to a vector within the angle of the
@@ -99,15 +99,15 @@ def dedup_embeddings(df: DataFrame, vec: str = "vec_id", embedding: str = "embed
     usable = (F.col("_id").isNotNull() & F.col("_l").isNotNull() & F.col("_v").isNotNull() & (F.size("_v") > 0)
               & finite & F.exists("_v", lambda x: x != 0.0))
     rows = rows.withColumn("_ok", F.coalesce(usable, F.lit(False)))
-    distinct = (rows.where("_ok").groupBy("_l", "_v").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("n"))
-                .select("id", "n", F.concat_ws(":", F.size("_v"), "_l").alias("space"), F.col("_v").alias("v")))
+    distinct = (rows.where("_ok").groupBy("_l", "_v").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
+                .select(F.monotonically_increasing_id().alias("id"), "first", "n", F.concat_ws(":", F.size("_v"), "_l").alias("space"), F.col("_v").alias("v")))
     distinct = written(distinct, "distinct-vectors")
 
     dims = {r["d"]: r["m"] for r in distinct.groupBy("space", F.size("v").alias("d")).count().groupBy("d").agg(F.max("count").alias("m")).collect()}
     centres = {}
     for d, most in dims.items():  # vectors of one table have one size as a rule
         k = min(max_cells, -(-most // cell_rows))
-        sample = distinct.where(F.size("v") == d).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()["v"]
+        sample = distinct.where(F.size("v") == d).orderBy(F.xxhash64("first"), "first", "id").limit(sample_rows).select("v").toPandas()["v"]
         centres[d] = spherical_kmeans(unit_rows(np.array(sample.tolist(), dtype=np.float64)), k)
     shared = spark.sparkContext.broadcast(centres)  # at most max_cells centroids
 
@@ -123,7 +123,7 @@ def dedup_embeddings(df: DataFrame, vec: str = "vec_id", embedding: str = "embed
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
                                                  [*part.schema.names, "home", "cells"])
 
-    placed = written(distinct.mapInArrow(place, "id long, n long, space string, v array<double>, home int, cells array<int>"), "placed")
+    placed = written(distinct.select("id", "n", "space", "v").mapInArrow(place, "id long, n long, space string, v array<double>, home int, cells array<int>"), "placed")
     sizes = placed.select("space", "home", F.explode("cells").alias("cell")).groupBy("space", "cell").agg(
         F.ceil(F.sum((F.col("home") == F.col("cell")).cast("long")) / block).cast("int").alias("home_blocks"),
         F.ceil(F.count(F.lit(1)) / block).cast("int").alias("other_blocks"))
@@ -154,9 +154,11 @@ def dedup_embeddings(df: DataFrame, vec: str = "vec_id", embedding: str = "embed
     found = written(grouped(pairs, "key", compare, "a long, b long, links long", shuffle_width(spark)), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
+    smallest = groups.join(distinct.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("component_id"))
+    groups = groups.join(smallest, "component").select("id", "component_id")
     result = (distinct.join(counts, "id", "left").join(groups, "id", "left")
               .select("space", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                      F.coalesce("component", "id").alias("component_id")))
+                      F.coalesce("component_id", "first").alias("component_id")))
     joined = rows.withColumn("space", F.when(F.col("_ok"), F.concat_ws(":", F.size("_v"), "_l"))).withColumnRenamed("_v", "v").join(
         result, ["space", "v"], "left")
     return joined.select(F.col("_id").alias(vec), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -4,11 +4,13 @@ A pair of documents, one labelled better than the other, is won by the
 better one with probability sigmoid(s(better) - s(worse)), s = w . x. The
 weights minimise the logistic loss over feature differences of sampled pairs
 (Newton steps with a ridge). Documents are then cut at a quantile of the
-score: the share of lesser documents among the labels. The reported score is
-sigmoid(s - cut + logit(threshold)), so it meets the threshold at the cut.
+scores of all labelled documents: the share of lesser ones among them. The
+reported score is sigmoid(s - cut + logit(threshold)), so it meets the
+threshold at the cut.
 
-Training uses at most ``per_class`` labelled documents of each class, those
-with the smallest hash of their id (a bounded sample, the same at every run);
+The fit alone uses at most ``per_class`` labelled documents of each class,
+those with the smallest hash of their id (a bounded sample, the same at every
+run); the quantile is an exact order statistic over every labelled document,
 features and scores cover all documents and whole texts.
 
 Defined results: null text reads as empty; empty texts are scored like any
@@ -27,7 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from offerlab.llm.common import need, text_or_empty
+from offerlab.functions.stats import order_statistics
+from offerlab.llm.common import need, text_or_empty, written
 
 FEATURES = ("symbols", "pipes", "bangs", "capitals", "twins", "repeats", "repeats_in_lines", "variety",
             "word_length", "digits", "marks", "words", "short")
@@ -104,22 +107,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     docs = docs.drop("score", "predicted")
     known = labels.select(F.col(doc).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
-    shares = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = None
-    for y in (0, 1):
-        some = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
-    rows = (with_features(docs.select(F.col(doc).alias("_id"), text).join(F.broadcast(picked), "_id"), text, "_x")
-            .groupBy("_id", "_y").agg(F.min("_x").alias("_x")).select("_id", "_y", "_x").toPandas())
+    # labels whose document is missing go here, before anything is counted or picked
+    taught = written(with_features(docs.select(F.col(doc).alias("_id"), text).join(known, "_id"), text, "_x")
+                     .groupBy("_id", "_y").agg(F.min("_x").alias("_x")), "labelled")
+    lesser = taught.where("_y = 0").count()
+    rows = pd.concat([taught.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class).toPandas() for y in (0, 1)])
     rows = rows.sort_values("_id")  # at most 2 x per_class rows; sorted, so that the fit does not depend on arrival
     x = np.array(rows["_x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES))
     y = rows["_y"].to_numpy()
     score = F.col("__score")
     if (y == 1).any() and (y == 0).any():
         w = fit_pairs(x[y == 1], x[y == 0])
-        s = x @ w
-        weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
-        cut = quantile_cut(s, weight, shares[0] / (shares[0] + shares[1]))
+        cut = quantile_cut(taught.select(sum(F.col("_x")[i] * float(v) for i, v in enumerate(w)).alias("s")), lesser)
         w, shift = w.tolist(), math.log(threshold / (1 - threshold)) - cut
 
         @F.pandas_udf("double")
@@ -133,11 +132,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     return scored.withColumn("score", score).withColumn("predicted", (score >= threshold).cast("int")).drop("__score")
 
 
-def quantile_cut(scores: np.ndarray, weight: np.ndarray, share: float) -> float:
-    """The score below which ``share`` of the weight lies; halfway between the scores on both sides."""
-    order = np.argsort(scores, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    i = int(np.searchsorted(below, share - 1e-9))
-    if i + 1 >= len(scores):
-        return float(scores[order[-1]])
-    return float((scores[order[i]] + scores[order[i + 1]]) / 2)
+def quantile_cut(scores: DataFrame, below: int) -> float:
+    """The score ``s`` that ``below`` rows lie below; halfway between the scores on both sides."""
+    found = order_statistics(scores, {"s": [below - 1, below]})
+    return (found["s", below - 1] + found["s", below]) / 2

@@ -4,15 +4,19 @@ Each text gives counts; a text fails the base rules with fewer than
 ``min_words`` words or with more than ``most_repeats`` of its words inside
 repeated five-word windows. The others become a vector of transformed
 statistics. Per language and source, a minimum-covariance-determinant
-estimate is found by concentration steps from medians and median deviations:
-keep the half (``support``) of the rows nearest by Mahalanobis distance, take
-their mean and covariance, repeat. A row farther than the cutoff is rejected.
+estimate is found by concentration steps: keep the share ``support`` of the
+rows nearest by Mahalanobis distance, take their mean and covariance, repeat.
+The steps run from three starts at once (medians and median deviations; mean
+and covariance; spatial signs about the medians), and the end with the least
+determinant is taken. A row farther than the cutoff is rejected.
 
 All estimates are grouped sums and mergeable quantile sketches over every
 row, so a source that holds a third of the corpus combines before the
-shuffle. Groups with fewer than ``min_rows`` rows use their language's
-estimate, then the corpus'; without any, a row passes. Noise floors keep a
-statistic that hardly varies from rejecting harmless texts.
+shuffle. A group of n rows is pooled with its language's estimate, which
+counts as ``prior_rows`` more rows, and the language's with the corpus'
+likewise; the corpus' covariance is widened by 1 + prior_rows / n. So small
+groups lean on larger ones without a switch. Noise floors keep a statistic
+that hardly varies from rejecting harmless texts.
 
 Defined results: null text has no words and fails; null language or source
 is a group of its own; repeated rows count one by one; an empty table gives
@@ -101,23 +105,46 @@ def _distance() -> F.Column:
     return sum(terms[1:], terms[0])
 
 
+PAIRS = list(combinations_with_replacement(range(DIM), 2))
+ESTIMATE = "level string, start int, mean array<double>, cov array<double>, inverse array<double>, logdet double"
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """Mean and second moments of x by level and start."""
+    return rows.groupBy("level", "start").agg(
+        F.array(*[F.avg(F.col("x")[i]) for i in range(DIM)]).alias("mean"),
+        F.array(*[F.avg(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("second"))
+
+
 def _inverted(moments: DataFrame, factor: float, floors: np.ndarray) -> DataFrame:
-    """Means and inverse covariances from grouped moments, one small row per group."""
+    """Means, covariances, their inverses and determinants from grouped moments, one small row per group and start."""
     def run(batches):
         for m in batches:
-            means, inverses = [], []
+            covs, inverses, dets = [], [], []
             for row in m.to_dict("records"):
                 mean = np.array(row["mean"])
                 second = np.zeros((DIM, DIM))
-                for (i, j), v in zip(combinations_with_replacement(range(DIM), 2), row["second"]):
+                for (i, j), v in zip(PAIRS, row["second"]):
                     second[i, j] = second[j, i] = v
-                cov = second - np.outer(mean, mean)
                 # the noise floor keeps the estimate regular; rounding may leave a tiny negative part
-                means.append(mean.tolist())
-                inverses.append(np.linalg.inv(factor * cov + np.diag(floors ** 2)).ravel().tolist())
-            yield pd.DataFrame({"level": m["level"], "mean": means, "inverse": inverses})
+                cov = factor * (second - np.outer(mean, mean)) + np.diag(floors ** 2)
+                covs.append(cov.ravel().tolist())
+                inverses.append(np.linalg.inv(cov).ravel().tolist())
+                dets.append(float(np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame({"level": m["level"], "start": m["start"], "mean": m["mean"], "cov": covs, "inverse": inverses, "logdet": dets})
+
+    return moments.mapInPandas(run, ESTIMATE)
 
-    return moments.mapInPandas(run, "level string, mean array<double>, inverse array<double>")
+
+def pooled(chain: list[tuple[int, np.ndarray, np.ndarray]], prior_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the last of (rows, mean, covariance), each pooled with the one before it as ``prior_rows`` rows."""
+    n, mean, cov = chain[0]
+    cov = cov * (1 + prior_rows / n)
+    for n, m, c in chain[1:]:
+        a = n / (n + prior_rows)
+        apart = m - mean
+        mean, cov = a * m + (1 - a) * mean, a * c + (1 - a) * cov + a * (1 - a) * np.outer(apart, apart)
+    return mean, cov
 
 
 def salted(table: DataFrame) -> DataFrame:
@@ -126,7 +153,7 @@ def salted(table: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame, support: float, steps: int) -> DataFrame:
-    """(level, mean, inverse) from rows (level, salt, x) by concentration steps; x holds the transformed statistics.
+    """(level, mean, cov) from rows (level, salt, x) by concentration steps; x holds the transformed statistics.
 
     Joins are by (level, salt), so a level with many rows is spread before its sums combine.
     """
@@ -135,24 +162,32 @@ def estimates(rows: DataFrame, support: float, steps: int) -> DataFrame:
     accuracy = 2000
     middle = rows.groupBy("level").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, accuracy) for i in range(DIM)]).alias("mean"))
     middle = written(middle, "medians")
+    away = [F.col("x")[i] - F.col("mean")[i] for i in range(DIM)]
     spread = rows.join(salted(middle), ["level", "salt"]).groupBy("level").agg(F.array(*[
-        F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, accuracy) for i in range(DIM)]).alias("mad"))
-    inverse = F.flatten(F.array(*[F.array(*[
-        1 / (F.pow(1.4826 * F.col("mad")[i], 2) + float(floors[i]) ** 2) if i == j else F.lit(0.0) for j in range(DIM)]) for i in range(DIM)]))
-    now = written(middle.join(spread, "level").select("level", "mean", inverse.alias("inverse")), "estimate")
+        F.percentile_approx(F.abs(d), 0.5, accuracy) for d in away]).alias("mad"))
+    width = lambda i: F.pow(1.4826 * F.col("mad")[i], 2) + float(floors[i]) ** 2
+    centre = written(middle.join(spread, "level").select("level", "mean", F.array(*[width(i) for i in range(DIM)]).alias("width")), "centres")
+    # the starts, as first and second moments that give their means and covariances
+    second = lambda c: F.array(*[c(i, j) + F.col("mean")[i] * F.col("mean")[j] for i, j in PAIRS]).alias("second")
+    from_medians = centre.select("level", F.lit(0).alias("start"), "mean", second(lambda i, j: F.col("width")[i] if i == j else F.lit(0.0)))
+    from_all = _moments(rows.withColumn("start", F.lit(1)))
+    reach = sum(d * d / F.col("width")[i] for i, d in enumerate(away))
+    signs = rows.join(salted(centre), ["level", "salt"]).withColumn("reach", F.when(reach > 0, reach))
+    from_signs = signs.groupBy("level", "mean").agg(F.array(*[
+        F.coalesce(F.avg(DIM * away[i] * away[j] / F.col("reach")), F.lit(0.0)) for i, j in PAIRS]).alias("signs"))
+    at = {p: k for k, p in enumerate(PAIRS)}
+    from_signs = from_signs.select("level", F.lit(2).alias("start"), "mean", second(lambda i, j: F.col("signs")[at[i, j]]))
+    now = written(_inverted(from_medians.unionByName(from_all).unionByName(from_signs), 1.0, floors), "estimate")
     for _ in range(steps):
-        measured = rows.join(salted(now), ["level", "salt"]).select("level", "x", _distance().alias("d2"))
-        limit = written(measured.groupBy("level").agg(F.percentile_approx("d2", support, accuracy).alias("limit")), "limits")
-        near = rows.join(salted(now.join(limit, "level")), ["level", "salt"]).where(_distance() <= F.col("limit"))
-        moments = near.groupBy("level").agg(
-            F.array(*[F.avg(F.col("x")[i]) for i in range(DIM)]).alias("mean"),
-            F.array(*[F.avg(F.col("x")[i] * F.col("x")[j]) for i, j in combinations_with_replacement(range(DIM), 2)]).alias("second"))
-        now = written(_inverted(moments, factor, floors), "estimate")
-    return now
+        measured = rows.join(salted(now), ["level", "salt"]).select("level", "start", _distance().alias("d2"))
+        limit = written(measured.groupBy("level", "start").agg(F.percentile_approx("d2", support, accuracy).alias("limit")), "limits")
+        near = rows.join(salted(now.join(limit, ["level", "start"])), ["level", "salt"]).where(_distance() <= F.col("limit"))
+        now = written(_inverted(_moments(near), factor, floors), "estimate")
+    return now.groupBy("level").agg(F.min_by(F.struct("mean", "cov"), F.struct("logdet", "start")).alias("_e")).select("level", "_e.mean", "_e.cov")
 
 
 def apply_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source"), min_words: int = 10,
-                most_repeats: float = 0.2, support: float = 0.75, confidence: float = 0.99999, steps: int = 5, min_rows: int = 100,
+                most_repeats: float = 0.2, support: float = 0.75, confidence: float = 0.99999, steps: int = 5, prior_rows: int = 100,
                 keep: list[str] | None = None) -> DataFrame:
     """Adds the counts, base_failed and kept; ``keep`` names the columns to carry (all but the text by default)."""
     need(docs, text, *groups)
@@ -170,14 +205,22 @@ def apply_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] = (
     counted = written(counted.withColumn("x", F.when(~F.col("base_failed"), x)).withColumn("_levels", F.array(*levels))
                       .withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).drop("_g0", "_g1"), "counts")
     rows = counted.where("x is not null").select(F.explode("_levels").alias("level"), "salt", "x")
-    enough = written(rows.groupBy("level").count().where(F.col("count") >= min_rows).select("level"), "levels")
-    rows = written(rows.join(salted(enough), ["level", "salt"], "left_semi"), "vectors")
+    rows = written(rows, "vectors")
     final = estimates(rows, support, steps)
     cutoff = chi2_quantile(confidence, DIM)
-    # the estimate of a row: the first of its levels that has one; one small row per (group, language, corpus)
+    # one small row per (group, language, corpus)
+    sized = final.join(rows.groupBy("level").count(), "level").select("level", F.struct("count", "mean", "cov").alias("_e"))
     wanted = counted.where("x is not null").select("_levels").distinct().select("_levels", F.posexplode("_levels").alias("_at", "level"))
-    best = written(wanted.join(final, "level").groupBy("_levels").agg(F.min_by(F.struct("mean", "inverse"), "_at").alias("_e"))
-                   .select("_levels", "_e.mean", "_e.inverse"), "chosen")
+    chains = wanted.join(sized, "level").groupBy("_levels").agg(F.sort_array(F.collect_list(F.struct("_at", "_e")), asc=False).alias("_chain"))
+
+    def choose(batches):
+        for m in batches:
+            ends = [pooled([(r["_e"]["count"], np.array(r["_e"]["mean"]), np.array(r["_e"]["cov"]).reshape(DIM, DIM)) for r in chain], prior_rows)
+                    for chain in m["_chain"]]
+            yield pd.DataFrame({"_levels": m["_levels"], "mean": [e[0].tolist() for e in ends],
+                                "inverse": [np.linalg.inv(e[1]).ravel().tolist() for e in ends]})
+
+    best = written(chains.mapInPandas(choose, "_levels array<string>, mean array<double>, inverse array<double>"), "chosen")
     judged = counted.join(salted(best), ["_levels", "salt"], "left")
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(_distance() <= cutoff, F.lit(True)))
     return judged.select("_row.*", *made[:6], verdict.alias("kept"))

@@ -45,11 +45,11 @@ def test_components(spark):
 
 # --- quality classifier
 
-def test_pairwise_ranking_finds_the_direction():
+def test_pairwise_ranking_finds_the_direction(spark):
     rng = np.random.default_rng(1)
     w = quality.fit_pairs(rng.normal([1, 0], 1, (400, 2)), rng.normal([-1, 0], 1, (400, 2)))
     assert w[0] > 1 and abs(w[1]) < w[0] / 5
-    assert quality.quantile_cut(np.array([0.0, 1, 2, 3]), np.ones(4), 0.25) == 0.5
+    assert quality.quantile_cut(spark.createDataFrame([(x,) for x in (3.0, 0.0, 2.0, 1.0)], "s double"), 1) == 0.5
 
 
 def test_quality_edges(spark):
@@ -67,6 +67,25 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    rng = random.Random(3)
+    text = lambda y: " ".join(rng.choice(["word", "other", "thing", f"n{rng.randrange(50)}"] + ["**|", "!!"] * (1 - y)) + "." * rng.randrange(2) for _ in range(30))
+    known = {i: int(rng.random() < 0.7) for i in range(200)}
+    docs = [(i, text(y), "en") for i, y in known.items()] + [(300 + i, text(i % 2), "en") for i in range(20)]
+    # 400 labels have no document: they neither count nor take a place in the sample
+    labels = spark.createDataFrame([*known.items(), *[(10_000 + i, 0) for i in range(400)]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(frame(spark, docs), labels, per_class=60).collect()}
+    picked = [r.i for y in (0, 1) for r in spark.createDataFrame([(i,) for i, z in known.items() if z == y], "i long").orderBy(rules.F.xxhash64("i"), "i").limit(60).collect()]
+    x = {i: np.array(quality.features(t)) for i, t, _ in docs}
+    w = quality.fit_pairs(*[np.array([x[i] for i in sorted(picked) if known[i] == y]) for y in (1, 0)])
+    s = np.sort([x[i] @ w for i in known])
+    lesser = sum(y == 0 for y in known.values())
+    cut = (s[lesser - 1] + s[lesser]) / 2
+    for i, _, _ in docs:
+        want = 1 / (1 + math.exp(-(x[i] @ w - cut + math.log(0.3 / 0.7))))
+        assert abs(got[i].score - want) < 1e-9 and (abs(want - 0.3) < 1e-9 or got[i].predicted == int(want >= 0.3))
+
+
 def test_quality_held_out(spark):
     from offerlab.llm.queries import QUERIES
 
@@ -92,20 +111,36 @@ def brute_estimate(x, support, steps):
     floors = np.array(list(rules.STATS.values()))
     factor = support / rules.chi2_share(rules.chi2_quantile(support, rules.DIM), rules.DIM + 2)
     at = lambda v, p: np.sort(v)[max(0, math.ceil(p * len(v)) - 1)]
-    mean = np.array([at(c, 0.5) for c in x.T])
-    inverse = np.diag(1 / ((1.4826 * np.array([at(np.abs(c - m), 0.5) for c, m in zip(x.T, mean)])) ** 2 + floors ** 2))
-    for _ in range(steps):
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-        near = x[d <= at(d, support)]
-        mean = near.mean(axis=0)
-        inverse = np.linalg.inv(factor * (near.T @ near / len(near) - np.outer(mean, mean)) + np.diag(floors ** 2))
-    return mean, inverse
+    floor = np.diag(floors ** 2)
+    middle = np.array([at(c, 0.5) for c in x.T])
+    width = (1.4826 * np.array([at(np.abs(c - m), 0.5) for c, m in zip(x.T, middle)])) ** 2 + floors ** 2
+    away = x - middle
+    reach = (away * away / width).sum(axis=1)
+    signs = away[reach > 0] / np.sqrt(reach[reach > 0])[:, None]
+    ends = []
+    for mean, cov in ((middle, np.diag(width)), (x.mean(axis=0), np.cov(x.T, bias=True)), (middle, rules.DIM * signs.T @ signs / len(signs))):
+        cov = cov + floor
+        for _ in range(steps):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[d <= at(d, support)]
+            mean = near.mean(axis=0)
+            cov = factor * (near.T @ near / len(near) - np.outer(mean, mean)) + floor
+        ends.append((np.linalg.det(cov), mean, cov))
+    return min(ends, key=lambda e: e[0])[1:]
+
+
+def brute_pool(n, mean, cov, above, prior):
+    """As if ``prior`` more rows came from the distribution above: mean and covariance of the mixture."""
+    p, q = n / (n + prior), prior / (n + prior)
+    centre = p * mean + q * above[0]
+    second = p * (cov + np.outer(mean, mean)) + q * (above[1] + np.outer(above[0], above[0]))
+    return centre, second - np.outer(centre, centre)
 
 
 def test_rules_against_brute_force(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
-    rows = [(1000 + i, " ".join(word() for _ in range(rng.randrange(12, 90))), "en") for i in range(150)]
+    rows = [(1000 + i, " ".join(word() for _ in range(rng.randrange(12, 90))), "en" if i < 130 else "fr") for i in range(150)]
     rows += [(500 + i, " ".join(word() + "###" * 4 for _ in range(40)), "en") for i in range(12)]
     rows += [(600 + i, " ".join([word()] * 20), "en") for i in range(5)] + EDGE
     got = {(r.doc_id, r.n): r for r in rules.apply_rules(frame(spark, rows)).withColumn("n", rules.F.lit(0)).collect()}
@@ -120,10 +155,17 @@ def test_rules_against_brute_force(spark):
             kept[i] = [math.log(c[1] / c[0]), math.log1p(100 * c[2] / c[1]), math.log1p(100 * c[3] / c[0]), math.log1p(100 * c[4] / c[0]), math.log(c[0])]
         else:
             assert not r.kept
+    lang = {i: g for i, _, g in rows}
     x = np.array(list(kept.values()))
-    mean, inverse = brute_estimate(x, 0.75, 5)
-    d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-    assert [got[(i, 0)].kept for i in kept] == (d <= rules.chi2_quantile(0.99999, rules.DIM)).tolist()
+    mean, cov = brute_estimate(x, 0.75, 5)
+    corpus = mean, cov * (1 + 100 / len(x))
+    for g in ("en", "fr"):
+        ids = [i for i in kept if lang[i] == g]
+        x = np.array([kept[i] for i in ids])
+        own = brute_estimate(x, 0.75, 5)  # language and group have the same rows here
+        mean, cov = brute_pool(len(x), *own, brute_pool(len(x), *own, corpus, 100), 100)
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        assert [got[(i, 0)].kept for i in ids] == (d <= rules.chi2_quantile(0.99999, rules.DIM)).tolist()
     assert not any(got[(500 + i, 0)].kept for i in range(12)) and sum(got[(1000 + i, 0)].kept for i in range(150)) == 150
     assert rules.apply_rules(frame(spark, []), keep=["doc_id"]).count() == 0
 
@@ -330,6 +372,15 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.dedup_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_under_repeated_ids(spark):
+    near = [1.0, 0.02, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, near, 0), (1, [0.0, 1.0, 0.0], 1), (3, [0.0, 1.0, 0.01], 1), (4, [0.0, 1.0, 0.02], 1),
+            (9, [0.0, 0.0, 1.0], 2), (9, [0.0, 0.01, 1.0], 2)]
+    got = embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
 # --- language model
 
 def test_lm_scores_against_sql(spark):
