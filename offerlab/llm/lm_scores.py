@@ -42,6 +42,8 @@ from offerlab.llm.common import bounded_ranges, need, shuffle_width, written
 STEP = 4_000_000
 #: Words with a number of 16 bits; the others go by their hashes.
 NUMBERED = 65_535
+#: Parts over which rows that need no join are spread; small numbers, which pack well.
+SPREAD = 65_536
 NULL_ID = -(1 << 63)
 ODD = 0x9E3779B97F4A7C15
 
@@ -222,18 +224,17 @@ def rare_entries(docs: DataFrame, shared) -> DataFrame:
 def rare_scores(entries: DataFrame, counts: DataFrame, total: int, backoff: float) -> DataFrame:
     """(id, logprob) of ``entries``; ``counts`` has (key, n) of the words without a number."""
     others = F.sum("times").over(Window.partitionBy("v", "w")) - F.col("times")
-    seen = F.col("v").isNotNull() & (F.col("others") > 0)
-    # log of a quotient: what the pair tells now, and one word count that may have to be joined
-    known = F.when(seen, F.log("others")).when(F.col("v").isNull(), F.lit(-np.log(total))).otherwise(F.lit(np.log(backoff / total)))
-    rows = entries.withColumn("others", others).select(
-        "id", F.when(seen, -F.col("times")).otherwise(F.col("times")).alias("sign"), (F.col("times") * known).alias("s"),
-        F.when(seen, F.when(F.col("n") > 0, F.col("n"))).otherwise(F.when(F.col("n") < 0, -F.col("n"))).alias("count"),
-        F.when(seen, F.col("v")).otherwise(F.col("w")).alias("word"), F.xxhash64("v", "w").alias("pair"))
-    # rows that know their count go along, spread by their pair, so that the rows are moved once and never written
-    rows = rows.select("id", F.col("count").isNull().alias("open"), F.when(F.col("count").isNull(), F.col("word")).otherwise(F.col("pair")).alias("at"),
-                       "sign", (F.col("s") + F.coalesce(F.col("sign") * F.log("count"), F.lit(0.0))).alias("s"))
-    joined = rows.join(counts, F.col("open") & (F.col("at") == F.col("key")), "left")
-    return joined.groupBy("id").agg(F.sum(F.when(F.col("open"), F.col("s") + F.col("sign") * F.log("n")).otherwise(F.col("s"))).alias("logprob"))
+    rows = entries.withColumn("others", F.when(F.col("v").isNull(), -1).otherwise(others))  # -1: a first word
+    v_count, seen = F.col("n") > 0, F.col("others") > 0
+    # the one word whose count is still asked for: v where another document has the pair, else w
+    rows = rows.select("id", "times", "others", F.when(seen, F.when(v_count, F.col("n"))).otherwise(F.when(~v_count, -F.col("n"))).alias("known"),
+                       F.when(seen, F.col("v")).otherwise(F.col("w")).alias("word"), F.pmod(F.xxhash64("v", "w"), F.lit(SPREAD)).alias("part"))
+    # rows that know their count go along, spread by their pair, so that rows are moved once and never written; whole numbers pack well
+    rows = rows.select("id", "times", "others", "known", F.when(F.col("known").isNull(), F.col("word")).otherwise(F.col("part")).alias("at"))
+    joined = rows.join(counts, F.col("known").isNull() & (F.col("at") == F.col("key")), "left")
+    count = F.coalesce("known", "n")
+    score = F.when(seen, F.log(F.col("others") / count)).when(F.col("others") < 0, F.log(count / total)).otherwise(F.log(backoff * count / total))
+    return joined.groupBy("id").agg(F.sum(F.col("times") * score).alias("logprob"))
 
 
 ENTRY = "bucket int, docs binary, entries binary, keys binary, times binary, scored binary, words binary, sums binary"
