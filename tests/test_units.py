@@ -476,6 +476,24 @@ def test_chunk_words_are_weighed_without_a_shuffle_of_words(spark):
     assert "MapInArrow" in plan and "Exchange" not in plan
 
 
+def test_negatives_are_drawn_from_the_whole_hot_list(spark):
+    import hashlib
+
+    from offerlab.operators import evaluation as I
+
+    hot = list(range(100, 120))
+    bought = {c: [100 + c % 20, 100 + 7 * c % 20, 5] for c in range(40)} | {99: hot}
+    rows = [(c, p, 1.0, 10.0, 1.0, 2.0, 1) for c, some in bought.items() for p in some]
+    pos = spark.createDataFrame(rows, "customer_unique_id long, product_id long, recency double, order_total double, item_count double, freight_total double, label int")
+    got = {}
+    for r in I.negatives(pos, hot, P).collect():
+        got.setdefault(r.customer_unique_id, set()).add(r.product_id)
+    place = lambda c, p: (hashlib.md5(f"{P.seed}|{c}|{p}".encode()).hexdigest()[:8], p)
+    want = {c: set(sorted(set(hot) - set(some), key=lambda p: place(c, p))[:P.negatives_per_customer]) for c, some in bought.items()}
+    assert got == {c: w for c, w in want.items() if w} and 99 not in got
+    assert I.negatives(pos, [], P).count() == 0
+
+
 def test_chunk_bounds():
     assert H.chunk_bounds([], 10, 3) == []
     assert H.chunk_bounds([50], 10, 3) == [0, 1]
