@@ -494,6 +494,17 @@ def test_negatives_are_drawn_from_the_whole_hot_list(spark):
     assert I.negatives(pos, [], P).count() == 0
 
 
+def test_a_small_split_table_is_trained_on_by_all_cores(spark):
+    from offerlab.operators.splits import exact_split
+
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("label")).coalesce(1)
+    split = exact_split(rows, "label", F.col("k").cast("string"), 0.8)
+    assert split.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1000 / 2
+    assert split.where("split = 'train'").count() == sum(n - -(-n // 5) for n in (334, 333, 333))
+
+
 def test_chunk_bounds():
     assert H.chunk_bounds([], 10, 3) == []
     assert H.chunk_bounds([50], 10, 3) == [0, 1]
