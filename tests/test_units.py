@@ -505,6 +505,20 @@ def test_a_small_split_table_is_trained_on_by_all_cores(spark):
     assert split.where("split = 'train'").count() == sum(n - -(-n // 5) for n in (334, 333, 333))
 
 
+def test_the_fold_computes_its_log_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            read.add(len(rows))
+            yield rows
+
+    schema = "router_key string, event_time timestamp, event_id long, policy string, metric_value double, baseline double"
+    rows = [(f"k{i % 2}", datetime(2024, 1, 1, 0, i % 60), i, "uplift", 0.4, 0.3) for i in range(120)]
+    assert FF.fold_feedback(spark.createDataFrame(rows, schema).mapInPandas(counted, schema)).count() == 120
+    assert read.value == 120
+
+
 def test_chunk_bounds():
     assert H.chunk_bounds([], 10, 3) == []
     assert H.chunk_bounds([50], 10, 3) == [0, 1]
