@@ -505,6 +505,34 @@ def test_a_small_split_table_is_trained_on_by_all_cores(spark):
     assert split.where("split = 'train'").count() == sum(n - -(-n // 5) for n in (334, 333, 333))
 
 
+def test_parts_of_the_replayed_log_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    import os
+
+    from offerlab.plans import catalog, q_offers as Q  # noqa: F401
+    from tests.conftest import SF_MID
+
+    class Stopped(Exception):
+        pass
+
+    def run(self, spark, source, schema, max_files=1):
+        raise Stopped(source, max_files)
+
+    monkeypatch.setattr(Q.DecisionStream, "run", run)
+    rounds, log = Q.requested_rounds(spark, SF_MID)
+    monkeypatch.setattr(Q, "requested_rounds", lambda *_: (rounds.repartition(3), log.repartition(3)))
+    kept = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(kept, "false")  # the table is small
+    try:
+        with pytest.raises(Stopped) as stopped:
+            Q.streamed(spark, SF_MID, str(tmp_path))
+    finally:
+        spark.conf.set(kept, "true")
+    source, max_files = stopped.value.args
+    files = [f for f in os.listdir(source) if f.endswith(".parquet")]
+    assert max_files > 1 and len(files) == Q.STREAM_FILES * max_files
+    assert spark.read.parquet(source).count() == rounds.count()
+
+
 def test_the_fold_computes_its_log_once(spark):
     read = spark.sparkContext.accumulator(0)
 
