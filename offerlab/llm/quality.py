@@ -27,14 +27,16 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from offerlab.functions.stats import order_statistics
-from offerlab.llm.common import need, text_or_empty, written
+from offerlab.llm.common import bitmap_of, in_bitmap, need, text_or_empty, written
 
 FEATURES = ("symbols", "pipes", "bangs", "capitals", "twins", "repeats", "repeats_in_lines", "variety",
             "word_length", "digits", "marks", "words", "short")
 SYMBOLS = "#*$%&<>~^=_{}[]@\\"
+#: Slots of the filter on labelled ids, as a power of two.
+FILTER_BITS = 25
 NOT_WORDS = re.compile(r"[^\w\s]|_")
 
 
@@ -99,6 +101,26 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, ridge: float = 1.0, pairs: int
     return w
 
 
+def labelled_features(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+    """(_id, _y, _x): labels that have a document, with its features; ``docs`` has (_id, text), ``known`` (_id, _y).
+
+    Features are taken where the documents lie, so that a few numbers of each document are shuffled, and no text.
+    A filter of fixed size on the ids spares most documents without a label; the join is exact.
+    """
+    docs = docs.where("_id is not null")
+    kind = docs.schema["_id"].dataType
+    if kind == known.schema["_id"].dataType and isinstance(kind, (T.IntegralType, T.StringType)):  # else equal ids may have different hashes
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(known.select(F.xxhash64("_id").alias("h")), "h", FILTER_BITS))
+
+        @F.pandas_udf("boolean")
+        def may_be_known(hashes: pd.Series) -> pd.Series:
+            return pd.Series(in_bitmap(hashes.to_numpy().view(np.uint64), shared.value))
+
+        docs = docs.where(may_be_known(F.xxhash64("_id")))
+    rows = with_features(docs, text, "_x").select("_id", "_x")
+    return rows.join(known, "_id").groupBy("_id", "_y").agg(F.min("_x").alias("_x"))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality",
                   threshold: float = 0.3, per_class: int = 5_000) -> DataFrame:
     """Adds score (0 to 1) and predicted to ``docs``; ``labels`` (doc, label 0/1) is all that may be learned from."""
@@ -107,9 +129,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     docs = docs.drop("score", "predicted")
     known = labels.select(F.col(doc).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
-    # labels whose document is missing go here, before anything is counted or picked
-    taught = written(with_features(docs.select(F.col(doc).alias("_id"), text).join(known, "_id"), text, "_x")
-                     .groupBy("_id", "_y").agg(F.min("_x").alias("_x")), "labelled")
+    taught = written(labelled_features(docs.select(F.col(doc).alias("_id"), text), known, text), "labelled")
     lesser = taught.where("_y = 0").count()
     rows = pd.concat([taught.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class).toPandas() for y in (0, 1)])
     rows = rows.sort_values("_id")  # at most 2 x per_class rows; sorted, so that the fit does not depend on arrival

@@ -95,6 +95,21 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.95 * len(rows)
 
 
+def test_quality_shuffles_no_text(spark):
+    """Features are taken below the join with the labels, also where the labels are too many to broadcast."""
+    docs = frame(spark, EDGE).select(rules.F.col("doc_id").alias("_id"), "text")
+    known = spark.createDataFrame([(1, 0), (4, 1), (999, 1)], "_id long, _y int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taught = quality.labelled_features(docs, known)
+        plan = taught._jdf.queryExecution().executedPlan().toString()
+        assert {(r._id, r._y) for r in taught.collect()} == {(1, 0), (4, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and plan.rindex("Exchange", 0, plan.index("ArrowEvalPython")) > plan.index("SortMergeJoin")
+
+
 # --- quality rules
 
 def brute_counts(text):
