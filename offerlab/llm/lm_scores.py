@@ -20,9 +20,10 @@ of all words, so no key is hot. (3) All other (pair, document) entries of
 numbered words are exploded once per document, dealt by a hash of the pair to
 buckets, and travel as packed arrays; a bucket builds the count table of its
 pairs, joins it to its entries and sums per document before the last shuffle.
-(4) Entries with any other word travel as rows of both hashes: Spark sums them
-by pair and joins the one word count that a row may still need from the count
-table; a numbered word has its count from the start. Such a word holds less than one part in ``NUMBERED`` of all words.
+(4) Entries with any other word travel once, as rows dealt by that word: its
+entries give its count and the pairs' sums in one place, and a numbered word
+has its count from the start. A pair of two such words goes to both. Such a
+word holds less than one part in ``NUMBERED`` of all words.
 
 Defined results: null and empty texts have no words, score 0 and a null mean;
 rows with a null id are one document; an empty table gives an empty one.
@@ -39,11 +40,9 @@ from offerlab.llm.blocks import grouped
 from offerlab.llm.common import bounded_ranges, need, shuffle_width, written
 
 #: Bytes of text that are worked on at once.
-STEP = 4_000_000
+STEP = 1_000_000
 #: Words with a number of 16 bits; the others go by their hashes.
 NUMBERED = 65_535
-#: Parts over which rows that need no join are spread; small numbers, which pack well.
-SPREAD = 65_536
 NULL_ID = -(1 << 63)
 ODD = 0x9E3779B97F4A7C15
 
@@ -91,11 +90,12 @@ class Words:
 
 def _runs(batch: pa.RecordBatch, words: Words):
     """(ids, number of texts, word hashes, text numbers) for bounded runs of a batch (id, text)."""
-    ids = np.array([NULL_ID if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
-    texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
-    for i, j in bounded_ranges([len(x) for x in texts], STEP):
-        data = np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8)
-        ends = np.cumsum([len(x) for x in texts[i:j]])
+    ids = batch.column(0).fill_null(NULL_ID).to_numpy()
+    texts = batch.column(1).fill_null("").cast(pa.large_binary())  # read where they lie: a batch may be a whole partition
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    every = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    for i, j in bounded_ranges(np.diff(at).tolist(), STEP):
+        data, ends = every[at[i]:at[j]], at[i + 1:j + 1] - at[i]
         h, of = words.of(data, ends) if len(data) else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         yield ids[i:j], h, of
 
@@ -190,9 +190,11 @@ def _once(doc: np.ndarray, key: np.ndarray, keys: int) -> tuple[np.ndarray, np.n
 
 
 def rare_entries(docs: DataFrame, shared) -> DataFrame:
-    """(id, v, w, times, n): pairs with a word that has no number, once per document; v is null for a first word.
+    """(id, word, other, times, n): pairs with a word that has no number, once per document, under that word.
 
-    Words are given by number where they have one, else by hash. At most one of a pair has one: n is its count, negative for w.
+    ``times`` is negative where ``word`` is the pair's first word. ``other``, the pair's other word, is given by
+    number where it has one, else by hash; it is null where ``word`` begins the document. ``n`` is the count of a
+    numbered ``other``, else 0. A pair of two words without a number comes under either.
     """
     def explode(batches):
         words, m = Words(), shared.value
@@ -212,29 +214,32 @@ def rare_entries(docs: DataFrame, shared) -> DataFrame:
                 order = np.lexsort((w, v, lead, d))
                 d, v, w, lead, at = d[order], v[order], w[order], lead[order], at[order]
                 new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (lead[1:] != lead[:-1])])
-                times, at, lead = np.diff(np.r_[new, len(d)]), at[new], lead[new]
-                a, b = np.where(lead, 0, ids[before[at]]), ids[at]
+                times, at, lead, d, v, w = np.diff(np.r_[new, len(d)]), at[new], lead[new], ids_of[d[new]], v[new], w[new]
+                a, b = np.where(lead, -1, ids[before[at]]), ids[at]
+                under_w, under_v = np.flatnonzero(b == 0), np.flatnonzero(a == 0)
+                either = [np.r_[x[under_w], y[under_v]] for x, y in ((w, v), (v, w), (m.count[np.maximum(a, 0)] * (a > 0), m.count[b] * (b > 0)), (times, -times))]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids_of[d[new]]), pa.array(v[new], mask=lead), pa.array(w[new]), pa.array(times.astype(np.int64)),
-                    pa.array(np.where(a > 0, m.count[a], -m.count[b]), mask=(a == 0) & (b == 0))], ["id", "v", "w", "times", "n"])
+                    pa.array(np.r_[d[under_w], d[under_v]]), pa.array(either[0]), pa.array(either[1], mask=np.r_[lead[under_w], np.zeros(len(under_v), dtype=bool)]),
+                    pa.array(either[3].astype(np.int64)), pa.array(either[2].astype(np.int64))], ["id", "word", "other", "times", "n"])
 
-    return docs.mapInArrow(explode, "id long, v long, w long, times long, n long")
+    return docs.mapInArrow(explode, "id long, word long, other long, times long, n long")
 
 
-def rare_scores(entries: DataFrame, counts: DataFrame, total: int, backoff: float) -> DataFrame:
-    """(id, logprob) of ``entries``; ``counts`` has (key, n) of the words without a number."""
-    others = F.sum("times").over(Window.partitionBy("v", "w")) - F.col("times")
-    rows = entries.withColumn("others", F.when(F.col("v").isNull(), -1).otherwise(others))  # -1: a first word
-    v_count, seen = F.col("n") > 0, F.col("others") > 0
-    # the one word whose count is still asked for: v where another document has the pair, else w
-    rows = rows.select("id", "times", "others", F.when(seen, F.when(v_count, F.col("n"))).otherwise(F.when(~v_count, -F.col("n"))).alias("known"),
-                       F.when(seen, F.col("v")).otherwise(F.col("w")).alias("word"), F.pmod(F.xxhash64("v", "w"), F.lit(SPREAD)).alias("part"))
-    # rows that know their count go along, spread by their pair, so that rows are moved once and never written; whole numbers pack well
-    rows = rows.select("id", "times", "others", "known", F.when(F.col("known").isNull(), F.col("word")).otherwise(F.col("part")).alias("at"))
-    joined = rows.join(counts, F.col("known").isNull() & (F.col("at") == F.col("key")), "left")
-    count = F.coalesce("known", "n")
-    score = F.when(seen, F.log(F.col("others") / count)).when(F.col("others") < 0, F.log(count / total)).otherwise(F.log(backoff * count / total))
-    return joined.groupBy("id").agg(F.sum(F.col("times") * score).alias("logprob"))
+def rare_scores(entries: DataFrame, total: int, backoff: float, width: int) -> DataFrame:
+    """(id, logprob) of ``entries``, which are dealt by word once: a word's count is that of its entries as a pair's second or a document's first word."""
+    after = F.col("times") > 0  # ``word`` comes second, or begins the document
+    pair = Window.partitionBy("word", "other", after)
+    rows = entries.repartition(width, "word").sortWithinPartitions("word", "other", after)  # one order for both windows
+    rows = (rows.withColumn("others", F.sum("times").over(pair) - F.col("times"))
+            .withColumn("c", F.sum(F.when(after, F.col("times")).otherwise(0)).over(Window.partitionBy("word"))))
+    seen = F.abs("others") > 0
+    # seen: log(others / count of the first word), else by the count of the second; of two words without a number either gives its part
+    score = (F.when(F.col("other").isNull(), F.log(F.col("c") / total))
+             .when(after & seen, F.when(F.col("n") > 0, F.log(F.col("others") / F.col("n"))).otherwise(0.0))
+             .when(after, F.log(backoff * F.col("c") / total))
+             .when(seen, F.log(-F.col("others") / F.col("c")))
+             .when(F.col("n") > 0, F.log(backoff * F.col("n") / total)).otherwise(0.0))
+    return rows.groupBy("id").agg(F.sum(F.abs("times") * score).alias("logprob"))
 
 
 ENTRY = "bucket int, docs binary, entries binary, keys binary, times binary, scored binary, words binary, sums binary"
@@ -341,7 +346,7 @@ def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
     sums = grouped(docs.mapInArrow(explode, ENTRY), "bucket", join, "part int, ids binary, n binary, s binary", partitions)
     scores = grouped(sums, "part", total_up, "id long, n_words long, logprob double", partitions)
     if not pooled and unnumbered is not None:
-        rare = rare_scores(rare_entries(docs, shared), unnumbered, total, backoff).select("id", F.lit(0).cast("long").alias("n_words"), "logprob")
+        rare = rare_scores(rare_entries(docs, shared), total, backoff, partitions).select("id", F.lit(0).cast("long").alias("n_words"), "logprob")
         scores = scores.unionByName(rare).groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("logprob").alias("logprob"))
     return scores.select(
         F.when(F.col("id") != F.lit(NULL_ID), F.col("id")).alias(doc), "n_words", "logprob")

@@ -433,6 +433,34 @@ def test_lm_scores_of_every_word(spark):
     assert len(got) == len(docs)
 
 
+def test_lm_scores_hold_little_of_a_batch():
+    """A task works on a batch in steps, which bound its memory; an empty or missing text has no words."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", *["One two  three\nfour " * 5_000] * 200, "tail"]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(202)]), pa.array(texts)], ["id", "text"]).slice(1)
+    tracemalloc.start()
+    words, rows = lm_scores.Words(), []
+    for ids, h, of in lm_scores._runs(batch, words):
+        rows += [(i, len(set(h[of == k].tolist())), (of == k).sum()) for k, i in enumerate(ids.tolist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [(0, 0, 0), *[(i, 4, 20_000) for i in range(1, 201)], (201, 1, 1)] and peak < 80e6
+
+
+def test_lm_scores_shuffle_rare_pairs_once(spark):
+    """Rows of pairs are dealt by a word that has no number once, which serves the pairs' sums and the words' counts."""
+    entries = spark.createDataFrame([(1, 900, 5, 2, 7), (2, 900, 5, 1, 7), (1, 900, None, 1, 0), (2, 900, 6, -1, 9)], "id long, word long, other long, times long, n long")
+    rows = lm_scores.rare_scores(entries, 50, 0.4, 4)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString() + rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(word") == 1 and plan.count("Exchange") == 2 and plan.count(" Sort [") == 2  # logical and physical
+    c = 2 + 1 + 1
+    want = {1: 2 * math.log(1 / 7) + math.log(c / 50), 2: math.log(2 / 7) + math.log(0.4 * 9 / 50)}
+    assert {r.id: round(r.logprob, 9) for r in rows.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf_small):
