@@ -36,11 +36,13 @@ from offerlab.llm.common import bitmap_of, in_bitmap, need, text_or_empty, writt
 
 LONGEST = 5
 #: Bytes of text that are worked on at once.
-STEP = 600_000
+STEP = 300_000
 #: Fingerprints that a task counts together.
 HELD = 1_000_000
 #: Frequent phrases that a task of the last pass counts together.
-HELD_POINTS = 800_000
+HELD_POINTS = 300_000
+#: Rows of a batch that a task of the last pass gives out.
+BATCH = 50_000
 FILTER_BITS = 25
 ODD = 0xD6E8FEB86659FD93
 # fixed values: what ends a piece and what ends a word
@@ -165,7 +167,7 @@ def runs(batches):
 
     for batch in batches:
         held, total = [], 0
-        for key, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for key, lang, text in zip(*((x.as_py() for x in batch.column(i)) for i in range(3))):  # a row at a time: a batch may be a whole partition
             if len(text) <= STEP:
                 if held and total + len(text) > STEP:
                     yield made(held)
@@ -222,14 +224,18 @@ POINT = np.dtype([(c, np.int64) for c in ("words", "lang", "fp", "n", "proof", "
 
 def combined(points: np.ndarray) -> np.ndarray:
     """One row per (words, fp): counts added, the first pointer kept, a clash where proofs or languages differ."""
-    points = points[np.lexsort((points["fp"], points["words"]))]
-    new = np.r_[True, (points["fp"][1:] != points["fp"][:-1]) | (points["words"][1:] != points["words"][:-1])]
+    order = np.lexsort((points["fp"], points["words"]))  # columns are sorted one at a time: whole rows would be held several times
+    fp, words = points["fp"][order], points["words"][order]
+    new = np.r_[True, (fp[1:] != fp[:-1]) | (words[1:] != words[:-1])]
+    del fp, words
     head = np.flatnonzero(new)
-    first = points[head][np.cumsum(new) - 1]
-    out = points[head]
-    out["n"] = np.add.reduceat(points["n"], head)
-    differ = (points["proof"] != first["proof"]) | (points["lang"] != first["lang"])
-    out["clash"] = np.maximum.reduceat(np.maximum(points["clash"], differ), head)
+    lead = order[head][np.cumsum(new) - 1]
+    clash = points["clash"][order] > 0
+    for c in ("proof", "lang"):
+        clash |= points[c][order] != points[c][lead]
+    out = points[order[head]]
+    out["n"] = np.add.reduceat(points["n"][order], head)
+    out["clash"] = np.logical_or.reduceat(clash, head)
     return out
 
 
@@ -242,11 +248,19 @@ def pointer_task(frequent, bits: int):
         langs: dict[str, int] = {}
         held, total = [], 0
 
-        def packed(points):
+        def packed(all_points):
             by_number = np.array(list(langs), dtype=object)
-            columns = [pa.array(points["words"].astype(np.int32)), pa.array(by_number[points["lang"]], pa.string()), *[pa.array(points[c]) for c in ("fp", "n", "proof")],
-                       pa.array(points["clash"] > 0), *[pa.array(points[c]) for c in ("text_key", "at")]]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            for i in range(0, len(all_points), BATCH):
+                points = all_points[i:i + BATCH]
+                columns = [pa.array(points["words"].astype(np.int32)), pa.array(by_number[points["lang"]], pa.string()), *[pa.array(points[c]) for c in ("fp", "n", "proof")],
+                           pa.array(points["clash"] > 0), *[pa.array(points[c]) for c in ("text_key", "at")]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        def taken():
+            """What is held, as one table, which is then the only one."""
+            points = np.concatenate(held)
+            held.clear()
+            return combined(points)
 
         for p, keys in runs(batches):
             number = np.array([langs.setdefault(x, len(langs)) for x in p.lang_names], dtype=np.int64)
@@ -274,13 +288,15 @@ def pointer_task(frequent, bits: int):
                 held.append(rows)
                 total += len(rows)
             if total >= HELD_POINTS:
-                points = combined(np.concatenate(held))
-                held, total = [points], len(points)
+                points = taken()
+                total = len(points)
                 if total > HELD_POINTS // 2:
-                    yield packed(points)
-                    held, total = [], 0
+                    yield from packed(points)
+                    total = 0
+                else:
+                    held.append(points)
         if held:
-            yield packed(combined(np.concatenate(held)))
+            yield from packed(taken())
     return task
 
 

@@ -93,6 +93,26 @@ def test_long_texts_come_in_pieces(monkeypatch):
         assert Counter(np.concatenate(pieces).tolist()) == Counter(fp[one].tolist())
 
 
+def test_last_pass_holds_little_at_once():
+    """A task's frequent phrases are combined and given out in parts, so that its memory stays far below a worker's share."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 5_000)).encode() for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["en"] * 60), pa.array(texts)], ["text_key", "lang", "bytes"])
+    every = SimpleNamespace(value=np.full(1, ~np.uint64(0)))
+    tracemalloc.start()
+    rows, n, largest = 0, 0, 0
+    for out in collocations.pointer_task([every] * 5, 64)([batch, batch]):
+        rows, n, largest = rows + out.num_rows, n + sum(out.column(3).to_pylist()), max(largest, out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 * 60 * (5_000 + 5_000 + 4_999 + 4_998 + 4_997 + 4_996) and largest <= 50_000 and peak < 120e6
+
+
 def test_empty_table(spark):
     assert collocations.collocations(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
