@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerlab.session import ensure_checkpoint_dir
@@ -78,3 +79,17 @@ def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """Which unsigned 64-bit hashes have their slot set."""
     slot = hashes & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
+def in_filter(hashes: DataFrame, bits: int):
+    """A condition on a column of 64-bit hashes that holds for all of ``hashes`` (one long column) and for few others.
+
+    Its size is fixed; beyond that it merely lets more pass.
+    """
+    shared = hashes.sparkSession.sparkContext.broadcast(bitmap_of(hashes, hashes.columns[0], bits))
+
+    @F.pandas_udf("boolean")
+    def run(some: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(some.to_numpy().view(np.uint64), shared.value))
+
+    return run

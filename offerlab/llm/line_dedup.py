@@ -22,7 +22,7 @@ of fixed size finds.
 A small group gives all its candidates. A crowded one gives each line's
 ``PARTNERS`` earliest candidates and tells whether there are more; only lines
 all of whose candidates fail the verification, and that have more, are
-compared to all others in a second round. So groups of near copies cost their lines,
+compared to all others in a second round, which reads the texts once more and sends only rows of those lines' keys. So groups of near copies cost their lines,
 not their pairs, and no link is missed. The second round deals the open lines
 and all lines of a key to blocks of about ``BLOCK`` lines; a task compares one
 block of each, verifies on the spot, and only lines with a link leave it.
@@ -40,19 +40,22 @@ table gives an empty one.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from offerlab.llm.blocks import bounds, grouped, small_pairs
-from offerlab.llm.common import bounded_ranges, need, shuffle_width, written
+from offerlab.llm.common import bitmap_of, bounded_ranges, in_bitmap, in_filter, need, shuffle_width, written
 
 EDITS = 2
 NEAR_CHARS = 20
-#: Characters that are worked on at once.
-STEP = 1_000_000
+#: Bytes of text that are worked on at once.
+STEP = 250_000
 LINE_BITS = 20
-FILTER_SLOTS = 1 << 20
+FILTER_BITS = 25
 SMALL_GROUP = 64
 #: Candidates per line and key that a crowded key gives in the first round.
 PARTNERS = 8
@@ -71,6 +74,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Values of the characters below 2^16.
+LETTERS = _mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x1234567))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of an odd base and of its inverse, modulo 2^64."""
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, dtype=np.uint64)]) for x in (ODD, pow(ODD, -1, 1 << 64)))
+    return up, down
+
+
+@lru_cache(maxsize=1)
+def kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(2 * STEP)
+
+
 def place(doc_id: int | None, line: int) -> int:
     """(document id, line number) as one integer that sorts like the pair; a null id sorts first."""
     if doc_id is None:
@@ -124,10 +142,13 @@ class Lines:
             self.start = self.end = np.zeros(0, dtype=np.int64)
         self.of, self.number = of[some], number[some]
         self.length = self.end - self.start
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, ODD, dtype=np.uint64)])
-        self.back = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(ODD, -1, 1 << 64), dtype=np.uint64)])
-        letters = _mixed(self.data.astype(np.uint64) + np.uint64(0x1234567))
-        self.total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letters * power[:n], dtype=np.uint64)])
+        up, self.back = kept_powers() if n <= 2 * STEP else powers(n)
+        letters = LETTERS[np.minimum(self.data, len(LETTERS) - 1)]
+        rest = np.flatnonzero(self.data >= len(LETTERS))
+        letters[rest] = _mixed(self.data[rest].astype(np.uint64) + np.uint64(0x1234567))
+        letters *= up[:n]
+        self.total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(letters, out=self.total[1:])
         self.hash = self.hash_of(self.start, self.length)
 
     def hash_of(self, start: np.ndarray, size: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
@@ -139,12 +160,12 @@ class Lines:
         first = np.array([place(x, 0) for x in ids], dtype=np.int64)
         return first[self.of] + self.number
 
-    def letter_counts(self) -> np.ndarray:
-        """Counts of 16 classes of characters modulo 16, packed into 64 bits per line."""
-        line = np.repeat(np.arange(len(self.start)), self.length)
-        at = np.arange(len(line)) - np.repeat(np.cumsum(self.length) - self.length, self.length) + np.repeat(self.start, self.length)
+    def letter_counts(self, pick: np.ndarray) -> np.ndarray:
+        """Counts of 16 classes of characters modulo 16, packed into 64 bits, of each of the lines ``pick``."""
+        length = self.length[pick]
+        at = np.arange(length.sum()) + np.repeat(self.start[pick] - np.cumsum(length) + length, length)
         kind = (self.data[at] * np.uint32(2654435761)) >> np.uint32(28)
-        counts = np.bincount(line * 16 + kind, minlength=16 * len(self.start)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
+        counts = np.bincount(np.repeat(np.arange(len(pick)) * 16, length) + kind, minlength=16 * len(pick)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
         return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
 
 
@@ -199,43 +220,54 @@ def within_edits(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.nd
     return result & ok
 
 
-def keyed_lines(batches, edits: int, near_chars: int):
-    """Index and probe rows of a task's lines: (key, line, place, letters, is_index)."""
-    seen: dict[int, int] = {}
+def runs(batches):
+    """(Lines, places) of bounded runs of rows (id, text); texts become Python's a run at a time, as a batch may be a whole partition."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in bounded_ranges([len(x or "") for x in texts], STEP):
-            lines = Lines(texts[i:j])
-            places = lines.places(ids[i:j])
-            order = np.lexsort((places, lines.hash))
-            first = order[np.r_[True, lines.hash[order[1:]] != lines.hash[order[:-1]]]] if len(order) else order  # least place in this run
-            if len(seen) > 300_000:
-                seen.clear()
-            pick = []
-            for k, h, at in zip(first.tolist(), lines.hash[first].tolist(), places[first].tolist()):
-                if at < seen.get(h, at + 1):
-                    seen[h] = at
-                    pick.append(k)
-            pick = np.array(pick, dtype=np.int64)
-            pick = pick[lines.length[pick] >= near_chars]
-            if not len(pick):
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        for i, j in bounded_ranges([x or 0 for x in pc.binary_length(texts).to_pylist()], STEP):
+            lines = Lines(texts.slice(i, j - i).to_pylist())
+            yield lines, lines.places(ids[i:j])
+
+
+def keyed_lines(batches, edits: int, near_chars: int, wanted: np.ndarray | None = None):
+    """Index and probe rows of a task's lines: (key, line, place, letters, is_index); only those of keys in the bitmap ``wanted``, if given."""
+    seen: dict[int, int] = {}
+    names = ["key", "line", "place", "letters", "is_index"]
+    for lines, places in runs(batches):
+        order = np.lexsort((places, lines.hash))
+        first = order[np.r_[True, lines.hash[order[1:]] != lines.hash[order[:-1]]]] if len(order) else order  # least place in this run
+        if len(seen) > 300_000:
+            seen.clear()
+        pick = []
+        for k, h, at in zip(first.tolist(), lines.hash[first].tolist(), places[first].tolist()):
+            if at < seen.get(h, at + 1):
+                seen[h] = at
+                pick.append(k)
+        pick = np.array(pick, dtype=np.int64)
+        pick = pick[lines.length[pick] >= near_chars]
+        if not len(pick):
+            continue
+        start, length = lines.start[pick], lines.length[pick]
+        keys, index = [], []
+        for shorter in range(edits + 1):
+            other = length - shorter
+            for s, (begin, size) in enumerate(segment_cuts(other, edits)):
+                for shift in probe_shifts(edits, shorter, s):
+                    keys.append(lines.hash_of(begin + shift + start, size, other * 64 + s))
+                    index.append(shorter == 0 and shift == 0)
+        key, is_index = np.concatenate(keys), np.repeat(np.array(index), len(pick))
+        of = np.tile(np.arange(len(pick)), len(keys))
+        if wanted is not None:
+            hit = np.flatnonzero(in_bitmap(key, wanted))
+            if not len(hit):
                 continue
-            start, length, at = lines.start[pick], lines.length[pick], places[pick]
-            letters = lines.letter_counts()[pick].view(np.int64)
-            line = lines.hash[pick].view(np.int64)
-            keys, index = [], []
-            for shorter in range(edits + 1):
-                other = length - shorter
-                for s, (begin, size) in enumerate(segment_cuts(other, edits)):
-                    for shift in probe_shifts(edits, shorter, s):
-                        keys.append(lines.hash_of(begin + shift + start, size, other * 64 + s))
-                        index.append(shorter == 0 and shift == 0)
-            m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(line, m)), pa.array(np.tile(at, m)),
-                                              pa.array(np.tile(letters, m)), pa.array(np.repeat(np.array(index), len(pick)))],
-                                             ["key", "line", "place", "letters", "is_index"])
+            some, of = np.unique(of[hit], return_inverse=True)
+            key, is_index, pick = key[hit], is_index[hit], pick[some]
+        columns = [lines.hash[pick].view(np.int64), places[pick], lines.letter_counts(pick).view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), *[c[of] for c in columns], is_index)], names)
 
 
+KEYED = "key long, line long, place long, letters long, is_index boolean"
 PAIR = "a long, a_place long, b long, b_place long, more boolean"
 
 
@@ -298,24 +330,17 @@ def candidates(table: pa.Table, edits: int):
                 yield out(a, later[b], found[b] > PARTNERS)
 
 
+def docs_among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` (doc, text) that ``wanted`` (doc) holds, and few others."""
+    return docs.where(in_filter(wanted.select(F.xxhash64("doc").alias("h")), FILTER_BITS)(F.xxhash64("doc")))
+
+
 def line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(place, line_text) of all ``places``; texts are read from documents that hold one."""
-    spark = docs.sparkSession
     wanted = places.select(F.shiftright("place", LINE_BITS).alias("doc"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line"))
     wanted = written(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
-    # a filter of fixed size on the ids keeps most texts out of the shuffle; beyond its size it merely passes more
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_SLOTS))
-    slots = wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)
-    mask = np.zeros(FILTER_SLOTS, dtype=bool)
-    mask[slots] = True
-    shared = spark.sparkContext.broadcast(mask)
-
-    def marked(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value[batch.column(2).to_numpy()]))
-
-    base = docs.select(F.coalesce("id", F.lit(-(1 << 42))).alias("doc"), "text").withColumn("slot", slot)
-    some = base.mapInArrow(marked, "doc long, text string, slot long").drop("slot")
+    # a filter of fixed size on the ids keeps most texts out of the shuffle
+    some = docs_among(docs.select(F.coalesce("id", F.lit(-(1 << 42))).alias("doc"), "text"), wanted)
 
     def cut(batches):
         for batch in batches:
@@ -392,9 +417,15 @@ def linked_in_cells(table: pa.Table, edits: int):
                 yield pa.RecordBatch.from_arrays([pa.array(line[later[hit]])], ["line"])
 
 
-def open_linked(docs: DataFrame, keyed: DataFrame, open_lines: DataFrame, edits: int, width: int) -> DataFrame:
-    """(line): the open lines that are within ``edits`` edits of any earlier line of one of their keys."""
-    keys = written(keyed.join(open_lines, "line", "left_semi").select("key").distinct(), "open-keys")
+def open_linked(docs: DataFrame, opened: DataFrame, edits: int, near_chars: int, width: int) -> DataFrame:
+    """(line): the open lines that are within ``edits`` edits of any earlier line of one of their keys; ``opened`` has (line, place)."""
+    open_lines = opened.select("line")
+    # a line's keys are the same wherever it lies, so one document that holds it gives them all
+    base = docs.select(F.coalesce("id", F.lit(-(1 << 42))).alias("doc"), "text")
+    own = docs_among(base, opened.select(F.shiftright("place", LINE_BITS).alias("doc"))).mapInArrow(lambda b: keyed_lines(b, edits, near_chars), KEYED)
+    keys = written(own.join(open_lines, "line", "left_semi").select("key").distinct(), "open-keys")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys, "key", FILTER_BITS))
+    keyed = docs.mapInArrow(lambda b: keyed_lines(b, edits, near_chars, shared.value), KEYED)
     members = (keyed.join(keys, "key", "left_semi").groupBy("key", "line")
                .agg(F.min("place").alias("place"), F.min("letters").alias("letters"), F.max("is_index").alias("is_index"))
                .join(open_lines.withColumn("open", F.lit(True)), "line", "left").withColumn("open", F.coalesce("open", F.lit(False))))
@@ -414,26 +445,24 @@ def open_linked(docs: DataFrame, keyed: DataFrame, open_lines: DataFrame, edits:
 def near_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(line): hashes of the lines that are within ``edits`` edits of an earlier, different line; ``docs`` has (id, text)."""
     width = shuffle_width(docs.sparkSession)
-    keyed = docs.mapInArrow(lambda b: keyed_lines(b, edits, near_chars), "key long, line long, place long, letters long, is_index boolean")
+    keyed = docs.mapInArrow(lambda b: keyed_lines(b, edits, near_chars), KEYED)
 
     found = grouped(keyed, "key", lambda t: candidates(t, edits), PAIR, width)
     first = written(found.groupBy("a", "b").agg(F.min("a_place").alias("a_place"), F.min("b_place").alias("b_place"), F.max("more").alias("more"))
                     .select("a", "a_place", "b", "b_place", "more"), "candidates")
     near = verified(docs, first, edits)
     dropped = near.select(F.col("b").alias("line")).distinct()
-    open_lines = written(first.where("more").select(F.col("b").alias("line")).distinct().join(dropped, "line", "left_anti"), "open")
-    if not open_lines.isEmpty():
-        dropped = dropped.unionByName(open_linked(docs, keyed, open_lines, edits, width)).distinct()
+    opened = first.where("more").groupBy(F.col("b").alias("line")).agg(F.min("b_place").alias("place"))
+    opened = written(opened.join(dropped, "line", "left_anti"), "open")
+    if not opened.isEmpty():
+        dropped = dropped.unionByName(open_linked(docs, opened, edits, near_chars, width)).distinct()
     return dropped
 
 
 def all_lines(batches):
     """(line, place) of every line that is not blank."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in bounded_ranges([len(x or "") for x in texts], STEP):
-            lines = Lines(texts[i:j])
-            yield pa.RecordBatch.from_arrays([pa.array(lines.hash.view(np.int64)), pa.array(lines.places(ids[i:j]))], ["line", "place"])
+    for lines, places in runs(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(lines.hash.view(np.int64)), pa.array(places)], ["line", "place"])
 
 
 def numbered(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from offerlab.functions.stats import order_statistics
-from offerlab.llm.common import bitmap_of, in_bitmap, need, text_or_empty, written
+from offerlab.llm.common import in_filter, need, text_or_empty, written
 
 FEATURES = ("symbols", "pipes", "bangs", "capitals", "twins", "repeats", "repeats_in_lines", "variety",
             "word_length", "digits", "marks", "words", "short")
@@ -110,12 +110,7 @@ def labelled_features(docs: DataFrame, known: DataFrame, text: str = "text") ->
     docs = docs.where("_id is not null")
     kind = docs.schema["_id"].dataType
     if kind == known.schema["_id"].dataType and isinstance(kind, (T.IntegralType, T.StringType)):  # else equal ids may have different hashes
-        shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(known.select(F.xxhash64("_id").alias("h")), "h", FILTER_BITS))
-
-        @F.pandas_udf("boolean")
-        def may_be_known(hashes: pd.Series) -> pd.Series:
-            return pd.Series(in_bitmap(hashes.to_numpy().view(np.uint64), shared.value))
-
+        may_be_known = in_filter(known.select(F.xxhash64("_id").alias("h")), FILTER_BITS)
         docs = docs.where(may_be_known(F.xxhash64("_id")))
     rows = with_features(docs, text, "_x").select("_id", "_x")
     return rows.join(known, "_id").groupBy("_id", "_y").agg(F.min("_x").alias("_x"))

@@ -433,6 +433,31 @@ def test_lm_scores_of_every_word(spark):
     assert len(got) == len(docs)
 
 
+def test_keyed_lines_hold_little_and_send_wanted_keys_only():
+    """A task works on a batch in steps, which bound its memory; the second round's pass gives rows of the keys asked for."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [None, "", *["\n".join("".join(rng.choices("abcdefgh é😀", k=90)) for _ in range(40)) for _ in range(2_000)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_002)), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    n = sum(out.num_rows for out in line_dedup.keyed_lines([batch], 2, 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 12 * 79_000 and peak < 60e6
+    small = [batch.slice(0, 30)]
+    every = [r for out in line_dedup.keyed_lines(small, 2, 20) for r in zip(*(out.column(i).to_pylist() for i in range(5)))]
+    bitmap = np.zeros(1 << 19, dtype=np.uint64)
+    keys = {r[0] for r in every[::100]}
+    for k in keys:
+        slot = k & ((1 << 25) - 1)
+        bitmap[slot >> 6] |= np.uint64(1 << (slot & 63))
+    some = [r for out in line_dedup.keyed_lines(small, 2, 20, bitmap) for r in zip(*(out.column(i).to_pylist() for i in range(5)))]
+    assert set(some) <= set(every) and {r for r in every if r[0] in keys} <= set(some) and len(some) < len(every) / 10
+
+
 def test_lm_scores_hold_little_of_a_batch():
     """A task works on a batch in steps, which bound its memory; an empty or missing text has no words."""
     import tracemalloc
