@@ -20,12 +20,14 @@ that are read again only from documents that hold a candidate, which a filter
 of fixed size finds.
 
 A small group gives all its candidates. A crowded one gives each line's
-``PARTNERS`` earliest candidates and tells whether there are more; only lines
-all of whose candidates fail the verification, and that have more, are
-compared to all others in a second round, which reads the texts once more and sends only rows of those lines' keys. So groups of near copies cost their lines,
-not their pairs, and no link is missed. The second round deals the open lines
-and all lines of a key to blocks of about ``BLOCK`` lines; a task compares one
-block of each, verifies on the spot, and only lines with a link leave it.
+``PARTNERS`` earliest candidates and tells whether there are more; where a line
+has more, the key's lines are written too, once each. Only lines all of whose
+candidates fail the verification, and that have more, are compared to all
+others of such a key in a second round, from what was written. So groups of
+near copies cost their lines, not their pairs, and no link is missed. The
+second round deals the open lines and all lines of a key to blocks of about
+``BLOCK`` lines; a task compares one block of each, verifies on the spot, and
+only lines with a link leave it.
 
 A line's place is one integer, the document's number and the line's. Unique
 ids below 2^42 in size are the numbers; otherwise (null, repeated or larger
@@ -59,6 +61,8 @@ FILTER_BITS = 25
 SMALL_GROUP = 64
 #: Candidates per line and key that a crowded key gives in the first round.
 PARTNERS = 8
+#: Rows of a batch in which a crowded key gives its lines.
+BATCH = 50_000
 #: Lines of a key, on either side, that are compared in one cell of the second round.
 BLOCK = 4096
 ODD = 0xD6E8FEB86659FD93
@@ -269,12 +273,14 @@ def keyed_lines(batches, edits: int, near_chars: int, wanted: np.ndarray | None
 
 KEYED = "key long, line long, place long, letters long, is_index boolean"
 PAIR = "a long, a_place long, b long, b_place long, more boolean"
+#: Pairs (no key), and the lines b of the keys in which a line has more candidates (no a).
+FOUND = f"{PAIR}, key long, letters long, is_index boolean"
 
 
 def candidates(table: pa.Table, edits: int):
     """Pairs of different lines of a key, one of them indexed, that pass the bound on letter counts; a comes first.
 
-    Crowded keys give each line's earliest partners and whether it has more.
+    Crowded keys give each line's earliest partners and whether it has more, and all their lines if one has. Rows of FOUND.
     """
     key, line, at, letters = (table.column(i).to_numpy() for i in range(4))
     index = table.column(4).to_numpy(zero_copy_only=False)
@@ -295,8 +301,15 @@ def candidates(table: pa.Table, edits: int):
     starts, sizes = bounds(key)
     most = 2 * edits
 
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
     def out(i, j, more):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (line[i], at[i], line[j], at[j], more)], ["a", "a_place", "b", "b_place", "more"])
+        none = [pa.nulls(len(j), t) for t in (pa.int64(), pa.int64(), pa.bool_())]
+        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in (line[i], at[i], line[j], at[j], more)], *none], names)
+
+    def members(rows, more):
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *[pa.array(x) for x in (line[rows], at[rows], more, key[rows], letters[rows].view(np.int64), index[rows])]], names)
 
     small = (sizes > 1) & (sizes <= SMALL_GROUP)
     i, j = small_pairs(starts[small], sizes[small])
@@ -306,6 +319,7 @@ def candidates(table: pa.Table, edits: int):
     if near.any():
         yield out(i[near], j[near], np.zeros(near.sum(), dtype=bool))
     for s, n in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
+        more = np.zeros(n, dtype=bool)
         for k in range(s, s + n, 256):
             later = np.arange(k, min(k + 256, s + n))
             found = np.zeros(len(later), dtype=np.int64)
@@ -328,6 +342,11 @@ def candidates(table: pa.Table, edits: int):
                 found += np.bincount(live[x], minlength=len(later))
             for a, b in rows:
                 yield out(a, later[b], found[b] > PARTNERS)
+            more[k - s:k - s + len(later)] = found > PARTNERS
+        if more.any():
+            for k in range(0, n, BATCH):
+                rows = np.arange(s + k, s + min(k + BATCH, n))
+                yield members(rows, more[k:k + BATCH])
 
 
 def docs_among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -417,18 +436,15 @@ def linked_in_cells(table: pa.Table, edits: int):
                 yield pa.RecordBatch.from_arrays([pa.array(line[later[hit]])], ["line"])
 
 
-def open_linked(docs: DataFrame, opened: DataFrame, edits: int, near_chars: int, width: int) -> DataFrame:
-    """(line): the open lines that are within ``edits`` edits of any earlier line of one of their keys; ``opened`` has (line, place)."""
-    open_lines = opened.select("line")
-    # a line's keys are the same wherever it lies, so one document that holds it gives them all
-    base = docs.select(F.coalesce("id", F.lit(-(1 << 42))).alias("doc"), "text")
-    own = docs_among(base, opened.select(F.shiftright("place", LINE_BITS).alias("doc"))).mapInArrow(lambda b: keyed_lines(b, edits, near_chars), KEYED)
-    keys = written(own.join(open_lines, "line", "left_semi").select("key").distinct(), "open-keys")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys, "key", FILTER_BITS))
-    keyed = docs.mapInArrow(lambda b: keyed_lines(b, edits, near_chars, shared.value), KEYED)
-    members = (keyed.join(keys, "key", "left_semi").groupBy("key", "line")
-               .agg(F.min("place").alias("place"), F.min("letters").alias("letters"), F.max("is_index").alias("is_index"))
-               .join(open_lines.withColumn("open", F.lit(True)), "line", "left").withColumn("open", F.coalesce("open", F.lit(False))))
+def open_linked(docs: DataFrame, crowded: DataFrame, opened: DataFrame, edits: int, width: int) -> DataFrame:
+    """(line): the open lines that are within ``edits`` edits of any earlier line of a key in which they have more candidates.
+
+    ``crowded`` has the lines of such keys, ``opened`` (line).
+    """
+    # a line's other keys gave all its candidates in the first round
+    own = crowded.where("more").join(opened.select("line"), "line", "left_semi").select("key", "line", F.lit(True).alias("open"))
+    members = (crowded.join(own.select("key").distinct(), "key", "left_semi").join(own, ["key", "line"], "left")
+               .select("key", "line", "place", "letters", "is_index", F.coalesce("open", F.lit(False)).alias("open")))
     members = written(members, "open-members")
     texts = line_texts(docs, members.select("place").distinct())
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_all"), F.ceil(F.count_if("open") / BLOCK).alias("n_open"))
@@ -447,15 +463,16 @@ def near_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS
     width = shuffle_width(docs.sparkSession)
     keyed = docs.mapInArrow(lambda b: keyed_lines(b, edits, near_chars), KEYED)
 
-    found = grouped(keyed, "key", lambda t: candidates(t, edits), PAIR, width)
-    first = written(found.groupBy("a", "b").agg(F.min("a_place").alias("a_place"), F.min("b_place").alias("b_place"), F.max("more").alias("more"))
+    found = written(grouped(keyed, "key", lambda t: candidates(t, edits), FOUND, width), "found")
+    first = written(found.where("key is null").groupBy("a", "b").agg(F.min("a_place").alias("a_place"), F.min("b_place").alias("b_place"), F.max("more").alias("more"))
                     .select("a", "a_place", "b", "b_place", "more"), "candidates")
     near = verified(docs, first, edits)
     dropped = near.select(F.col("b").alias("line")).distinct()
-    opened = first.where("more").groupBy(F.col("b").alias("line")).agg(F.min("b_place").alias("place"))
+    opened = first.where("more").select(F.col("b").alias("line")).distinct()
     opened = written(opened.join(dropped, "line", "left_anti"), "open")
     if not opened.isEmpty():
-        dropped = dropped.unionByName(open_linked(docs, opened, edits, near_chars, width)).distinct()
+        crowded = found.where("key is not null").select("key", F.col("b").alias("line"), F.col("b_place").alias("place"), "letters", "is_index", "more")
+        dropped = dropped.unionByName(open_linked(docs, crowded, opened, edits, width)).distinct()
     return dropped
 
 
@@ -497,7 +514,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits:
     need(docs, doc, text)
     docs, plain, parts = numbered(docs.drop("n_lines", "n_dropped"), doc, text)
     near = near_lines(plain, edits, near_chars).withColumn("near", F.lit(True))
-    lines = plain.mapInArrow(all_lines, "line long, place long")
+    lines = written(plain.mapInArrow(all_lines, "line long, place long"), "lines")  # two numbers a line; the texts are read once for both uses
     first = lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     # lines that lose a place; a frequent line's places are spread over salts
     marked = (first.join(near, "line", "left").where("n > 1 or near").select("line", F.when(F.col("near"), F.lit(None)).otherwise(F.col("first")).alias("kept"))

@@ -458,6 +458,41 @@ def test_keyed_lines_hold_little_and_send_wanted_keys_only():
     assert set(some) <= set(every) and {r for r in every if r[0] in keys} <= set(some) and len(some) < len(every) / 10
 
 
+def test_crowded_keys_give_their_lines_for_the_second_round(spark, monkeypatch):
+    """The lines of a key in which a line has more candidates are written once each, so the second round reads no text for its keys."""
+    import pyarrow as pa
+
+    def table(*groups):  # (key, lines, letters of the line): equal letters pass the bound
+        rows = [(key, 1000 * key + i, 5000 - i, letters(i), i % 3 > 0) for key, n, letters in groups for i in range(n)]
+        return pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "line", "place", "letters", "is_index"])
+
+    far = random.Random(5).sample(range(1 << 62), 100)  # no two of these pass it
+    out = [r for b in line_dedup.candidates(table((1, 100, lambda i: 0), (2, 40, lambda i: 0), (3, 100, lambda i: far[i])), 2) for r in b.to_pylist()]
+    lines = [r for r in out if r["key"] is not None]
+    assert sorted(r["b"] for r in lines) == list(range(1000, 1100)) and {r["key"] for r in lines} == {1} and all(r["a"] is None for r in lines)
+    pairs = [r for r in out if r["key"] is None]
+    assert {r["b"] for r in lines if r["more"]} == {r["b"] for r in pairs if r["more"]} != set()
+    assert [(r["b_place"], r["is_index"]) for r in sorted(lines, key=lambda r: r["b"])] == [(5000 - i, i % 3 > 0) for i in range(100)]
+    # a whole run: the open lines are found and the texts are cut into keys once
+    rng = random.Random(32)
+    tail = "".join(rng.choice("0123456789") for _ in range(40))
+    texts = ["template of one line " + "".join(rng.sample(tail, 40)) for _ in range(90)]
+    passes = []
+    map_in_arrow = type(spark.range(1)).mapInArrow
+
+    def counted(self, run, schema, *rest):
+        if schema == line_dedup.KEYED:
+            passes.append(schema)
+        return map_in_arrow(self, run, schema, *rest)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counted)
+    opened, open_linked = [], line_dedup.open_linked
+    monkeypatch.setattr(line_dedup, "open_linked", lambda *a: opened.append(1) or open_linked(*a))
+    docs = list(enumerate([*texts, *[mutate(rng, rng.choice(texts), 2) for _ in range(10)]]))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_lines(docs, 2, 20) and opened and len(passes) == 1
+
+
 def test_lm_scores_hold_little_of_a_batch():
     """A task works on a batch in steps, which bound its memory; an empty or missing text has no words."""
     import tracemalloc
