@@ -12,7 +12,8 @@ Encoding reads a piece's symbols one by one, holds at most a window of four
 lookaheads, merges the window when it is full, emits the tokens that end a
 lookahead before its end and keeps the rest. Memory is a constant set by the
 merge list, however long the piece. Short pieces (nearly all) fit the window
-at once; their ids are kept in a table of bounded size.
+at once; their ids are kept in a table of bounded size, and the new ones of a
+bounded stretch of texts are merged side by side, in arrays.
 
 Decoding feeds ids to an incremental UTF-8 machine that holds at most three
 bytes of an unfinished character; bad bytes give U+FFFD.
@@ -37,12 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from offerlab.llm.common import bounded_ranges, need, text_or_empty
-from offerlab.llm.vocab import BYTE_OF, Vocab, composed_lower, merge, spaced
+from offerlab.llm.vocab import BYTE_OF, RARE, PairTable, Vocab, composed_lower, merge, spaced
 
 #: Words whose ids a worker keeps, in each of two generations.
-KEPT_WORDS = 60_000
+KEPT_WORDS = 120_000
+#: Longest run of text whose ids are kept.
+KEPT_CHARS = 64
 #: Characters of text that ``transcode`` works on at once.
 STEP = 1_000_000
+#: Characters of text whose new words ``encode_all`` merges side by side.
+TOGETHER = 1_000_000
 
 
 def lookahead(merges: list[tuple[int, int, int]], length: dict[int, int]) -> int:
@@ -68,6 +73,10 @@ class Encoder:
         for a, b, c in v.merges:
             length[c] = length[a] + length[b]
         self.length = length
+        self.pairs = PairTable(v.merges)
+        self.byte_ids = np.array(v.byte_ids, dtype=np.int64)
+        self.end_ids = np.zeros(max(v.byte_ids) + 1, dtype=np.int64)
+        self.end_ids[list(v.end_ids)] = list(v.end_ids.values())
         self.lookahead = lookahead(v.merges, length)
         self.window = 4 * self.lookahead
         self.special_bytes = {t: np.array([i], dtype="<u4").tobytes() for t, i in v.special.items()}
@@ -94,7 +103,7 @@ class Encoder:
         self.kept, self.older = {}, {}
 
     def _keep(self, run: str, got: bytes) -> bytes:
-        if len(run) <= 64:
+        if len(run) <= KEPT_CHARS:
             if len(self.kept) >= KEPT_WORDS:
                 self.older, self.kept = self.kept, {}
             self.kept[run] = got
@@ -116,6 +125,60 @@ class Encoder:
                 got = b"".join([self._run(x) for x in pieces])
         return self._keep(run, got)
 
+    def learn(self, runs: set[str]) -> list[str]:
+        """Keep the ids of all ``runs``, merging the pieces of new ones side by side; returns the runs too long to stay kept."""
+        v = self.vocab
+        if len(self.kept) >= KEPT_WORDS:
+            self.older, self.kept = self.kept, {}
+        new = runs.difference(self.kept)
+        rare = bool(RARE.search("\n".join(new)))
+        one_by_one = {x: self._run(x) for x in new if len(x) > KEPT_CHARS or rare and RARE.search(x)}
+        kept, older = self.kept, self.older  # ``_run`` may have changed them
+        kept.update(one_by_one)
+        new = runs.difference(kept)
+        back = [x for x in new if x in older]
+        kept.update([(x, older[x]) for x in back])
+        new.difference_update(back)
+        # most words are letters alone, one piece; the others are cut in one go, a line each
+        whole = [x for x in new if x.isalpha()] if v.words else list(new)
+        rest = list(new.difference(whole))
+        flat = v.lined.findall("\n".join(rest)) if rest else []
+        line_end = np.array(list(map("\n".__eq__, flat)), dtype=bool)
+        of = np.r_[np.arange(len(whole)), len(whole) + np.cumsum(line_end)[~line_end]]
+        chars = np.r_[np.fromiter(map(len, whole), np.int64, len(whole)), np.fromiter(map(len, flat), np.int64, len(flat))[~line_end]]
+        raw = np.frombuffer("".join(["".join(whole), *[x for x in flat if x != "\n"]]).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        first = np.r_[np.flatnonzero(raw & 0xC0 != 0x80), len(raw)]  # a character's first byte
+        ends = first[np.cumsum(chars)]
+        symbols = self.byte_ids[raw]
+        if v.suffix:
+            symbols[ends - 1] = self.end_ids[symbols[ends - 1]]
+        ids, n = self.pairs.merge_all(symbols, np.diff(ends, prepend=0))
+        data, ends = ids.astype("<u4").tobytes(), np.cumsum(4 * np.bincount(of, n, len(new)).astype(np.int64)).tolist()
+        kept.update(zip([*whole, *rest], [data[i:j] for i, j in zip([0, *ends], ends)]))
+        return [x for x in one_by_one if len(x) > KEPT_CHARS]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text; the new words of a bounded stretch of texts are merged side by side."""
+        v, out = self.vocab, []
+        for i, j in bounded_ranges([len(x) for x in texts], TOGETHER):
+            runs: set[str] = set()
+            cut = []
+            for text in texts[i:j]:
+                parts = []
+                for special, part in v.parts(text):
+                    if not special:
+                        part = v.normal(part)
+                        part = spaced(part) if v.words else v.pieces(part)
+                        runs.update(part)
+                    parts.append((special, part))
+                cut.append(parts)
+            long = self.learn(runs)
+            ids = self.kept.__getitem__
+            out += [b"".join([self.special_bytes[part] if special else b"".join(map(ids, part)) for special, part in parts]) for parts in cut]
+            for x in long:
+                del self.kept[x]
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
         v, out = self.vocab, []
@@ -184,7 +247,7 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", out: str =
         e = encoder(content.value)
         try:
             for texts in batches:
-                yield pd.Series([e.encode(x) for x in texts], dtype=object)
+                yield pd.Series(e.encode_all(texts.tolist()), dtype=object)
         finally:
             e.forget()  # a worker serves other stages next
 
@@ -218,7 +281,7 @@ def transcode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "id
             for batch in batches:
                 column = batch.column(len(kept))
                 for i, j in bounded_ranges([len(x.as_buffer()) for x in column], STEP):
-                    got = [e.encode(x.as_py()) for x in column.slice(i, j - i)]
+                    got = e.encode_all(column.slice(i, j - i).to_pylist())
                     part = batch.slice(i, j - i)
                     yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(kept))], pa.array(got, pa.binary()), pa.array([decode(x) for x in got], pa.string())],
                                                      names=[*kept, ids, decoded])

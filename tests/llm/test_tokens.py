@@ -58,6 +58,28 @@ def test_stream_keeps_a_bounded_window_and_equals_a_whole_merge():
         assert list(e.stream(iter(symbols))) == merge(symbols, e.vocab.rank, e.vocab.made)
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_new_words_are_merged_side_by_side(path, monkeypatch):
+    """All short plain words of a stretch of texts go through the merges together, with the ids that the library gives."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefghiXYZ     123.,!'\n\t\x85\x1céßñ") for _ in range(rng.randrange(300))) for _ in range(800)]
+    odd = ["", " ", "漢字 Σς ﬁ e\u0301 \u1e9e", "<|endoftext|>x<|startoftext|>", "a" * 3000 + " " + "é" * 64 + " " + "b" * 65, "don't  stop\n\n now", "😀 x😀y"]
+    e = bpe.Encoder(bpe.read_vocabulary(path))
+    t = library(path)
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts + odd]
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 500)  # words are forgotten and learned again
+    monkeypatch.setattr(bpe, "TOGETHER", 5_000)
+    assert e.encode_all(texts + odd) == want and e.encode_all(odd + texts[::-1]) == want[800:] + want[:800][::-1]
+    assert all(len(x) <= 64 for x in e.kept) and e.encode_all([]) == []
+    e.forget()
+
+    def never(*_):
+        raise AssertionError("a word was merged by itself")
+
+    monkeypatch.setattr(bpe, "merge", never)
+    assert e.encode_all(texts) == want[:800]
+
+
 def test_sufficient_lookahead_holds_for_prefixes():
     e = bpe.Encoder(bpe.read_vocabulary(WORDS))
     rng = random.Random(4)
