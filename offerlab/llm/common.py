@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -11,6 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from offerlab.session import ensure_checkpoint_dir
 
 
+#: Bytes of an Arrow batch between the JVM and Python; Spark's default lets a batch of texts take a large part of a worker's memory.
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``; a lower limit that it has stays."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower()).groups()
+    if not 0 < int(number) * 1024 ** " kmgt".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +34,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     executor never recomputes what came before.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.write
     if partition_by:

@@ -570,3 +570,26 @@ def test_pipeline_on_hard_rows(spark, tmp_path):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "a")).collect()}
     assert ids <= {r[0] for r in rows} and ids
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_written_holds_arrow_batches_to_a_few_megabytes(spark):
+    """Texts come to a Python worker in batches of bounded bytes; a lower limit of the session stays."""
+    import pyarrow as pa
+
+    from offerlab.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 3_000, 1, 1).selectExpr("id", "repeat('some text ', 600) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    try:
+        for was, now in ((before, str(common.BATCH_BYTES)), ("64m", str(common.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(name, was)
+            got = [r.bytes for r in common.written(docs.mapInArrow(sizes, "bytes long"), "sizes").collect()]
+            assert spark.conf.get(name) == now and len(got) > 3 and max(got) < 1.1 * common.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
