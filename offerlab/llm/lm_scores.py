@@ -100,6 +100,11 @@ def _runs(batch: pa.RecordBatch, words: Words):
         yield ids[i:j], h, of
 
 
+def _added(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by number, as floats also where there are none (numpy gives integers then)."""
+    return np.bincount(of, weights=values, minlength=n).astype(np.float64, copy=False)
+
+
 class Sums:
     """Counts by key, combined in a task and given out when many."""
 
@@ -284,14 +289,14 @@ def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
                 first = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, dtype=bool)
                 own_entry = ids > 0 if not m.pooled else np.ones(len(ids), dtype=bool)  # the rest is for rare_entries
                 begin = first & own_entry
-                score = np.bincount(of[begin], weights=np.log(m.count[ids[begin]] / m.total), minlength=n)
+                score = _added(of[begin], np.log(m.count[ids[begin]] / m.total), n)
                 follow = np.flatnonzero(~first & own_entry)
                 follow = follow[own_entry[follow - 1]]
                 d, key, times = _once(of[follow], ids[follow - 1] << m.bits | ids[follow], 1 << 2 * m.bits)
                 v, w = key >> m.bits, key & ((1 << m.bits) - 1)
                 at = m.dense(v, w)
                 here = at >= 0
-                score += np.bincount(d[here], weights=times[here] * m.score(v[here], w[here], m.pairs[at[here]] - times[here], backoff), minlength=n)
+                score += _added(d[here], times[here] * m.score(v[here], w[here], m.pairs[at[here]] - times[here], backoff), n)
                 length = np.bincount(of, minlength=n).astype(np.int64)
                 d, key, times = d[~here], key[~here], times[~here]
                 bucket = (_mixed(key.astype(np.uint64)) % np.uint64(partitions)).astype(np.int64)
@@ -323,7 +328,7 @@ def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
             value = times * m.score(v, w, c[at] - times, backoff)
             who, of = np.unique(np.repeat(ids, many), return_inverse=True)
             yield from dealt(np.r_[who, get(5, "<i8")], np.r_[np.zeros(len(who), dtype=np.int64), get(6, "<i8")],
-                             np.r_[np.bincount(of, weights=value, minlength=len(who)), get(7, "<f8")])
+                             np.r_[_added(of, value, len(who)), get(7, "<f8")])
 
     def dealt(ids, n, s):
         """Sums of a bucket, packed by hash of the document for the last shuffle."""
@@ -341,7 +346,7 @@ def lm_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
             ids, n, s = (np.frombuffer(b"".join(rows.column(i).to_pylist()), dtype=kind) for i, kind in ((1, "<i8"), (2, "<i8"), (3, "<f8")))
             who, of = np.unique(ids, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.bincount(of, weights=n, minlength=len(who)).astype(np.int64)),
-                                              pa.array(np.bincount(of, weights=s, minlength=len(who)))], ["id", "n_words", "logprob"])
+                                              pa.array(_added(of, s, len(who)))], ["id", "n_words", "logprob"])
 
     sums = grouped(docs.mapInArrow(explode, ENTRY), "bucket", join, "part int, ids binary, n binary, s binary", partitions)
     scores = grouped(sums, "part", total_up, "id long, n_words long, logprob double", partitions)

@@ -433,6 +433,24 @@ def test_lm_scores_of_every_word(spark):
     assert len(got) == len(docs)
 
 
+def test_lm_scores_where_no_first_word_has_a_number(spark, monkeypatch):
+    """A stretch of texts in which every first word is a rare one has no numbered beginning, yet frequent pairs."""
+    monkeypatch.setattr(lm_scores, "NUMBERED", 2)
+    docs = [(i, f"rare{i} the of the of{' the' * i}", "en") for i in range(6)] + [(9, "rare9", "en")]
+    words = Counter(w for _, t, _ in docs for w in t.split())
+    pairs = Counter(p for _, t, _ in docs for p in zip(t.split(), t.split()[1:]))
+    total = sum(words.values())
+    got = {r.doc_id: r for r in lm_scores.lm_scores(frame(spark, docs).repartition(2)).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        w = t.split()
+        want = math.log(words[w[0]] / total)
+        for (a, b), n in Counter(zip(w, w[1:])).items():
+            rest = pairs[a, b] - n
+            want += n * (math.log(rest / words[a]) if rest else math.log(0.4 * words[b] / total))
+        assert got[i].n_words == len(w) and abs(got[i].logprob - want) < 1e-9
+
+
 def test_keyed_lines_hold_little_and_send_wanted_keys_only():
     """A task works on a batch in steps, which bound its memory; the second round's pass gives rows of the keys asked for."""
     import tracemalloc
