@@ -31,13 +31,14 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from offerlab.llm.common import bounded_ranges, need, text_or_empty
+from offerlab.llm.common import bounded_ranges, give_back, need, text_or_empty
 from offerlab.llm.vocab import BYTE_OF, RARE, PairTable, Vocab, composed_lower, merge, spaced
 
 #: Words whose ids a worker keeps, in each of two generations.
@@ -130,18 +131,22 @@ class Encoder:
         v = self.vocab
         if len(self.kept) >= KEPT_WORDS:
             self.older, self.kept = self.kept, {}
-        new = runs.difference(self.kept)
+        kept = self.kept
+        new = runs.difference(kept)
         rare = bool(RARE.search("\n".join(new)))
         one_by_one = {x: self._run(x) for x in new if len(x) > KEPT_CHARS or rare and RARE.search(x)}
-        kept, older = self.kept, self.older  # ``_run`` may have changed them
+        before, kept, older = kept, self.kept, self.older  # ``_run`` may have changed them
         kept.update(one_by_one)
-        new = runs.difference(kept)
-        back = [x for x in new if x in older]
-        kept.update([(x, older[x]) for x in back])
-        new.difference_update(back)
+        if kept is before:
+            new.difference_update(one_by_one)
+        else:
+            new = runs.difference(kept)
+        if older:
+            kept.update([(x, older[x]) for x in new if x in older])
+            new = new.difference(older)
         # most words are letters alone, one piece; the others are cut in one go, a line each
-        whole = [x for x in new if x.isalpha()] if v.words else list(new)
-        rest = list(new.difference(whole))
+        whole = list(filter(str.isalpha, new)) if v.words else list(new)
+        rest = list(filterfalse(str.isalpha, new)) if v.words else []
         flat = v.lined.findall("\n".join(rest)) if rest else []
         line_end = np.array(list(map("\n".__eq__, flat)), dtype=bool)
         of = np.r_[np.arange(len(whole)), len(whole) + np.cumsum(line_end)[~line_end]]
@@ -221,7 +226,9 @@ class Decoder:
 
 @lru_cache(maxsize=4)
 def encoder(content: str) -> Encoder:
-    return Encoder(content)
+    made = Encoder(content)
+    give_back()  # reading the file takes several times what stays
+    return made
 
 
 @lru_cache(maxsize=4)
@@ -250,6 +257,7 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", out: str =
                 yield pd.Series(e.encode_all(texts.tolist()), dtype=object)
         finally:
             e.forget()  # a worker serves other stages next
+            give_back()
 
     return df.withColumn(out, run(text_or_empty(text)))
 
@@ -287,5 +295,6 @@ def transcode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "id
                                                      names=[*kept, ids, decoded])
         finally:
             e.forget()  # a worker serves other stages next
+            give_back()
 
     return rows.mapInArrow(run, schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerlab.session import ensure_checkpoint_dir
@@ -78,6 +81,15 @@ def bounded_ranges(sizes: list[int], limit: int):
         yield start, len(sizes)
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system at a task's end: a worker stays and serves other stages, beside those of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """Bitmap of 2^bits slots (64-bit words) in which the hashes of a long column are set; its size does not grow with the rows."""
     slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))

@@ -50,8 +50,9 @@ class Vocab:
 
     def __init__(self, content: str):
         j = json.loads(content)
-        self.library = Tokenizer.from_str(content)
         model, pre = j["model"], j["pre_tokenizer"] or {}
+        #: the library's normalizer and pre-tokenizer; its own copy of tokens and merges would take most of a worker's vocabulary
+        self.library = Tokenizer.from_str(json.dumps({**j, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}))
         self.suffix = model.get("end_of_word_suffix") or ""
         steps = [x["type"] for x in (j["normalizer"] or {}).get("normalizers", [])]
         self.words = bool(self.suffix)

@@ -80,6 +80,35 @@ def test_new_words_are_merged_side_by_side(path, monkeypatch):
     assert e.encode_all(texts) == want[:800]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_a_worker_holds_one_copy_of_the_vocabulary(path):
+    """The library's steps are kept without its tokens and merges, and cut texts as the whole library does."""
+    v, t = bpe.Vocab(bpe.read_vocabulary(path)), library(path)
+    assert v.library.get_vocab_size() == 0
+    for text in filter(None, hard_texts()):
+        part = t.normalizer.normalize_str(text) if t.normalizer else text
+        assert v.normal(text) == part or v.words and v.normal(text).split() == part.split()
+        assert v.library.pre_tokenizer.pre_tokenize_str(part) == t.pre_tokenizer.pre_tokenize_str(part)
+
+
+def test_words_are_looked_up_once_among_the_kept():
+    """A stretch's words are compared with the kept ones once; only the new ones are looked at again."""
+    class Runs(set):
+        walks = 0
+
+        def difference(self, *others):
+            Runs.walks += 1
+            return set(self).difference(*others)
+
+    e = bpe.Encoder(bpe.read_vocabulary(WORDS))
+    words = ["known", "word", "x1-y", "don't", "日本語", "z" * 90]
+    for runs in (words, [*words, "new", "n3w"]):
+        Runs.walks = 0
+        assert e.learn(Runs(runs)) == ["z" * 90] and Runs.walks == 1
+        assert {x: e.kept[x] for x in runs} == {x: np.array(library(WORDS).encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in runs}
+        del e.kept["z" * 90]
+
+
 def test_sufficient_lookahead_holds_for_prefixes():
     e = bpe.Encoder(bpe.read_vocabulary(WORDS))
     rng = random.Random(4)
