@@ -14,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from offerlab.llm.common import give_back
+
 
 def grouped(df: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, partitions: int) -> DataFrame:
     """``run`` gets tables of whole groups, sorted by ``key``."""
     at = df.columns.index(key)
 
-    def task(batches):
+    def groups(batches):
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -37,6 +39,10 @@ def grouped(df: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa.Recor
         if held:
             yield from run(pa.Table.from_batches(held))
 
+    def task(batches):
+        yield from groups(batches)
+        give_back()
+
     return df.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(task, schema)
 
 
