@@ -539,6 +539,23 @@ def test_lm_scores_shuffle_rare_pairs_once(spark):
     assert {r.id: round(r.logprob, 9) for r in rows.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_tasks_on_groups_give_back_freed_memory(monkeypatch):
+    """A worker that has compared groups returns its freed memory when the task ends, not before."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from offerlab.llm import blocks
+
+    done = []
+    monkeypatch.setattr(blocks, "give_back", lambda: done.append(1), raising=False)
+    df = SimpleNamespace(columns=["key"], repartition=lambda *a: df, sortWithinPartitions=lambda *a: df, mapInArrow=lambda task, schema: task)
+    task = blocks.grouped(df, "key", lambda t: iter(t.to_batches()), "key long", 2)
+    out = task(iter([pa.RecordBatch.from_arrays([pa.array([1, 1, 2])], ["key"])]))
+    assert next(out).column(0).to_pylist() == [1, 1] and not done
+    assert [b.column(0).to_pylist() for b in out] == [[2]] and done == [1]
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf_small):
