@@ -494,6 +494,45 @@ def test_negatives_are_drawn_from_the_whole_hot_list(spark):
     assert I.negatives(pos, [], P).count() == 0
 
 
+def test_boosted_trees_learn_from_counted_bins_as_from_all_rows(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from offerlab.operators import evaluation as I
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, [12, 5, 3, 2], (3000, 4)).astype(float)
+    y = (rng.random(3000) < 0.2 + 0.05 * x[:, 0] * (x[:, 2] > 0)).astype(int)
+    rows = [(*map(float, r), int(label), "train" if i % 5 else "test") for i, (r, label) in enumerate(zip(x, y))] + [(None, 1.0, 1.0, 1.0, 1, "train")]
+    split = spark.createDataFrame(rows, "recency double, order_total double, item_count double, freight_total double, label int, split string")
+    plain_fit, learned = GBTRegressor.fit, []
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df: learned.append(df.count()) or plain_fit(self, df))
+    model, m = I.fit_conversion_model(split, P.with_(gbt_rounds=4, gbt_depth=3))
+    assert learned == [len({tuple(r) for i, r in enumerate(x.tolist()) if i % 5})]
+    whole = VectorAssembler(inputCols=I.FEATURES, outputCol="features", handleInvalid="skip").transform(split)
+    plain = plain_fit(GBTRegressor(labelCol="label", maxIter=4, stepSize=P.gbt_step, maxDepth=3, seed=P.seed), whole.where("split = 'train'"))
+    want = [r.prediction for r in plain.transform(whole.where("split = 'test'")).orderBy(*I.FEATURES).collect()]
+    got = model.transform(split.dropna().where("split = 'test'").select("*", *[F.col(c).alias(i) for c, i in zip(I.FEATURES, I.INPUTS)]))
+    assert [r.prediction for r in got.orderBy(*I.FEATURES).collect()] == pytest.approx(want, abs=1e-9)
+    assert m["predictions"].count() == 600
+    odd = spark.createDataFrame([(None, 10.0, 2.0)], "recency int, avg_order_value double, avg_items_per_order double")
+    assert 0.001 <= I.base_conversion(model, odd, P).first().base_rate <= 0.5
+
+
+def test_cuts_come_from_all_rows_and_part_heavy_values(spark):
+    from offerlab.operators import evaluation as I
+
+    values = [2.0] * 4000 + [2.0 + i / 5000 for i in range(1, 2000)] + [3.0] * 3000 + [float(i) for i in range(10, 1010)]
+    df = spark.createDataFrame([(v, 7.0, float(i % 3)) for i, v in enumerate(values)], "a double, b double, c double").repartition(5)
+    cuts = I.cut_points(df, ["a", "b", "c"])
+    assert cuts["b"] == [7.0] and cuts["c"] == [0.5, 1.5] and len(cuts["a"]) < I.BINS
+    bins = np.searchsorted(cuts["a"], values, side="right")
+    for v in (2.0, 3.0):  # a heavy value is alone in its bin
+        assert {w for w, b in zip(values, bins) if b == bins[values.index(v)]} == {v}
+    others = np.bincount(bins)
+    assert sorted(others)[-3] <= len(values) / I.BINS * 2 and I.cut_points(df.where("false"), ["a"]) == {"a": []}
+
+
 def test_a_small_split_table_is_trained_on_by_all_cores(spark):
     from offerlab.operators.splits import exact_split
 
