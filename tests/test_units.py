@@ -552,6 +552,60 @@ def test_cuts_come_from_all_rows_and_part_heavy_values(spark):
     assert sorted(others)[-3] <= len(values) / I.BINS * 2 and I.cut_points(df.where("false"), ["a"]) == {"a": []}
 
 
+def test_best_splits_against_a_plain_search(spark):
+    from offerlab.operators.router_model import best_splits
+
+    rng = np.random.default_rng(8)
+    sums, weights = rng.poisson(0.7, (6, 3, 32, 2)).astype(float), np.array([0.6, 2.5])
+    sums[1, :, :, 1], sums[2] = 0, 0  # one class only; too few rows
+    sums[2, :, 4, 0], sums[2, :, 9, 1] = 7, 8
+    sums[:, 1:] = sums[:, :1, rng.permutation(32)][:, :, :]  # the same rows in each feature
+    gini = lambda c: (c * weights).sum() - ((c * weights) ** 2).sum() / max((c * weights).sum(), 1e-9)
+    which, bins, left, right = best_splits(sums, weights, 8)
+    for i, node in enumerate(sums):
+        options = {(j, b): gini(node[j].sum(0)) - gini(node[j, :b + 1].sum(0)) - gini(node[j, b + 1:].sum(0)) for j in range(3) for b in range(31)
+                   if min(node[j, :b + 1].sum(), node[j, b + 1:].sum()) >= 8}
+        if max(options.values(), default=0) <= 1e-9:
+            assert which[i] == -1
+            continue
+        assert options[which[i], bins[i]] == pytest.approx(max(options.values()))
+        assert (left[i] == node[which[i], :bins[i] + 1].sum(0)).all() and (left[i] + right[i] == node[0].sum(0)).all()
+    assert which[1] == which[2] == -1 and (which >= 0).sum() >= 3
+
+
+def test_the_forest_learns_from_counted_contexts(spark, tmp_path, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from offerlab.operators import router_model as RMD
+
+    rng = np.random.default_rng(5)
+    customers = rng.normal(size=(300, 7))  # a round has its customer's context
+    own = rng.integers(0, 300, 4000)
+    label = np.where(customers[own, 0] + customers[own, 3] > 0.3, 3, 1)
+    label = np.where(rng.random(4000) < 0.05, 4 - label, label)
+    rows = spark.createDataFrame([(i, *customers[c].tolist(), int(y)) for i, (c, y) in enumerate(zip(own, label))],
+                                 "round_id long, " + ", ".join(f"{x} double" for x in RMD.X) + ", label int")
+    grow, seen = RMD.grow_forest, []
+    monkeypatch.setattr(RMD, "grow_forest", lambda counted, *a: seen.append(counted.toPandas()) or grow(counted, *a))
+    small = P.with_(router_trees=30, router_depth=6)
+    model, report = RMD.train_router(rows, small)
+    assert len(seen[0]) <= 600 and seen[0]["n"].sum() == sum(n - -(-n // 5) for n in (int((label == y).sum()) for y in (1, 3)))
+    assert model.trees == 30 and report["n_samples"] == 4000 and set(report["label_distribution"].values()) == {int((label == y).sum()) for y in (1, 3)}
+    features = VectorAssembler(inputCols=RMD.X, outputCol="features").transform(rows)
+    plain = RandomForestClassifier(labelCol="label", numTrees=30, maxDepth=6, minInstancesPerNode=8, seed=1).fit(features)
+    want = plain.transform(features).where("prediction = label").count() / 4000
+    model.save(spark, str(tmp_path / "forest"))
+    for forest in (model, RMD.Forest.load(spark, str(tmp_path / "forest"))):
+        got = RMD.policy_probs(forest, rows).toPandas()
+        probs = got[[f"prob_{p}" for p in POLICY_ORDER]].to_numpy()
+        assert np.allclose(probs.sum(axis=1), 1.0) and (probs[:, [0, 2, 4]] == 0).all() and list(got["round_id"]) == list(range(4000))
+        assert abs((probs.argmax(axis=1) == got["label"]).mean() - want) < 0.03 and report["val_accuracy"] > 0.85
+        assert len({tuple(p) for p in probs}) <= 300
+    again, _ = RMD.train_router(rows, small)
+    assert (again.left == model.left).all() and (again.probs == model.probs).all()
+
+
 def test_a_small_split_table_is_trained_on_by_all_cores(spark):
     from offerlab.operators.splits import exact_split
 
