@@ -606,6 +606,21 @@ def test_the_forest_learns_from_counted_contexts(spark, tmp_path, monkeypatch):
     assert (again.left == model.left).all() and (again.probs == model.probs).all()
 
 
+def test_long_expressions_are_run_in_small_methods(spark, monkeypatch):
+    from offerlab.plans import q_text_models as Q
+    from offerlab.session import small_methods
+
+    name, held = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    plain = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: held.append((df.columns[-1], spark.conf.get(name))) or plain(df))
+    Q.q_router_model(spark, "/root/testdata/sf0.001")
+    assert held == [("label", "8000")] and spark.conf.get(name) == before
+    with pytest.raises(ValueError), small_methods(spark):
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
 def test_a_small_split_table_is_trained_on_by_all_cores(spark):
     from offerlab.operators.splits import exact_split
 
